@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, orc_tokens, token_counts
+from . import byte_bpe, cotraining, language_mixture, mixing, orc_tokens, token_counts
 from .common import documents
 
 
@@ -23,8 +23,23 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3).drop("key")
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quality_score and toxic_score are probabilities; keep is the decision of the pipeline's stage."""
+    docs = documents(spark, sf_dir)
+    models = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.score(docs, models).drop("key").withColumn("keep", cotraining.keeps())
+
+
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_orc_token_ids, op3_token_counts, op4_byte_bpe)}
+    return {f.__name__: f for f in (op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
