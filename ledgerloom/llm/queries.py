@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, cotraining, language_mixture, mixing, orc_tokens, token_counts
+from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, token_counts
 from .common import documents
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(documents(spark, sf_dir))
+
+
 def op2_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
@@ -39,7 +43,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
