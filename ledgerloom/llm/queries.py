@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, token_counts
+from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, token_counts
 from .common import documents
 
 
@@ -38,12 +38,16 @@ def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(docs, models).drop("key").withColumn("keep", cotraining.keeps())
 
 
+def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(documents(spark, sf_dir)).drop("key")
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
