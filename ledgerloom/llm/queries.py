@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, token_counts
-from .common import documents
+from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, ppm, token_counts
+from .common import crc_of_id, documents
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(documents(spark, sf_dir), held_out=crc_of_id(F.col("doc_id")) % 7 == 2)
+
+
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3).drop("key")
 
@@ -47,7 +52,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op6_cube_mixing, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op5_ppm_scores, op6_cube_mixing, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
