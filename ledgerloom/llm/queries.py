@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, ppm, token_counts
+from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, ppm, token_counts, wand
 from .common import crc_of_id, documents
 
 
@@ -36,6 +36,12 @@ def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), most=3).drop("key")
 
 
+def op7_blockmax_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 100; searched: all documents."""
+    docs = documents(spark, sf_dir)
+    return wand.search(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"), k=10)
+
+
 def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quality_score and toxic_score are probabilities; keep is the decision of the pipeline's stage."""
     docs = documents(spark, sf_dir)
@@ -52,7 +58,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op5_ppm_scores, op6_cube_mixing, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op5_ppm_scores, op6_cube_mixing, op7_blockmax_wand, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
