@@ -173,7 +173,7 @@ class ByteCodec:
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.cache = common.FlatCache(lambda pieces: [merge(p.encode(), self.ranks) for p in pieces])
+        self.cache = common.FlatCache(lambda pieces: common.flattened([merge(p.encode(), self.ranks) for p in pieces]))
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             tokens[i] = token

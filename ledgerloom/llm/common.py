@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Text bytes that one Python step holds at a time; longer single texts are taken alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +72,30 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class FlatCache:
     """Per-worker map from a piece of text to its ids, kept as flat arrays so that whole batches are assembled by numpy.
 
-    encode takes a list of distinct pieces and returns a list of id lists. Holds `limit` characters of keys at
-    most and starts anew beyond that.
+    encode takes a list of distinct pieces and returns their ids one after the other and how many each has. Holds about
+    `limit` characters of keys; beyond that it keeps what was asked for again since the last time.
     """
 
-    def __init__(self, encode, limit: int = 3 << 20):
+    def __init__(self, encode, limit: int = 4 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = self.used = self.n = 0
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, np.int64)
+        self.start, self.size, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.flat = np.zeros(4096, np.int32)
+
+    def _shrink(self) -> None:
+        pieces = list(self.index)
+        keep = np.flatnonzero(self.hits[: self.n] > 1)
+        if (chars := sum(len(pieces[i]) for i in keep)) > self.limit // 2:
+            return self.clear()
+        flat, size = self.ids(keep), self.size[keep]
+        self.flat[: len(flat)], self.size[: len(keep)], self.start[: len(keep)] = flat, size, np.cumsum(size) - size
+        self.hits[:] = 0
+        self.index = {pieces[i]: k for k, i in enumerate(keep.tolist())}
+        self.n, self.used, self.chars = len(keep), len(flat), chars
 
     def _room(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -93,15 +105,15 @@ class FlatCache:
             setattr(self, name, new)
 
     def _learn(self, pieces: list[str]) -> None:
-        encoded = self.encode(pieces)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(sizes.sum())
+        ids, sizes = self.encode(pieces)
+        total = len(ids)
         self._room("start", self.n + len(pieces))
         self._room("size", self.n + len(pieces))
+        self._room("hits", self.n + len(pieces))
         self._room("flat", self.used + total)
         self.size[self.n : self.n + len(pieces)] = sizes
         self.start[self.n : self.n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in encoded for i in x), np.int64, total)
+        self.flat[self.used : self.used + total] = ids
         self.index.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
         self.n += len(pieces)
         self.used += total
@@ -110,11 +122,13 @@ class FlatCache:
     def rows(self, pieces: list[str]) -> np.ndarray:
         """A row number for each piece, valid until the next call."""
         if self.chars > self.limit:
-            self.clear()
-        got = np.fromiter((self.index.get(p, -1) for p in pieces), np.int64, len(pieces))
+            self._shrink()
+        got = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(missing := np.flatnonzero(got < 0)):
-            self._learn(list(dict.fromkeys(pieces[i] for i in missing)))
-            got[missing] = np.fromiter((self.index[pieces[i]] for i in missing), np.int64, len(missing))
+            new = [pieces[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            got[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        self.hits[: self.n] += np.bincount(got, minlength=self.n).astype(np.int32)
         return got
 
     def ids(self, rows: np.ndarray) -> np.ndarray:
@@ -122,6 +136,12 @@ class FlatCache:
         return gather(self.flat, self.start[rows], self.size[rows])
 
 
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """What a FlatCache's encode returns, from a list of id lists."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start[i] : start[i] + size[i]] for all i, one after the other."""
     ends = np.cumsum(size)

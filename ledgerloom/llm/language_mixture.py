@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -23,7 +24,7 @@ from . import common
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 400
 #: Languages that a document's set may hold, rounds of EM, smoothing, and how far one word may speak against a language.
-MAX_SET, ROUNDS, ALPHA, FLOOR = 3, 12, 0.5, -14.0
+MAX_SET, ROUNDS, ALPHA, FLOOR = 3, 8, 0.5, -14.0
 #: Added to 0.5 log(words) for each further language of a set; a share below LEAST does not make a language.
 PENALTY, LEAST = 6.0, 0.05
 UNKNOWN = "und"
@@ -31,12 +32,12 @@ UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _grams(words: list[str]) -> list[list[int]]:
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for word in words:
         c = [1, *map(ord, word), 2]
         out.append([(a * 0x9E3779B1 + b * 0x85EBCA6B + d * 0xC2B2AE35 >> 7) % BUCKETS for a, b, d in zip(c, c[1:], c[2:], strict=False)])
-    return out
+    return common.flattened(out)
 
 
 _cache = common.FlatCache(_grams)
@@ -74,34 +75,39 @@ class Model:
         top = ll.max(1, keepdims=True)
         p = np.exp(np.maximum(ll - top, FLOOR)).astype(np.float32)[inverse]
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        doc = np.repeat(np.arange(len(counts)), counts)
-        n = counts[:, None].astype(np.float32)
-
-        def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            share = allowed / allowed.sum(1, keepdims=True)
-            for _ in range(ROUNDS):
-                joint = p * share[doc]
-                joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-                share = np.add.reduceat(joint, starts, axis=0) / n
-            joint = np.maximum((p * share[doc]).sum(1), 1e-30)
-            return share, np.add.reduceat(np.log(joint, dtype=np.float64), starts)
-
-        everything, _ = em(np.ones((len(counts), p.shape[1]), np.float32))
+        single = np.add.reduceat(np.log(np.maximum(p, 1e-30)), starts, axis=0).astype(np.float64)
+        best, value = single.argmax(1), single.max(1)
+        chosen = np.zeros(single.shape, np.float32)
+        # one language: its posterior probability among all, each taken alone
+        chosen[np.arange(len(best)), best] = 1 / np.exp(single - value[:, None]).sum(1)
+        everything = _em(p, counts, np.ones((len(counts), p.shape[1]), np.float32))[0]
         order = np.argsort(-everything, axis=1, kind="stable")
-        chosen, value = None, None
-        for m in range(1, min(MAX_SET, p.shape[1]) + 1):
-            allowed = np.zeros_like(everything)
-            np.put_along_axis(allowed, order[:, :m], 1, axis=1)
-            share, ll = em(allowed) if m > 1 else (allowed, np.add.reduceat(np.log(np.maximum((p * allowed[doc]).sum(1), 1e-30), dtype=np.float64), starts))
-            gain = ll - (m - 1) * (0.5 * np.log(n[:, 0]) + PENALTY)
-            if chosen is None:
-                chosen, value = share, gain
-            else:
-                better = (gain > value) & (np.where(allowed > 0, share, 1).min(1) >= LEAST)
-                chosen, value = np.where(better[:, None], share, chosen), np.where(better, gain, value)
+        # sets of several languages come into question where the second has a share at all
+        open_ = np.flatnonzero(np.sort(everything, axis=1)[:, -2] >= LEAST) if p.shape[1] > 1 else np.zeros(0, np.int64)
+        words = np.repeat(np.isin(np.arange(len(counts)), open_), counts)
+        for m in range(2, min(MAX_SET, p.shape[1]) + 1 if len(open_) else 0):
+            allowed = np.zeros((len(open_), p.shape[1]), np.float32)
+            np.put_along_axis(allowed, order[open_, :m], 1, axis=1)
+            share, ll = _em(p[words], counts[open_], allowed)
+            gain = ll - (m - 1) * (0.5 * np.log(counts[open_]) + PENALTY)
+            better = (gain > value[open_]) & (np.where(allowed > 0, share, 1).min(1) >= LEAST)
+            chosen[open_[better]], value[open_[better]] = share[better], gain[better]
         return chosen
 
 
+def _em(p: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the allowed languages for each document and the log-likelihoods. p: likelihoods by word and language."""
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    n = counts[:, None].astype(np.float32)
+    share = allowed / allowed.sum(1, keepdims=True)
+    for _ in range(ROUNDS):
+        joint = p * np.repeat(share, counts, axis=0)
+        joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
+        share = np.add.reduceat(joint, starts, axis=0) / n
+    mixed = np.maximum((p * np.repeat(share, counts, axis=0)).sum(1), 1e-30)
+    return share, np.add.reduceat(np.log(mixed, dtype=np.float64), starts)
+
+
 def fit(labelled: DataFrame) -> Model:
     """Learns from all rows (text, lang); null texts or languages are ignored. Each task sums n-gram counts by language
     before anything is shuffled."""
@@ -133,25 +139,23 @@ def fit(labelled: DataFrame) -> Model:
     return Model(languages, np.log(n / n.sum(0, keepdims=True)).astype(np.float32) if languages else n)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score (share of that language) beside the columns `keep` of docs; only the text is looked at.
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """row (all columns of docs as a struct), lang_pred and score (its share; its posterior if it is the only one).
+    Only the text is looked at.
 
     A null text or one without a letter gives `und` and 0. Ties go to the first language in code-point order.
     Repeated rows give a row each; an empty table gives none.
     """
-    keep = docs.columns if keep is None else keep
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "_text_"):
-                names, score, _ = shipped.value.infer(common.texts_of(part, "_text_"))
-                arrays = [*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], "lang_pred", "score"])
+            for part in common.slices(batch):
+                names, score, _ = shipped.value.infer(common.texts_of(part))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
@@ -162,4 +166,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs, learnt from those not held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return predict(rows, model, ["doc_id", "held_out"])
+    return predict(rows, model).select("row.doc_id", "row.held_out", "lang_pred", "score")
