@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -30,14 +31,14 @@ def _h(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}:{value}".encode()) % BUCKETS
 
 
-def _word_features(words: list[str]) -> list[list[int]]:
+def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for w in words:
         shape = w.translate(_TABLE)
         short = shape[:1] + "".join(b for a, b in zip(shape, shape[1:], strict=False) if a != b)
         bare = w.lower().strip(".,;:!?%&*#$")
         out.append(list({_h("w", bare), _h("t", shape[-3:]), _h("s", short[:8])}))
-    return out
+    return common.flattened(out)
 
 
 _cache = common.FlatCache(_word_features)
@@ -111,8 +112,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 250
     shrink[-1] = 0
     for k in range(rounds):
         ahead = w + k / (k + 3) * v
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - step * (x.T @ (weight * (p - y)) / total + shrink * ahead)
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -30, 30)))
+        new = ahead - step * ((weight * (p - y) / total).astype(x.dtype) @ x + shrink * ahead)
         w, v = new, new - w
     return w
 
@@ -169,8 +170,8 @@ def co_train(views: list[list[np.ndarray]], y: np.ndarray, pool: list[list[np.nd
     return Classifier(tables[0], tables[1], (float(weights[0][-1]), float(weights[1][-1])), tuple(map(float, combine)))
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text_"), F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_"))
+def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text_"), F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> dict[str, Classifier]:
@@ -205,10 +206,13 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
 
 
 def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:
-    """doc_id and, for each model t: t_content, t_page, t_score (probabilities) of every row of docs, and `key`, a
-    hash of the text. Null texts are empty, null metadata a value of its own; repeated rows give a row each."""
+    """row (all columns of docs as a struct) and, for each model t: t_content, t_page, t_score (probabilities).
+
+    Null texts are empty, null metadata a value of its own; repeated rows give a row each; an empty table gives none.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(models)
     names = [f"{t}_{x}" for t in models for x in ("content", "page", "score")]
+    rows = _narrow(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +221,9 @@ def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:
                 content = content_features(texts)
                 page = page_features(texts, *(part.column(c).to_pylist() for c in ("_source_", "_lang_", "_n_chars_")))
                 arrays = [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for m in shipped.value.values() for x in m.odds(len(texts), content, page)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_key_"), *arrays], ["doc_id", "key", *names])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], ["row", *names])
 
-    return _narrow(docs).withColumn("_key_", F.xxhash64("_text_")).mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} double" for n in names))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
 def keeps() -> Column:

@@ -46,7 +46,8 @@ def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quality_score and toxic_score are probabilities; keep is the decision of the pipeline's stage."""
     docs = documents(spark, sf_dir)
     models = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotraining.score(docs, models).drop("key").withColumn("keep", cotraining.keeps())
+    scored = cotraining.score(docs, models).withColumn("keep", cotraining.keeps())
+    return scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), *scored.columns[1:])
 
 
 def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
