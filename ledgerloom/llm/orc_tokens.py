@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +31,31 @@ def word_cache(path: str) -> common.FlatCache:
         import tokenizers
 
         model = tokenizers.Tokenizer.from_file(path)
-        _caches[path] = common.FlatCache(lambda words: [x.ids for x in model.encode_batch(words, add_special_tokens=False)])
+        _caches[path] = common.FlatCache(lambda words: _encode_words(model, words))
     return _caches[path]
 
 
+def _encode_words(model, words: list[str], at_once: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, many words in a call: token offsets tell which word a token belongs to."""
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), at_once):  # an encoding takes a few hundred bytes a token: few at a time
+        own = words[i : i + at_once]
+        x = model.encode(" ".join(own), add_special_tokens=False)
+        ids.append(np.array(x.ids, np.int64))
+        begins = np.fromiter(chain.from_iterable(x.offsets), np.int64, 2 * len(ids[-1]))[::2]
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        sizes.append(np.diff(np.searchsorted(begins, ends), prepend=0))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 def encode_texts(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, each followed by end_id; the number of ids of each."""
     cache = word_cache(path)
     words: list[str] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
+        if "<|" not in text:  # the tokenizer lower-cases, but for its special strings
+            text = text.encode().lower().decode()
         own = text.replace("\n", " ").split(" ")
         words += own
         counts[i] = len(own)
