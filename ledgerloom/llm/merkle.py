@@ -15,7 +15,7 @@ from . import common
 
 PASSAGE = 32
 #: Ranges of ids that are ordered by themselves; bounds the rows that are broadcast to link neighbouring ranges.
-RANGES_FOR, MOST_RANGES = 500, 20_000
+RANGES_FOR, MOST_RANGES = 2_000, 10_000
 _SECTION, _PARAGRAPH = r"(?<=\n)(?=[ \t\r]*\n)", r"(?<=\n)"
 _PIECE = rf"(?s)[^.!?]{{1,{PASSAGE}}}[.!?]*|[.!?]+"
 
@@ -72,8 +72,8 @@ def _lower_bounds(docs: DataFrame) -> list[int]:
     n, least = docs.agg(F.count("doc_id"), F.min("doc_id")).head()
     if not n:
         return []
-    ranges = int(min(MOST_RANGES, max(1, n // RANGES_FOR), 64))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).head()[0]
+    ranges = int(min(MOST_RANGES, max(1, n // RANGES_FOR)))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 4 * MOST_RANGES)).head()[0]
     return sorted({c for c in cuts if c > least})
 
 
@@ -86,14 +86,15 @@ def with_next(docs: DataFrame, value: dict[str, Column], ahead: list[str]) -> Da
     """
     bounds = _lower_bounds(docs)
 
-    def number(lo: int, hi: int) -> Column:  # binary search in the bounds
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= bounds[mid], number(mid + 1, hi)).otherwise(number(lo, mid))
+    def number() -> Column:
+        """How many bounds are not above the id: a binary search in a literal array."""
+        table, n = F.array(*map(F.lit, bounds)).cast("array<bigint>"), len(bounds)
+        powers = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        step = lambda at, b: F.when((at + b <= n) & (F.element_at(table, F.least(at + b, F.lit(n))) <= F.col("doc_id")), at + b).otherwise(at)
+        return F.aggregate(powers, F.lit(0), step) if n else F.lit(0)
 
     null = docs["doc_id"].isNull()
-    dealt = docs.withColumn("_range_", F.when(null, -1).otherwise(number(0, len(bounds))))
+    dealt = docs.withColumn("_range_", F.when(null, -1).otherwise(number()))
     heads = sorted(((r, i) for r, i in dealt.groupBy("_range_").agg(F.max("doc_id")).collect()), reverse=True)  # a row a range
     # the next row of the last row of a range is the head of the next lower range that has rows, or of the highest
     to = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
