@@ -32,7 +32,7 @@ def fingerprint(text: Column) -> Column:
     leaf = lambda piece: F.substring(_hex(F.xxhash64(piece)), 5, 12)
     with_node = lambda body, mark: F.concat(_hex(F.xxhash64(body)), F.lit(mark), body)
     paragraph = lambda p: with_node(F.array_join(F.transform(F.regexp_extract_all(p, F.lit(_PIECE), F.lit(0)), leaf), " "), ",")
-    section = lambda s: with_node(F.array_join(F.transform(F.split(s, _PARAGRAPH), paragraph), ";"), ":")
+    section = lambda s: with_node(F.array_join(F.transform(F.filter(F.split(s, _PARAGRAPH), lambda p: p != ""), paragraph), ";"), ":")
     body = F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), _SECTION), section), "|")
     return F.concat(F.sha2(body, 256), F.lit("/"), body)
 
