@@ -76,6 +76,9 @@ class FlatCache:
     `limit` characters of keys; beyond that it keeps what was asked for again since the last time.
     """
 
+    #: The cache that this worker used last: workers serve many stages, but only one cache is kept filled.
+    filled: FlatCache | None = None
+
     def __init__(self, encode, limit: int = 4 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
@@ -121,6 +124,10 @@ class FlatCache:
 
     def rows(self, pieces: list[str]) -> np.ndarray:
         """A row number for each piece, valid until the next call."""
+        if FlatCache.filled is not self:
+            if FlatCache.filled is not None:
+                FlatCache.filled.clear()
+            FlatCache.filled = self
         if self.chars > self.limit:
             self._shrink()
         got = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -142,11 +149,16 @@ def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[start[i] : start[i] + size[i]] for all i, one after the other."""
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (size[i] numbers) for all i, one after the other."""
     ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start - (ends - size), size) + np.arange(total)]
+    return np.repeat(start - (ends - size), size) + np.arange(total)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start[i] : start[i] + size[i]] for all i, one after the other."""
+    return flat[ranges(start, size)]
 
 
 def split_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Documented bounds of what the driver fits on: labelled documents, unlabelled ones, hashed features, chosen features.
-MOST_LABELLED, MOST_POOL, BUCKETS, CHOSEN = 8_000, 4_000, 1 << 18, 1_024
+MOST_LABELLED, MOST_POOL, BUCKETS, CHOSEN = 8_000, 4_000, 1 << 18, 512
 ROUNDS, SHARE, SURE = 3, 0.05, 0.9
 SEEN_IN = 4
 
