@@ -49,16 +49,16 @@ def custom_range(start: Column, end: Column) -> tuple[Column, Column, Column]:
 
 
 def token_text(value: Column) -> Column:
-    short = lambda unit, mark: F.concat(F.format_number(F.round(value / unit, 1), "0.0"), F.lit(mark))
+    short = lambda unit, mark: F.concat(F.format_string("%.1f", F.round(value / unit, 1)), F.lit(mark))
     return F.when(value >= 1_000_000_000, short(1e9, "B")).when(value >= 1_000_000, short(1e6, "M")).when(value >= 1_000, short(1e3, "K")).otherwise(F.format_number(value, 0))
 
 
 def cost_text(usd: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(F.round(usd, 1), "#,##0.0"))
+    return F.concat(F.lit("$"), F.format_number(F.round(usd, 1), 1))
 
 
 def multiplier_text(value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("×"), F.format_number(F.round(value, 2), "#,##0.00")), F.lit("—"))
+    return F.coalesce(F.concat(F.lit("×"), F.format_number(F.round(value, 2), 2)), F.lit("—"))
 
 
 def share(cost: Column, total: Column) -> Column:

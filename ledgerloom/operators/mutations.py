@@ -20,12 +20,13 @@ class Conflict(Exception):
 
 def append_events(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The table with the events of `new` whose key it lacks, and one row (inserted, ignored). A key that is present
-    with another signature fails the query."""
+    with another signature is a Conflict: nothing is appended."""
     new = schema.checked(new, schema.invalid_event(), "event")
     present = old.select(*EVENT_KEY, F.col("event_signature").alias("_there"), F.lit(True).alias("_present"))
     marked = new.join(present, EVENT_KEY, "left")
-    clash = F.col("_present") & ~F.col("_there").eqNullSafe(F.col("event_signature"))
-    marked = marked.where(F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.concat_ws(":", F.lit("conflicting usage event at "), "rollout_id", F.col("token_event_ordinal").cast("string")))).otherwise(F.lit(True)))
+    clash = marked.where(F.col("_present") & ~F.col("_there").eqNullSafe(F.col("event_signature"))).select(*EVENT_KEY).head()
+    if clash is not None:
+        raise Conflict(f"conflicting usage event at {clash[0]}:{clash[1]}")
     counts = marked.agg(F.count_if(F.col("_present").isNull()).alias("inserted"), F.count_if(F.col("_present")).alias("ignored"))
     return old.unionByName(marked.where("_present is null").select(*old.columns)), counts
 
