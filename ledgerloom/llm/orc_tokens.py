@@ -16,10 +16,13 @@ from . import common
 #: Writer settings. ORC stores integers of a stripe run-length encoded; a row index entry covers STRIDE documents.
 STRIDE = 1_000
 OPTIONS = {
-    "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(32 << 20),
+    "compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(32 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
+#: Characters of words that a worker keeps.
+CACHE_CHARS = 7 << 20
+
 _caches: dict[str, common.FlatCache] = {}
 
 
@@ -31,11 +34,11 @@ def word_cache(path: str) -> common.FlatCache:
         import tokenizers
 
         model = tokenizers.Tokenizer.from_file(path)
-        _caches[path] = common.FlatCache(lambda words: _encode_words(model, words))
+        _caches[path] = common.FlatCache(lambda words: _encode_words(model, words), limit=CACHE_CHARS)
     return _caches[path]
 
 
-def _encode_words(model, words: list[str], at_once: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
+def _encode_words(model, words: list[str], at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words, many words in a call: token offsets tell which word a token belongs to."""
     ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(0, len(words), at_once):  # an encoding takes a few hundred bytes a token: few at a time
