@@ -6,25 +6,28 @@ at which a gate opens. Windows are partitioned by file, so files are independent
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import timestamp_epoch_ms, uuid_v7_epoch_ms
 from ledgerloom.sources.records import metadata
 
-_LINES = Window.partitionBy("path").orderBy("line")
-_SO_FAR = _LINES.rowsBetween(Window.unboundedPreceding, 0)
-_SEGMENT = Window.partitionBy("path", "_segment")
-
 EVENT_COLUMNS = (
     "path", "conversation_id", "rollout_id", "parent_thread_id", "thread_type", "agent_role", "agent_path", "agent_nickname", "timestamp", "timestamp_epoch_ms",
     "token_event_ordinal", "turn_id", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "cumulative_snapshot", "event_signature",
 )
 
+def _lines() -> WindowSpec:
+    return Window.partitionBy("path").orderBy("line")
+
+def _so_far() -> WindowSpec:
+    return _lines().rowsBetween(Window.unboundedPreceding, 0)
 
-def _last(value, over=_SO_FAR):
-    return F.last(value, ignorenulls=True).over(over)
+def _segment() -> WindowSpec:
+    return Window.partitionBy("path", "_segment")
 
+def _last(value: Column) -> Column:
+    return F.last(value, ignorenulls=True).over(_so_far())
 
 def gated(rows: DataFrame, meta: DataFrame) -> DataFrame:
     """The object records with their file's attributes and `open`: whether turn contexts, task starts and token counts
@@ -44,13 +47,13 @@ def gated(rows: DataFrame, meta: DataFrame) -> DataFrame:
     # subagent forks: a segment begins with each task that names its turn
     sub = F.col("after_meta") & (F.col("thread_type") == "subagent")
     starts = sub & (F.col("kind") == "task_started") & F.col("turn_id").isNotNull()
-    lines = lines.withColumn("_segment", F.when(sub, F.count_if(F.coalesce(starts, F.lit(False))).over(_SO_FAR)))
-    lines = lines.withColumn("_turn", F.first(F.when(starts, F.col("turn_id")), ignorenulls=True).over(_SEGMENT))
+    lines = lines.withColumn("_segment", F.when(sub, F.count_if(F.coalesce(starts, F.lit(False))).over(_so_far())))
+    lines = lines.withColumn("_turn", F.first(F.when(starts, F.col("turn_id")), ignorenulls=True).over(_segment()))
     context = F.when(sub & (F.col("kind") == "turn_context") & (F.col("turn_id") == F.col("_turn")), F.col("line"))
-    lines = lines.withColumn("_context", F.min(context).over(_SEGMENT))
-    lines = lines.withColumn("_model", F.max(F.when(F.col("line") == F.col("_context"), F.col("model"))).over(_SEGMENT))
+    lines = lines.withColumn("_context", F.min(context).over(_segment()))
+    lines = lines.withColumn("_model", F.max(F.when(F.col("line") == F.col("_context"), F.col("model"))).over(_segment()))
     trigger = F.when((F.col("kind") == "inter_agent_communication_metadata") & F.col("trigger") & (F.col("line") > F.col("_context")), F.col("line"))
-    lines = lines.withColumn("_trigger", F.min(trigger).over(_SEGMENT))
+    lines = lines.withColumn("_trigger", F.min(trigger).over(_segment()))
     addressed = (F.col("recipient") == F.col("agent_path")) & (F.col("internal_turn_id").isNull() | (F.col("internal_turn_id") == F.col("_turn")))
     message = F.when((F.col("kind") == "response_item") & (F.col("payload_type") == "agent_message") & addressed & (F.col("line") > F.col("_trigger")), F.col("line"))
     lines = lines.withColumn("_opens", F.min(F.coalesce(main_opens, message)).over(Window.partitionBy("path")))
@@ -59,7 +62,6 @@ def gated(rows: DataFrame, meta: DataFrame) -> DataFrame:
     confirmed = sub & (F.col("line") == F.col("_opens"))
     return lines.withColumn("confirmed_turn", F.when(confirmed, F.col("_turn"))).withColumn("confirmed_model", F.when(confirmed, F.col("_model"))).drop("_segment", "_turn", "_context", "_model", "_trigger", "_opens")
 
-
 def with_turns(lines: DataFrame) -> DataFrame:
     """lines with current_turn, overridden and current_model as they stand at each line."""
     context = F.col("open") & (F.col("kind") == "turn_context") & F.col("turn_id").isNotNull()
@@ -69,14 +71,13 @@ def with_turns(lines: DataFrame) -> DataFrame:
     done = (F.col("kind") == "task_complete") & (F.col("turn_id").isNull() | (F.col("turn_id") == F.col("_last_set")))
     lines = lines.withColumn("_done", F.coalesce(done, F.lit(False)))
     lines = lines.withColumn("current_turn", F.coalesce(_last(F.when(F.col("_done"), "").otherwise(F.col("_set"))), F.lit("")))
-    before = F.coalesce(F.lag("current_turn").over(_LINES), F.lit(""))
+    before = F.coalesce(F.lag("current_turn").over(_lines()), F.lit(""))
     setting = (F.col("kind") == "thread_settings_applied") & F.col("settings_model").isNotNull()
     flag = F.when(F.coalesce(setting, F.lit(False)) & (F.col("current_turn") != ""), True).when(F.col("_done") | F.coalesce(task, F.lit(False)) | (F.coalesce(context, F.lit(False)) & (F.col("turn_id") != before)), False)
     lines = lines.withColumn("_flag", flag)
     lines = lines.withColumn("overridden", F.coalesce(_last(F.col("_flag")), F.lit(False))).withColumn("current_model", F.coalesce(_last(F.when(setting, F.col("settings_model"))), F.lit("unknown")))
     return lines.drop("_set", "_last_set", "_done", "_flag")
 
-
 def turn_models(lines: DataFrame) -> DataFrame:
     """path, turn_id, turn_model: the model last stated for each turn, over the whole file."""
     context = F.col("open") & (F.col("kind") == "turn_context") & F.col("turn_id").isNotNull() & F.col("model").isNotNull()
@@ -84,7 +85,6 @@ def turn_models(lines: DataFrame) -> DataFrame:
     stated = lines.select("path", "line", turn.alias("candidate_turn"), model.alias("model")).where("candidate_turn is not null and model is not null")
     return stated.groupBy("path", "candidate_turn").agg(F.max_by("model", "line").alias("turn_model"))
 
-
 def candidates(lines: DataFrame) -> DataFrame:
     """Open token counts with drop_reason: why a count gives no event, or null."""
     counts = lines.where(F.col("open") & (F.col("kind") == "token_count") & ~F.col("is_realtime_voice"))
@@ -99,11 +99,10 @@ def candidates(lines: DataFrame) -> DataFrame:
     t = F.col("total")
     snapshot = F.concat_ws(":", t["input"], t["cached"], t["output"], t["reasoning"], t["total"])
     counts = counts.withColumn("cumulative_snapshot", F.when(F.col("drop_reason").isNull(), snapshot))
-    previous = F.last("cumulative_snapshot", ignorenulls=True).over(_LINES.rowsBetween(Window.unboundedPreceding, -1))
+    previous = F.last("cumulative_snapshot", ignorenulls=True).over(_lines().rowsBetween(Window.unboundedPreceding, -1))
     again = F.col("drop_reason").isNull() & (F.col("cumulative_snapshot") == previous)
     return counts.withColumn("drop_reason", F.when(again, "duplicate_snapshot").otherwise(F.col("drop_reason")))
 
-
 def attributed(counts: DataFrame, models: DataFrame) -> DataFrame:
     """Events of the kept candidates: the active setting's model, else the turn's, else the setting's, else unknown."""
     kept = counts.where("drop_reason is null").withColumn("candidate_turn", F.coalesce("turn_id", "current_turn"))
@@ -115,12 +114,11 @@ def attributed(counts: DataFrame, models: DataFrame) -> DataFrame:
     u = F.col("usage")
     signature = F.to_json(F.array(*[x.cast("string") for x in (F.col("ts"), F.col("candidate_turn"), u["input"], u["cached"], u["output"], u["reasoning"], F.col("cumulative_snapshot"))]))
     columns = {
-        "timestamp": F.col("ts"), "timestamp_epoch_ms": timestamp_epoch_ms(F.col("ts")), "token_event_ordinal": (F.row_number().over(_LINES) - 1).cast("long"), "turn_id": F.col("candidate_turn"),
+        "timestamp": F.col("ts"), "timestamp_epoch_ms": timestamp_epoch_ms(F.col("ts")), "token_event_ordinal": (F.row_number().over(_lines()) - 1).cast("long"), "turn_id": F.col("candidate_turn"),
         "model": F.col("final_model"), "input_tokens": u["input"], "cached_input_tokens": u["cached"], "output_tokens": u["output"], "reasoning_output_tokens": u["reasoning"], "event_signature": signature,
     }
     return events.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in EVENT_COLUMNS], "provisional")
 
-
 def parse(rows: DataFrame) -> dict[str, DataFrame]:
     """events, metadata, drops (path, drop_reason, count) and turns (path, turn_id, unresolved, provisional) of records."""
     meta = metadata(rows)

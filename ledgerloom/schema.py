@@ -36,17 +36,25 @@ TABLES = {
 #: Record classes of a log line. The first two are harmless, `object` is parsed, the others condemn their file.
 HARMLESS, OBJECT = ("blank", "null_padding", "oversized_opaque"), "object"
 
-_TUPLE = "struct<input:bigint,cached:bigint,output:bigint,reasoning:bigint,total:bigint>"
-RECORDS = (
-    "path string, line long, class string, type string, ts string, has_payload boolean, payload_type string, turn_id string, model string, "
-    f"settings_model string, started_at long, trigger boolean, recipient string, internal_turn_id string, usage {_TUPLE}, total {_TUPLE}, "
-    "meta struct<session_id:string,id:string,thread_source:string,has_spawn:boolean,cwd:string,forked_from_id:string,parent_thread_id:string,"
-    "agent_role:string,agent_path:string,agent_nickname:string>"
-)
+_SIMPLE = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 
 
 def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """The schema of a comma-separated list of names and simple types; needs no session."""
+    return T.StructType([T.StructField(name, _SIMPLE[kind]) for name, kind in (part.split() for part in ddl.split(","))])
+
+
+_TUPLE = struct("input long, cached long, output long, reasoning long, total long")
+_META = struct("session_id string, id string, thread_source string, has_spawn boolean, cwd string, forked_from_id string, parent_thread_id string, agent_role string, agent_path string, agent_nickname string")
+RECORDS = (
+    struct(
+        "path string, line long, class string, type string, ts string, has_payload boolean, payload_type string, turn_id string, model string, "
+        "settings_model string, started_at long, trigger boolean, recipient string, internal_turn_id string"
+    )
+    .add("usage", _TUPLE)
+    .add("total", _TUPLE)
+    .add("meta", _META)
+)
 
 
 def invalid_event() -> Column:

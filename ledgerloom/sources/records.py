@@ -154,7 +154,7 @@ def flat(path: str, line: int, raw: bytes) -> dict:
     return row
 
 
-_FIELDS = schema.struct(schema.RECORDS).fieldNames()
+_FIELDS = schema.RECORDS.fieldNames()
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def records(files: DataFrame) -> DataFrame:
 def _arrow_schema() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(schema.struct(schema.RECORDS))
+    return to_arrow_schema(schema.RECORDS)
 
 
 def damaged_files(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerloom import schema
@@ -154,7 +155,7 @@ class LiveLedger:
         history = self.spark.read.schema("path string, reset boolean, batch int").parquet(f"{self.store}/touched")
         since = history.where("reset").groupBy("path").agg(F.max("batch").alias("since"))
         mine = touched.select("path").join(since, "path", "left")
-        kept = self.spark.read.schema(schema.RECORDS + ", batch int").parquet(f"{self.store}/records").join(mine, "path").where("since is null or batch >= since").drop("since", "batch")
+        kept = self.spark.read.schema(T.StructType([*schema.RECORDS.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{self.store}/records").join(mine, "path").where("since is null or batch >= since").drop("since", "batch")
         damaged = records.damaged_files(kept)
         parsed = attribution.parse(kept.join(damaged, "path", "left_anti"))
         now = int(time.time() * 1000)
