@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_uuid_v7
-
-#: Where levels of a closure are written if the session names no spark.checkpoint.dir, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage does not grow with the levels of a closure."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    path = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ledgerloom.sources.staging import cut
 
 
 def parent_keys(rollouts: DataFrame) -> DataFrame:
@@ -34,12 +22,12 @@ def closure(rollouts: DataFrame, roots: DataFrame) -> DataFrame:
     Semi-naive: only pairs found last are extended, pairs known already are dropped, so cycles end.
     """
     children = parent_keys(rollouts).join(rollouts.select(F.col("rollout_id").alias("child"), F.col("parent_thread_id").alias("parent_key")), "parent_key").select("rollout_id", "child").distinct()
-    children = _cut(children.where("rollout_id <> child"))
-    new = _cut(roots.select("root", "rollout_id").distinct())
+    children = cut(children.where("rollout_id <> child"))
+    new = cut(roots.select("root", "rollout_id").distinct())
     found = new
     while not new.isEmpty():
         step = new.join(children, "rollout_id").select("root", F.col("child").alias("rollout_id")).distinct()
-        new = _cut(step.join(found, ["root", "rollout_id"], "left_anti"))
+        new = cut(step.join(found, ["root", "rollout_id"], "left_anti"))
         found = found.unionByName(new)
     return found
 

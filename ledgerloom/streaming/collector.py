@@ -16,6 +16,7 @@ from ledgerloom import schema
 from ledgerloom.operators import attribution, canonical, mutations
 from ledgerloom.sources import records
 from ledgerloom.sources.ledger import Ledger
+from ledgerloom.sources.staging import cut
 
 from .growing_files import GrowingFiles
 
@@ -44,17 +45,17 @@ def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, now_ms: int | Non
     todo = found if rebuild else changed_files(found, tables["source_files"])
     paths = todo.select(F.col("file_path").alias("path"))
     gone = mutations.missing_sources(tables["source_files"], found)
-    files = records.contents(spark, *roots).join(paths, "path", "left_semi").persist()
-    rows = records.records(files).persist()
-    damaged = records.damaged_files(rows)
+    files = records.contents(spark, *roots).join(paths, "path", "left_semi")
+    rows, shots = cut(records.records(files), "records"), cut(records.snapshots(files), "snapshots")
+    damaged = cut(records.damaged_files(rows), "damaged")
     parsed = attribution.parse(rows.join(damaged, "path", "left_anti"))
-    meta = parsed["metadata"].join(records.snapshots(files), "path").persist()
-    events = parsed["events"].persist()
+    meta = cut(parsed["metadata"].join(shots, "path"), "metadata")
+    events = cut(parsed["events"], "events")
     order = F.row_number().over(Window.partitionBy("rollout_id").orderBy("path"))
     turns = meta.select("path", "rollout_id").withColumn("turn", order)
     for turn in range(1, (turns.agg(F.max("turn")).head()[0] or 0) + 1):
         tables = _decide(tables, meta.join(turns.where(F.col("turn") == turn).select("path"), "path", "left_semi"), events, rebuild, now)
-    bad = damaged.join(files.drop("content"), "path").select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms")
+    bad = damaged.join(shots, "path").select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms")
     known = tables["source_files"].join(bad.select("file_path"), "file_path", "left_semi").withColumn("last_error", F.lit("damaged record"))
     fresh = bad.join(tables["source_files"].select("file_path"), "file_path", "left_anti")
     blank = {f.name: F.lit(None).cast(f.dataType) for f in schema.struct(schema.SOURCES)} | {"byte_offset": F.lit(0).cast("long"), "prefix_status": F.lit("unknown"), "canonical_status": F.lit("candidate"), "is_present": F.lit(True), "last_error": F.lit("damaged record")}
@@ -62,10 +63,7 @@ def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, now_ms: int | Non
     sources, checkpoints = mutations.upsert_sources(tables["source_files"], known.unionByName(fresh), tables["rollout_checkpoints"])
     sources, checkpoints = mutations.mark_missing(sources, checkpoints, gone, now)
     state = mutations.put_state(tables["collector_state"], spark.createDataFrame([("parser_revision", str(PARSER_REVISION), now)], schema.STATE))
-    revision = ledger.commit(rollouts=tables["rollouts"], usage_events=tables["usage_events"], source_files=sources, rollout_checkpoints=checkpoints, collector_state=state)
-    for df in (files, rows, meta, events):
-        df.unpersist()
-    return revision
+    return ledger.commit(rollouts=tables["rollouts"], usage_events=tables["usage_events"], source_files=sources, rollout_checkpoints=checkpoints, collector_state=state)
 
 
 def _decide(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, rebuild: bool, now: int) -> dict[str, DataFrame]:
@@ -98,7 +96,8 @@ def _decide(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, re
         .withColumn("prefix_rewritten", F.coalesce((F.col("stable_length") < F.col("byte_offset")) | ((F.col("stable_length") == F.col("byte_offset")) & (F.col("boundary_hash") != F.col("prefix_hash"))), F.lit(False)))
         .withColumn("same_metadata", F.col("before").isNull() | F.col("before").eqNullSafe(F.struct(*canonical.ATTRIBUTES)))
     )
-    decided = facts.withColumn("decision", canonical.decision()).persist()
+    decided = facts.withColumn("decision", canonical.decision())
+    decided = cut(decided, "decisions")
     status = F.when(F.col("decision") == "conflict", "conflict").otherwise("candidate")
     listed = decided.where("decision <> 'reject'").select(
         F.col("path").alias("file_path"), "rollout_id", "size_bytes", "modified_at_epoch_ms", F.col("stable_length").alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"),
@@ -112,7 +111,7 @@ def _decide(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, re
     settled = sources.where("canonical_status = 'conflict'").groupBy("rollout_id").agg(F.min("file_path").alias("resolved"))
     chosen = taken.select("rollout_id", "path").join(settled, "rollout_id", "left").withColumn("resolved", F.when(F.col("resolved") != F.col("path"), F.col("resolved")))
     rollouts, sources, checkpoints = mutations.promote(rollouts, sources, checkpoints, chosen, now)
-    return tables | {"rollouts": rollouts, "usage_events": ledger_events, "source_files": sources, "rollout_checkpoints": checkpoints}
+    return tables | {n: cut(t, n) for n, t in (("rollouts", rollouts), ("usage_events", ledger_events), ("source_files", sources), ("rollout_checkpoints", checkpoints))}
 
 
 # --- the stream -------------------------------------------------------------------------------------------------------
@@ -148,7 +147,7 @@ class LiveLedger:
         self.ledger, self.store, self.spark = ledger, store.rstrip("/"), ledger.spark
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
-        lines = lines.persist()
+        lines = cut(lines, "tail")
         typed(lines).write.mode("overwrite").parquet(f"{self.store}/records/batch={batch}")
         touched = lines.groupBy("path").agg(F.max("reset").alias("reset"))
         touched.write.mode("overwrite").parquet(f"{self.store}/touched/batch={batch}")
@@ -165,7 +164,6 @@ class LiveLedger:
         events = mutations.replace_events(tables["usage_events"], parsed["events"].select(*schema.struct(schema.EVENTS).fieldNames()), meta)
         state = mutations.put_state(tables["collector_state"], self.spark.createDataFrame([("last_batch", str(batch), now)], schema.STATE))
         self.ledger.commit(rollouts=rollouts, usage_events=events, collector_state=state)
-        lines.unpersist()
 
     def start(self, *roots: str, checkpoint: str, every: str = "2 seconds", once: bool = False, most_files: int = 16) -> StreamingQuery:
         writer = tail(self.spark, *roots, most_files=most_files).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
