@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the file system remove an intermediate folder when the session's process ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df to the shared folder and reads it back: plans stay small, and lost executors cost nothing done so far."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
