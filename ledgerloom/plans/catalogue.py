@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import presentation, pricing, text
-from ledgerloom.operators import canonical, mutations, ordering, threads, usage
+from ledgerloom.operators import attribution, canonical, mutations, ordering, threads, usage
 from ledgerloom.operators.filters import LedgerFilter, SelectionFilter
+from ledgerloom.sources import records
 
 from . import views
 
@@ -139,8 +140,7 @@ def cost_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def model_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = usage.by_model(_priced(spark, sf_dir))
-    total = groups.agg(F.sum("total_nano").alias("all_nano"))
-    rows = ordering.order_models(groups).join(F.broadcast(total))  # one row
+    rows = ordering.order_models(groups.withColumn("all_nano", F.sum("total_nano").over(Window.partitionBy())))  # a row a category
     return rows.select(
         "category", "total_nano", F.round(presentation.share(F.col("total_nano"), F.col("all_nano")), 6).alias("share"), presentation.row_priced(F.col("unpriced_tokens"), F.col("canonical_tokens")).alias("priced"),
         F.round(pricing.multiplier(F.col("total_nano"), F.col("baseline_nano")), 6).alias("multiplier"), ordering.model_rank(F.col("category")).alias("place"),
@@ -419,3 +419,76 @@ def observation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.observation_gaps(runs)
 
 
+
+
+# --- whole logs -----------------------------------------------------------------------------------------------------------
+
+
+def _logs(spark: SparkSession, sf_dir: str, first: Column, lines: list[Column]) -> DataFrame:
+    """path, content: a session log of each rollout, made of its events in the order of their time. `first` is the
+    session_meta record, `lines` the records of an event; both are structs over the columns of the event view, `lo`
+    and `hi` (the rollout's first and last time)."""
+    span = Window.partitionBy("rollout_id")
+    events = views.usage_events(spark, sf_dir).withColumn("lo", F.min("timestamp_epoch_ms").over(span)).withColumn("hi", F.max("timestamp_epoch_ms").over(span))
+    shown = F.concat_ws("\n", *[F.to_json(x) for x in lines])
+    rows = events.select("rollout_id", F.to_json(first).alias("first"), F.struct("timestamp_epoch_ms", "token_event_ordinal", shown.alias("text")).alias("line"))
+    files = rows.groupBy("rollout_id").agg(F.min("first").alias("first"), F.array_sort(F.collect_list("line")).alias("lines"))  # one session's log
+    content = F.concat(F.col("first"), F.lit("\n"), F.array_join(F.col("lines.text"), "\n"), F.lit("\n"))
+    return files.select(F.concat(F.lit("/logs/rollout-2026-x-"), F.col("rollout_id"), F.lit(".jsonl")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+
+
+def _record(kind: str, at: Column, **payload) -> Column:
+    return F.struct(at.alias("timestamp"), F.lit(kind).alias("type"), F.struct(*[v.alias(k) for k, v in payload.items()]).alias("payload"))
+
+
+def _iso(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _event_lines() -> list[Column]:
+    at, turn = _iso(F.col("timestamp_epoch_ms")), F.concat(F.lit("t"), F.col("token_event_ordinal").cast("string"))
+    tuple_ = lambda i, o: F.struct(i.alias("input_tokens"), F.col("cached_input_tokens"), o.alias("output_tokens"), F.col("reasoning_output_tokens"), (i + o).alias("total_tokens"))
+    usage_ = tuple_(F.col("input_tokens"), F.col("output_tokens"))
+    total = tuple_(F.col("token_event_ordinal"), F.col("output_tokens"))
+    return [
+        _record("event_msg", at, type=F.lit("task_started"), turn_id=turn, started_at=F.expr("timestamp_epoch_ms DIV 1000")), _record("turn_context", at, turn_id=turn, model=F.col("model")),
+        _record("event_msg", at, type=F.lit("token_count"), info=F.struct(usage_.alias("last_token_usage"), total.alias("total_token_usage"))),
+    ]
+
+
+_PARSED = ("rollout_id", "token_event_ordinal", "timestamp_epoch_ms", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
+
+
+def _parsed_sql(where: str) -> str:
+    return (
+        f"{WITH}, s AS (SELECT *, min(timestamp_epoch_ms) OVER (PARTITION BY rollout_id) AS lo, max(timestamp_epoch_ms) OVER (PARTITION BY rollout_id) AS hi FROM usage_events) "
+        f"SELECT rollout_id, row_number() OVER (PARTITION BY rollout_id ORDER BY timestamp_epoch_ms, token_event_ordinal) - 1 AS token_event_ordinal, {', '.join(_PARSED[2:])} FROM s "
+        f"WHERE (input_tokens > 0 OR output_tokens > 0) AND {where}"
+    )
+
+
+@query(_parsed_sql("true"))
+def parse_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs made of the events, split, read and attributed again: every event with tokens comes back."""
+    first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"), session_id=F.lit("s"), cwd=F.lit("/w/p"))
+    return attribution.parse(records.records(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+
+
+@query(_parsed_sql("timestamp_epoch_ms // 1000 > ((lo + hi) // 2) // 1000"))
+def fork_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of forks at the middle of their time: only what started later counts."""
+    first = _record("session_meta", _iso(F.expr("(lo + hi) DIV 2")), id=F.col("rollout_id"), forked_from_id=F.lit("parent"))
+    return attribution.parse(records.records(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+
+
+@query(f"{WITH} SELECT rollout_id, concat(project_name, ' - ', substr(conversation_id, 1, 12), ' - untitled') AS label FROM rollouts")
+def thread_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.rollouts(spark, sf_dir).select("rollout_id", text.thread_label(F.col("project_name"), F.col("conversation_id"), F.col("thread_title")).alias("label"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('0190', lower(lpad(hex(event_id), 4, '0')), '-0000-7000-8000-000000000000') ELSE concat('legacy-', CAST(event_id AS VARCHAR)) END AS rollout_id FROM events")
+def fallback_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v7 = F.concat(F.lit("0190"), F.lpad(F.hex("event_id"), 4, "0"), F.lit("-0000-7000-8000-000000000000"))
+    name = F.when(F.col("event_id") % 2 == 0, v7).otherwise(F.concat(F.lit("legacy-"), F.col("event_id").cast("string")))
+    path = F.concat(F.lit("/logs/a-b/rollout-2026-"), name, F.lit(".jsonl"))
+    return views.raw_events(spark, sf_dir).select("event_id", text.fallback_rollout_id(path).alias("rollout_id"))
