@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.staging import drop_at_exit
+
 #: A word in the sense of the contracts: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper and lower case of ASCII, for translate(): the contracts lower-case A-Z alone.
@@ -37,6 +39,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

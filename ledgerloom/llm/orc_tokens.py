@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.staging import drop_at_exit
+
 from . import common
 
 #: Writer settings. ORC stores integers of a stripe run-length encoded; a row index entry covers STRIDE documents.
@@ -122,4 +124,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Encodes docs, writes the files to the shared folder, reads them back and returns digest()."""
     path = common.shared_path(docs.sparkSession, "token-orc")
     write_tokens(docs, path, tokenizer, end_id)
+    drop_at_exit(docs.sparkSession, path)
     return digest(read_tokens(docs.sparkSession, path))
