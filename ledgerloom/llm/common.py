@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
+#: Rows of ids that may be broadcast (some 30 bytes each); beyond, joins are shuffled.
+MOST_BROADCAST = 500_000
 #: Text bytes that one Python step holds at a time; longer single texts are taken alone.
 SLICE_BYTES = 2 << 20
 
@@ -43,6 +45,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed_rows(docs: DataFrame, chosen: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of docs whose id and text hash are in chosen (_id_, _hash_, ...), with chosen's other columns.
+
+    chosen is broadcast if it is small by count. Texts move only if it is not, or if docs has repeated rows, of which
+    one stays.
+    """
+    rows = docs.withColumn("_own_", F.xxhash64("text"))
+    few = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    on = rows["doc_id"].eqNullSafe(chosen["_id_"]) & (rows["_own_"] == chosen["_hash_"])
+    rows = rows.join(F.broadcast(chosen) if few else chosen, on)
+    return rows.dropDuplicates(["doc_id", "_own_"]) if repeated else rows
+
+
 def words_in(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -168,8 +168,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns unchanged."""
-    copies = mix(docs, weights, most).groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies_")).where("_copies_ > 0")
-    copies = copies.select(F.col("doc_id").alias("_id_"), F.col("key").alias("_mixed_"), "_copies_")
-    keyed = docs.withColumn("_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash_"])
-    chosen = keyed.join(copies, keyed["doc_id"].eqNullSafe(copies["_id_"]) & (keyed["_hash_"] == copies["_mixed_"])).select(*[keyed[c] for c in docs.columns], "_copies_")
+    copies = mix(docs, weights, most).groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies_"), F.count("*").alias("_rows_"))
+    copies = common.materialise(copies.select(F.col("doc_id").alias("_id_"), F.col("key").alias("_hash_"), "_copies_", "_rows_"), "copies")
+    repeated = not copies.where("_rows_ > 1").isEmpty()
+    chosen = common.keyed_rows(docs, copies.where("_copies_ > 0").drop("_rows_"), repeated).select(*[docs[c] for c in docs.columns], "_copies_")
     return chosen.withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_copies_")))).select(*docs.columns)
