@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.staging import drop_at_exit
 
+# Batches of texts come and go in a worker that lives on: what is freed shall go back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A word in the sense of the contracts: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper and lower case of ASCII, for translate(): the contracts lower-case A-Z alone.
@@ -45,6 +49,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While tables are written within: rows that Spark hands to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keyed_rows(docs: DataFrame, chosen: DataFrame, repeated: bool) -> DataFrame:
     """The rows of docs whose id and text hash are in chosen (_id_, _hash_, ...), with chosen's other columns.
 
