@@ -28,7 +28,7 @@ ORDER, LOW = 5, 2
 #: Byte values that UTF-8 never has: before the text, and its end. Symbols that can follow: 0 to 255.
 BEFORE, END, ALPHABET = 0xFE, 0xFF, 256
 #: Text bytes of a block of documents; least number of buckets of contexts.
-BLOCK_BYTES, BUCKETS = 24 << 20, 1_024
+BLOCK_BYTES, BUCKETS = 32 << 20, 1_024
 
 
 def tokens_of(text: str) -> list[bytes]:
