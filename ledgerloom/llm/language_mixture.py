@@ -23,10 +23,10 @@ from . import common
 #: Rows of the n-gram table: with the number of languages, the bound of what the driver collects and broadcasts.
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 400
-#: Languages that a document's set may hold, rounds of EM, smoothing, and how far one word may speak against a language.
-MAX_SET, ROUNDS, ALPHA, FLOOR = 3, 8, 0.5, -14.0
-#: Added to 0.5 log(words) for each further language of a set; a share below LEAST does not make a language.
-PENALTY, LEAST = 6.0, 0.05
+#: Rounds of EM, smoothing, and how far one word may speak against a language.
+ROUNDS, ALPHA, FLOOR = 12, 0.5, -14.0
+#: Added to 0.5 log(words) for each further language of a set.
+PENALTY = 6.0
 UNKNOWN = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -80,17 +80,24 @@ class Model:
         chosen = np.zeros(single.shape, np.float32)
         # one language: its posterior probability among all, each taken alone
         chosen[np.arange(len(best)), best] = 1 / np.exp(single - value[:, None]).sum(1)
-        everything = _em(p, counts, np.ones((len(counts), p.shape[1]), np.float32))[0]
+        languages = p.shape[1]
+        if languages == 1:
+            return chosen
+        everything, ll = _em(p, counts, np.ones((len(counts), languages), np.float32))
         order = np.argsort(-everything, axis=1, kind="stable")
-        # sets of several languages come into question where the second has a share at all
-        open_ = np.flatnonzero(np.sort(everything, axis=1)[:, -2] >= LEAST) if p.shape[1] > 1 else np.zeros(0, np.int64)
-        words = np.repeat(np.isin(np.arange(len(counts)), open_), counts)
-        for m in range(2, min(MAX_SET, p.shape[1]) + 1 if len(open_) else 0):
-            allowed = np.zeros((len(open_), p.shape[1]), np.float32)
+        # no mixture of any languages is likelier than this: sets go on until they could not win however well they fit
+        most = ll + _slack(p, counts, everything)
+        penalty = 0.5 * np.log(counts) + PENALTY
+        for m in range(2, languages + 1):
+            open_ = np.flatnonzero(most - (m - 1) * penalty > value)
+            if not len(open_):
+                break
+            words = np.repeat(np.isin(np.arange(len(counts)), open_), counts)
+            allowed = np.zeros((len(open_), languages), np.float32)
             np.put_along_axis(allowed, order[open_, :m], 1, axis=1)
             share, ll = _em(p[words], counts[open_], allowed)
-            gain = ll - (m - 1) * (0.5 * np.log(counts[open_]) + PENALTY)
-            better = (gain > value[open_]) & (np.where(allowed > 0, share, 1).min(1) >= LEAST)
+            gain = ll - (m - 1) * penalty[open_]
+            better = gain > value[open_]
             chosen[open_[better]], value[open_[better]] = share[better], gain[better]
         return chosen
 
@@ -108,6 +115,15 @@ def _em(p: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndar
     return share, np.add.reduceat(np.log(mixed, dtype=np.float64), starts)
 
 
+def _slack(p: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """What the log-likelihoods may still gain at most over these shares: words times the log of the largest mean ratio
+    of a language's likelihood to the mixture's (the log-likelihood is concave in the shares)."""
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    mixed = np.maximum((p * np.repeat(share, counts, axis=0)).sum(1, keepdims=True), 1e-30)
+    ratio = np.add.reduceat(p / mixed, starts, axis=0, dtype=np.float64) / counts[:, None]
+    return counts * np.log(np.maximum(ratio.max(1), 1))
+
+
 def fit(labelled: DataFrame) -> Model:
     """Learns from all rows (text, lang); null texts or languages are ignored. Each task sums n-gram counts by language
     before anything is shuffled."""
@@ -140,10 +156,10 @@ def fit(labelled: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """row (all columns of docs as a struct), lang_pred and score (its share; its posterior if it is the only one).
-    Only the text is looked at.
+    """row (all columns of docs as a struct), lang_pred and score (its share; its posterior if it is the only one),
+    languages (the set, in code-point order) and shares (theirs, likewise). Only the text is looked at.
 
-    A null text or one without a letter gives `und` and 0. Ties go to the first language in code-point order.
+    A null text or one without a letter gives `und`, 0 and an empty set. Ties go to the first language in code-point order.
     Repeated rows give a row each; an empty table gives none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -152,10 +168,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                names, score, _ = shipped.value.infer(common.texts_of(part))
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
-
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+                names, score, found = shipped.value.infer(common.texts_of(part))
+                doc, lang = np.nonzero(found)
+                offsets = pa.array(np.searchsorted(doc, np.arange(len(found) + 1)).astype(np.int32))
+                languages = pa.ListArray.from_arrays(offsets, pa.array([shipped.value.languages[k] for k in lang], pa.string()))
+                shares = pa.ListArray.from_arrays(offsets, pa.array(found[doc, lang].astype(float)))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(names, pa.string()), pa.array(score, pa.float64()), languages, shares], ["row", "lang_pred", "score", "languages", "shares"])
+
+    more = "lang_pred string, score double, languages array<string>, shares array<double>"
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *T.StructType.fromDDL(more).fields]))
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:

@@ -55,6 +55,21 @@ def test_mixtures_are_found_and_em_equals_plain_loops(docs):
         assert np.allclose(own, share[d], atol=1e-4) and abs(sum(math.log((w * own).sum()) for w in words) - ll[d]) < 1e-3
 
 
+def test_sets_of_all_languages_and_small_shares(docs):
+    model = language_mixture.fit(docs)
+    rows = docs.where("n_chars between 400 and 3000").select("lang", "text").collect()
+    of = {lang: language_mixture.words_of(" ".join(r.text for r in rows if r.lang == lang and "###" not in r.text)) for lang in model.languages}
+    every = " ".join(" ".join(of[lang][:100]) for lang in model.languages)
+    small = " ".join((of["de"] * 100)[:4_900] + of["es"][:100])
+    _, score, shares = model.infer([every, small])
+    assert len(model.languages) == 4 and (shares[0] > 0.15).all() and score[0] < 1 / 3
+    assert 0.005 < shares[1][model.languages.index("es")] < 0.04 and score[1] < 1
+    df = docs.sparkSession.createDataFrame([(1, every), (2, None)], "doc_id long, text string")
+    one, none = sorted(language_mixture.predict(df, model).collect(), key=lambda r: r.row.doc_id)
+    assert one.languages == model.languages and abs(sum(one.shares) - 1) < 1e-4 and max(one.shares) == one.score
+    assert none.languages == [] and none.shares == []
+
+
 # --- co-training ----------------------------------------------------------------------------------------------------------
 
 
