@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two views of a document, its words and its page (source, language, length, layout), each have a logistic classifier.
-Over some rounds each view hands its most confident judgements of unlabelled documents to the other as labels. The
-two are calibrated on labelled documents kept back and combined; the combination scores every document.
+Over some rounds each view judges all unlabelled documents and hands its most confident judgements to the other as
+labels. The two are calibrated on labelled documents kept back and combined; the combination scores every document.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Documented bounds of what the driver fits on: labelled documents, unlabelled ones, hashed features, chosen features.
-MOST_LABELLED, MOST_POOL, BUCKETS, CHOSEN = 8_000, 4_000, 1 << 18, 512
+#: Documented bounds of what the driver fits on: labelled documents, judgements that a view hands over for each class
+#: and round (the most confident of all documents), hashed features, chosen features.
+MOST_LABELLED, MOST_GIVEN, BUCKETS, CHOSEN = 8_000, 2_000, 1 << 18, 1_024
 ROUNDS, SHARE, SURE = 3, 0.05, 0.9
 SEEN_IN = 4
+_SURE_ODDS = float(np.log(SURE / (1 - SURE)))
 
 _TABLE = {**{ord(c): "a" for c in common.LOWER}, **{ord(c): "A" for c in common.UPPER}, **{ord(c): "0" for c in "0123456789"}}
 
@@ -133,41 +135,60 @@ class Classifier:
         return a, b, self.combine[0] * a + self.combine[1] * b + self.combine[2]
 
 
+class Training:
+    """The two views' fits on labelled documents and on what they have been given."""
+
+    def __init__(self, views: list[list[np.ndarray]], y: np.ndarray):
+        self.y = y.astype(float)
+        self.keep = np.arange(len(y)) % 4 != 3  # every fourth labelled document is kept back for calibration
+        self.two_classes = len(y) > 0 and self.y.min() != self.y.max()
+        self.given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # label and features by document, for each view
+        if self.two_classes:
+            self.chosen = [choose([x for x, k in zip(v, self.keep, strict=True) if k], self.y[self.keep]) for v in views]
+            self.own = [Rows.of(v, c).dense for v, c in zip(views, self.chosen, strict=True)]
+            self.train()
+
+    def train(self) -> None:
+        self.weights = []
+        for own, chosen, given in zip(self.own, self.chosen, self.given, strict=True):
+            more = Rows.of([features for _, features in given.values()], chosen).dense
+            labels = np.concatenate([self.y[self.keep], np.array([label for label, _ in given.values()])])
+            self.weights.append(logistic(np.vstack([own[self.keep], more]), labels, np.concatenate([np.ones(int(self.keep.sum())), np.full(len(more), 0.5)])))
+
+    def asked(self, size: int) -> tuple[int, int]:
+        """How many new judgements of each class (0, 1) a view hands over in a round."""
+        n, mean = max(1, int(SHARE * size)), self.y.mean()
+        return min(MOST_GIVEN, max(1, int(n * (1 - mean)))), min(MOST_GIVEN, max(1, int(n * mean)))
+
+    def tables(self) -> list[np.ndarray]:
+        out = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+        for table, c, w in zip(out, self.chosen, self.weights, strict=True):
+            table[c] = w[:-1]
+        return out
+
+    def classifier(self) -> Classifier:
+        y, keep = self.y, self.keep
+        if not self.two_classes:
+            constant = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+            return Classifier(np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0), (0.0, 0.0, float(np.log(constant / (1 - constant)))))
+        kept = np.column_stack([*(np.clip(self.own[i][~keep] @ self.weights[i], -12, 12) for i in (0, 1)), np.ones(int((~keep).sum()))])
+        combine = np.maximum(logistic(kept, y[~keep], np.ones(len(kept)), 2_000, 1e-4), [0, 0, -np.inf]) if len(kept) > 10 else np.array([0.5, 0.5, 0.0])
+        tables = self.tables()
+        return Classifier(tables[0], tables[1], (float(self.weights[0][-1]), float(self.weights[1][-1])), tuple(map(float, combine)))
+
+
 def co_train(views: list[list[np.ndarray]], y: np.ndarray, pool: list[list[np.ndarray]]) -> Classifier:
     """views and pool: for each of the two views the feature lists of the labelled and of the unlabelled documents."""
-    keep = np.arange(len(y)) % 4 != 3  # every fourth labelled document is kept back for calibration
-    y = y.astype(float)
-    if not len(y) or y.min() == y.max():
-        constant = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Classifier(np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0), (0.0, 0.0, float(np.log(constant / (1 - constant)))))
-    chosen = [choose([x for x, k in zip(v, keep, strict=True) if k], y[keep]) for v in views]
-    own = [Rows.of(v, c).dense for v, c in zip(views, chosen, strict=True)]
-    more = [Rows.of(v, c).dense for v, c in zip(pool, chosen, strict=True)]
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels by pool number, for each view
-
-    def train(i: int) -> np.ndarray:
-        at = np.fromiter(given[i], np.int64, len(given[i]))
-        x = np.vstack([own[i][keep], more[i][at]])
-        labels = np.concatenate([y[keep], np.fromiter(given[i].values(), float, len(at))])
-        return logistic(x, labels, np.concatenate([np.ones(int(keep.sum())), np.full(len(at), 0.5)]))
-
-    weights = [train(0), train(1)]
-    for _ in range(ROUNDS if len(more[0]) else 0):
+    training, size = Training(views, y), len(pool[0])
+    for _ in range(ROUNDS if training.two_classes and size else 0):
         for i in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(more[i] @ weights[i], -30, 30)))
-            order = np.argsort(p, kind="stable")
-            n = max(1, int(SHARE * len(p)))
-            for label, best in ((0.0, order[: max(1, int(n * (1 - y.mean())))]), (1.0, order[::-1][: max(1, int(n * y.mean()))])):
-                for j in best:
-                    if j not in given[1 - i] and (p[j] >= SURE if label else p[j] <= 1 - SURE):
-                        given[1 - i][int(j)] = label
-        weights = [train(0), train(1)]
-    kept = np.column_stack([*(np.clip(own[i][~keep] @ weights[i], -12, 12) for i in (0, 1)), np.ones(int((~keep).sum()))])
-    combine = np.maximum(logistic(kept, y[~keep], np.ones(len(kept)), 2_000, 1e-4), [0, 0, -np.inf]) if len(kept) > 10 else np.array([0.5, 0.5, 0.0])
-    tables = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for table, c, w in zip(tables, chosen, weights, strict=True):
-        table[c] = w[:-1]
-    return Classifier(tables[0], tables[1], (float(weights[0][-1]), float(weights[1][-1])), tuple(map(float, combine)))
+            odds = Rows.of(pool[i], training.chosen[i]).dense @ training.weights[i]
+            to = training.given[1 - i]
+            for label, n, best in zip((0.0, 1.0), training.asked(size), (np.argsort(odds, kind="stable"), np.argsort(-odds, kind="stable")), strict=True):
+                sure = [int(j) for j in best if j not in to and (odds[j] >= _SURE_ODDS if label else odds[j] <= -_SURE_ODDS)]
+                to.update((j, (label, pool[1 - i][j])) for j in sure[:n])
+        training.train()
+    return training.classifier()
 
 
 def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
@@ -175,34 +196,93 @@ def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> dict[str, Classifier]:
-    """A classifier for each 0/1 column of labels. Documents with an id, a text and both labels count.
+    """A classifier for each 0/1 column of labels. Documents with an id, a text and all labels count; repeated ids once.
 
-    Fits on the MOST_LABELLED labelled and MOST_POOL unlabelled documents whose ids hash lowest: bounded samples.
+    Fits on the MOST_LABELLED labelled documents whose ids hash lowest, a bounded sample. All documents without a label
+    are judged in each round; the most confident ones, MOST_GIVEN of a class at most, join the fit.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in targets]).dropna()
-    by_hash = F.xxhash64("doc_id")
-    some = known.orderBy(by_hash, "doc_id").limit(MOST_LABELLED)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().join(known.select("doc_id"), "doc_id", "left_anti").orderBy(by_hash, "doc_id").limit(MOST_POOL)
-    ids = some.unionByName(rest.select("doc_id", *[F.lit(None).cast("int").alias(t) for t in targets]))
-    sample = _narrow(docs).where(F.col("_text_").isNotNull()).join(F.broadcast(ids), "doc_id")  # at most MOST_LABELLED + MOST_POOL rows
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    rows = _narrow(docs).where(F.col("_text_").isNotNull() & F.col("doc_id").isNotNull())
+    sample = rows.join(F.broadcast(some), "doc_id")  # at most MOST_LABELLED ids
+    found = _feature_rows(sample, targets).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    found = found.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"]], kind="stable")]
+    views = [[np.asarray(x, np.int64) for x in found[v]] for v in ("content", "page")]
+    trainings = {t: Training(views, found[t].to_numpy(float).astype(int)) for t in targets}
+    _teach([t for t in trainings.values() if t.two_classes], rows, known)
+    return {t: training.classifier() for t, training in trainings.items()}
+
+
+def _feature_rows(rows: DataFrame, more: tuple[str, ...], chosen: list[np.ndarray] | None = None) -> DataFrame:
+    """doc_id, the columns `more` (int), content and page (features) of _narrow's rows; of chosen features only, if given."""
+    keep = None
+    if chosen is not None:
+        keep = [np.zeros(BUCKETS, bool) for _ in chosen]
+        for mask, c in zip(keep, chosen, strict=True):
+            mask[c] = True
+    shipped = rows.sparkSession.sparkContext.broadcast(keep)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "_text_"):
                 texts = common.texts_of(part, "_text_")
                 lists = []
-                for doc, feature in (content_features(texts), page_features(texts, *(part.column(c).to_pylist() for c in ("_source_", "_lang_", "_n_chars_")))):
+                for i, (doc, feature) in enumerate((content_features(texts), page_features(texts, *(part.column(c).to_pylist() for c in ("_source_", "_lang_", "_n_chars_"))))):
+                    if shipped.value is not None:
+                        doc, feature = doc[at := shipped.value[i][feature]], feature[at]
                     order = np.argsort(doc, kind="stable")
                     offsets = np.searchsorted(doc[order], np.arange(part.num_rows + 1)).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature[order].astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(t) for t in targets], *lists], ["doc_id", *targets, "content", "page"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[part.column(t) for t in more], *lists], ["doc_id", *more, "content", "page"])
+
+    return rows.mapInArrow(features, "doc_id long, " + "".join(f"{t} int, " for t in more) + "content array<int>, page array<int>")
+
+
+def _teach(trainings: list[Training], rows: DataFrame, known: DataFrame) -> None:
+    """The rounds of co-training over all unlabelled documents. Their chosen features are extracted once and written; a
+    round writes every document's log-odds and takes the most confident by ordered limits. Ties go by hash of the id."""
+    if not trainings:
+        return
+    chosen = [np.unique(np.concatenate([t.chosen[i] for t in trainings])) for i in (0, 1)]
+    pool = _feature_rows(rows, (), chosen).join(known.select("doc_id"), "doc_id", "left_anti")
+    pool = common.materialise(pool.groupBy("doc_id").agg(F.min(F.struct("content", "page")).alias("x")).select("doc_id", "x.content", "x.page"), "unlabelled")
+    size = pool.count()
+    names = [[f"odds_{k}_{i}" for i in (0, 1)] for k in range(len(trainings))]
+    for _ in range(ROUNDS if size else 0):
+        judged = common.materialise(_judged(pool, trainings, [n for x in names for n in x]), "judged")
+        taken: list[tuple[int, int, float, list[int]]] = []
+        for k, training in enumerate(trainings):
+            for i in (0, 1):
+                odds, to = F.col(names[k][i]), training.given[1 - i]
+                for label, n, sure, order in zip((0.0, 1.0), training.asked(size), (odds <= -_SURE_ODDS, odds >= _SURE_ODDS), (odds.asc(), odds.desc()), strict=True):
+                    best = judged.where(sure).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(n + len(to)).select("doc_id").toPandas()["doc_id"]
+                    taken.append((k, 1 - i, label, [d for d in best.tolist() if d not in to][:n]))
+        ids = sorted({d for *_, some in taken for d in some})
+        if not ids:
+            break
+        wanted = rows.sparkSession.createDataFrame([(d,) for d in ids], "doc_id long")
+        got = pool.join(F.broadcast(wanted), "doc_id").toPandas()  # at most 4 * MOST_GIVEN ids a target
+        lists = {d: (np.asarray(c, np.int64), np.asarray(p, np.int64)) for d, c, p in zip(got["doc_id"].tolist(), got["content"], got["page"], strict=True)}
+        for k, view, label, some in taken:
+            for d in some:
+                trainings[k].given[view].setdefault(d, (label, lists[d][view]))
+        for training in trainings:
+            training.train()
+
+
+def _judged(pool: DataFrame, trainings: list[Training], names: list[str]) -> DataFrame:
+    """doc_id and each view's log-odds of each training."""
+    tables = [(("content", "page")[i], t.tables()[i], float(t.weights[i][-1])) for t in trainings for i in (0, 1)]
+    shipped = pool.sparkSession.sparkContext.broadcast(tables)
 
-    schema = "doc_id long, " + ", ".join(f"{t} int" for t in targets) + ", content array<int>, page array<int>"
-    found = sample.mapInArrow(features, schema).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    found = found.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"]], kind="stable")]
-    labelled, pool = found[found[targets[0]].notna()], found[found[targets[0]].isna()]
-    lists = lambda frame: [[np.asarray(x, np.int64) for x in frame[v]] for v in ("content", "page")]
-    return {t: co_train(lists(labelled), labelled[t].to_numpy(float).astype(int), lists(pool)) for t in targets}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = {c: np.repeat(np.arange(batch.num_rows), batch.column(c).value_lengths().to_numpy()) for c in ("content", "page")}
+            flat = {c: batch.column(c).flatten().to_numpy() for c in ("content", "page")}
+            odds = [pa.array(np.bincount(docs[c], table[flat[c]], batch.num_rows) + bias) for c, table, bias in shipped.value]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *odds], ["doc_id", *names])
+
+    return pool.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:

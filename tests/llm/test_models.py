@@ -106,6 +106,20 @@ def test_views_teach_each_other():
     assert ((odds > 0) == (y[240:] == 1)).mean() > 0.97
 
 
+def test_every_unlabelled_document_may_teach(spark):
+    """Only documents whose ids hash high say clearly what a word means."""
+    ids = spark.range(1_000, 5_300).orderBy(F.xxhash64("id"), "id").toPandas()["id"].tolist()
+    rows = [(i, ("alpha" if i % 2 else "beta") + " common" + (" rare" if i < 24 or i in (25, 27) else ""), "en", "good" if i % 2 else "bad", 20) for i in range(200)]
+    rows += [(i, "common words", "en", "unknown", 20) for i in ids[:4_000]]
+    rows += [(i, "common rare" if k % 2 else "common other", "en", "good" if k % 2 else "bad", 20) for k, i in enumerate(ids[4_000:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(docs, labels)["quality"]
+    alone = cotraining.fit(docs.where("doc_id < 200"), labels)["quality"]
+    rare = cotraining._h("w", "rare")
+    assert model.content[rare] > alone.content[rare] + 0.3
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------------
 
 
