@@ -55,13 +55,18 @@ class GrowingFilesReader(DataSourceStreamReader):
     def __init__(self, roots: list[str], most_files: int):
         self.roots, self.most_files = roots, most_files
         self.known: dict[str, list] = {}
+        self.listed = False
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        """Files already seen and up to `most_files` that are new or have changed, in the order of their paths."""
-        changed = 0
+        """Files already seen and up to `most_files` that are new or have changed, in the order of their paths.
+
+        A reader's first offset has all files: it cannot see the start offset, which an end offset must not fall behind,
+        and a run with the availableNow trigger asks only once.
+        """
+        changed, most, self.listed = 0, self.most_files if self.listed else float("inf"), True
         for root in self.roots:
             fs, base = _open(root)
             for info in sorted(fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)), key=lambda i: i.path):
@@ -71,7 +76,7 @@ class GrowingFilesReader(DataSourceStreamReader):
                 before = self.known.get(info.path)
                 if before and before[2:] == [size, modified]:
                     continue
-                if changed >= self.most_files:
+                if changed >= most:
                     break
                 end = _stable(fs, info.path, size)
                 self.known[info.path] = [end, _boundary(fs, info.path, end), size, modified]
@@ -103,7 +108,7 @@ class GrowingFilesReader(DataSourceStreamReader):
 
 
 class GrowingFiles(DataSource):
-    """Options: roots (a JSON list of folders), maxFilesPerTrigger (16). Rows: path, offset, raw, reset."""
+    """Options: roots (a JSON list of folders), maxFilesPerTrigger (16; from the second listing on). Rows: path, offset, raw, reset."""
 
     @classmethod
     def name(cls) -> str:

@@ -167,6 +167,22 @@ def test_reader_reads_only_what_was_appended(logs):
     assert len(reader.partitions(second, reader.latestOffset())) == 16
 
 
+def test_many_files_at_once_and_after_a_restart(spark, logs, book, tmp_path):
+    for i in range(40):
+        write(logs / f"rollout-y-{i:02d}.jsonl", meta(id=f"r{i:02d}"), count(1))
+    live, reader = collector.LiveLedger(book, f"file://{tmp_path}/store"), GrowingFilesReader([str(logs)], 16)
+    first = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), first)) == 40
+    live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", once=True).awaitTermination(100)
+    assert len(events(book)) == 40
+    append(logs / "rollout-y-39.jsonl", count(2))
+    again = GrowingFilesReader([str(logs)], 16)
+    (part,) = again.partitions(first, again.latestOffset())
+    assert part.path.endswith("y-39.jsonl") and part.start > 0 and not part.reset
+    live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", once=True).awaitTermination(100)
+    assert len(events(book)) == 41
+
+
 def test_retries_wait_longer_each_time():
     waits, fails = [], iter([True, True, False])
 
