@@ -2,16 +2,21 @@
 
 Sets of word 5-grams are compared; J >= 3/4. Sizes are cut into bands such that similar sets lie in the same or in
 adjacent bands. An instance j serves the pairs of band j-1 with bands j-1 and j: their symmetric difference has at
-most k(j) elements. The feature domain is hashed into more than k(j) parts, so two similar sets agree on all but k(j)
-parts at most. A set signs its parts one by one (subsets of one part: any wider enumeration has more signatures for
-the same k), leaving out the poorest ones as long as more than k(j) signed parts remain: whatever the partner leaves
-out, one signed part is then common. Sets that share a signature are candidates; a lower bound of the difference from
-small count sketches drops most of them, the others are compared exactly.
+most k(j) elements. PartEnum hashes the feature domain into n1 parts of n2 subparts and signs subsets of subparts:
+
+- small k(j): n1 = k(j) // 2 + 1 parts of three subparts. Of two similar sets one part at least has an error in one
+  subpart at most; all subsets of two subparts of each part are enumerated, so one of them is common.
+- large k(j): n1 > k(j) parts of one subpart. A set signs the k + 1 parts whose contents come first in one order of all
+  contents, k being what its own size permits. Of two similar sets take the one whose last signed content comes
+  earlier in the order: one of its k + 1 parts is free of errors, and the other set has that content and signs it too.
+  The order puts contents with a rare shingle first (counts of hashed shingles over all documents), so passages that
+  many documents share hardly ever make candidates.
 
 Equal sets are one node from the start, so copies are never paired. Groups of a signature up to SMALL members give
-their pairs; larger ones give a star to their first member. Where verified links have not joined all members of a
-large group, its open pairs are sifted by sketches inside the group up to SIFTED members; beyond that the members are
-signed again with an independent partition inside the group. Links become classes by alternating star contraction.
+their pairs, larger ones a star to their first member; a lower bound of the difference from small count sketches drops
+most. Where a large group is not one cluster of possible pairs then, its members are compared by sketches in blocks
+and give the few edges that join what is possible. Clusters only say which sets meet: within each cluster all sets are
+compared exactly, in blocks, and every link is counted. Links become classes by alternating star contraction.
 """
 
 from __future__ import annotations
@@ -20,24 +25,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Words of a shingle; similarity NUM / DEN.
 SHINGLE, NUM, DEN = 5, 3, 4
-#: Parts for each permitted difference: enough that most sets have more than k non-empty parts.
-PARTS_PER_K = 1.35
-#: Largest group that gives its pairs, largest that is sifted, times that a group is signed anew.
-SMALL, SIFTED, LEVELS = 32, 2_048, 4
-#: Pairs that are compared together.
-CLUSTER = 100
+#: Up to this k subsets of two of three subparts are enumerated; beyond, parts for each permitted difference.
+ENUMERATED, PARTS_PER_K = 8, 1.35
+#: Cells of the table of shingle counts, and slices in which tasks' tables are summed.
+CELLS, CELL_SLICES = 1 << 20, 64
+#: Largest group that gives its pairs; members of a large group, and of a cluster, that are compared in one block.
+SMALL, SKETCHED, COMPARED = 32, 2_048, 384
 #: Rows that Spark hands to Python at a time: texts can be long.
-TEXTS = 2_000
-#: Signatures of one partition, about; signatures for each shingle of a set, about.
-PARTITION_ROWS, PER_SHINGLE, SPARE = 600_000, 0.75, 13
+TEXTS = 1_000
+#: Signatures that a task sorts at a time; signatures of one bucket, about; signatures for each shingle of a set,
+#: about; bits of a signature beyond those that tell the expected number apart.
+CHUNK, BUCKET_ROWS, PER_SHINGLE, SPARE = 1_500_000, 750_000, 0.65, 13
+#: Sets of clusters in one block that are compared by one call, about.
+UNIT = 1_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(SHINGLE)]
 
@@ -49,24 +59,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word 5-grams; of the whole sequence where there are fewer words."""
-    words = text.encode().lower().split()  # bytes: ASCII letters are lowered, ASCII white space splits
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    if len(h) < SHINGLE:
-        return mix(np.array([(h * np.array(_POWERS[: len(h)])).sum() + np.uint64(len(h))]))
-    n = len(h) - SHINGLE + 1
-    total = np.zeros(n, np.uint64)
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word 5-grams (of its whole sequence where there are fewer words),
+    one text after the other, and the number of each text."""
+    lists = [t.encode().lower().split() for t in texts]  # bytes: ASCII letters are lowered, ASCII white space splits
+    words = np.fromiter(map(len, lists), np.int64, len(lists))
+    h = np.fromiter((xxhash.xxh64_intdigest(w) for x in lists for w in x), np.uint64, int(words.sum()))
+    size = np.where(words >= SHINGLE, words - SHINGLE + 1, (words > 0).astype(np.int64))
+    mixed = mix(h)
+    total = np.zeros(max(len(h) - SHINGLE + 1, 0), np.uint64)
     for j in range(SHINGLE):
-        total += mix(h[j : j + n]) * _POWERS[j]
-    return np.unique(mix(total))
+        total += mixed[j : j + len(total)] * _POWERS[j]
+    first = np.cumsum(words) - words
+    long_ = words >= SHINGLE
+    out = np.zeros(int(size.sum()), np.uint64)
+    at = np.cumsum(size) - size
+    out[common.ranges(at[long_], size[long_])] = mix(total[common.ranges(first[long_], size[long_])])
+    for i in np.flatnonzero((words > 0) & ~long_).tolist():
+        out[at[i]] = mix(np.array([(h[first[i] : first[i] + words[i]] * np.array(_POWERS[: words[i]])).sum() + np.uint64(words[i])]))[0]
+    for a, b in zip(at.tolist(), (at + size).tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[at[size > 0]] = True
+    return out[new], common.split_sums(new.astype(np.int64), size)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The set of one text."""
+    return shingle_sets([text])[0]
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of 64-bit integers over consecutive stretches, modulo 2^64."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    return int((mix(s ^ _M1).sum() ^ np.uint64(len(s))).astype(np.int64))
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit names of sets: equal sets have equal names."""
+    return (_sums(mix(flat ^ _M1), sizes) ^ sizes.astype(np.uint64)).view(np.int64)
 
 
 def band_starts(most: int = 1 << 40) -> np.ndarray:
@@ -78,49 +111,67 @@ def band_starts(most: int = 1 << 40) -> np.ndarray:
 
 
 _BANDS = band_starts()
-
-
-def permitted(j: int) -> int:
-    """k(j): elements in which similar sets of band j-1 and band j-1 or j differ at most."""
-    r = int(_BANDS[j]) - 1
-    return (r + DEN * r // NUM) * (DEN - NUM) // (DEN + NUM)
-
-
-def signatures(s: np.ndarray, level: int = 0) -> np.ndarray:
-    """The signatures of a set (sorted distinct 64-bit values), by an independent partition for each level."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    band, out = int(np.searchsorted(_BANDS, len(s), side="right")) - 1, []
-    for j in (band, band + 1):
-        k = permitted(j) if j else 0
-        if not k:
-            continue  # similar sets of these bands are equal
-        parts = int(PARTS_PER_K * (k + 1)) + 2
-        h = mix(s ^ np.uint64((level + 1) * 1_000_003 + j * 7_919))
-        part = (h % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        count = np.bincount(part, minlength=parts)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h[order]), dtype=np.uint64)])
-        ends = np.cumsum(count)
-        content = total[ends] - total[ends - count]
-        signed = next(at for t in (3, 2, 1, 0) if len(at := np.flatnonzero(count >= t)) > k)
-        out.append(mix(content[signed] + _M1 * (signed.astype(np.uint64) + np.uint64(j << 40))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def sketch(s: np.ndarray, cells: int) -> bytes:
+#: k(j): elements in which similar sets of band j-1 and band j-1 or j differ at most.
+_MOST = np.array([0, *((r + DEN * r // NUM) * (DEN - NUM) // (DEN + NUM) for r in (_BANDS[1:] - 1).tolist())])
+#: First-level parts of instance j.
+_PARTS = np.where(_MOST <= ENUMERATED, _MOST // 2 + 1, (PARTS_PER_K * (_MOST + 1)).astype(np.int64) + 2)
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets (sorted distinct 64-bit values, one set after the other) and the set of each signature.
+
+    rarity: small numbers for the cells of rare shingles; any table serves, if it is the same for all sets."""
+    band = np.searchsorted(_BANDS, sizes, side="right") - 1
+    rare = rarity[(flat >> np.uint64(11)) & np.uint64(len(rarity) - 1)]
+    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for upper in (False, True):
+        j = np.maximum(band + (not upper), 0)
+        # as the larger of a pair: partners up to the end of the band below; else up to DEN/NUM times the size
+        own = (sizes + (_BANDS[j] - 1 if upper else DEN * sizes // NUM)) * (DEN - NUM) // (DEN + NUM)
+        signing = (sizes > 0) & (_MOST[j] > 0) & (own > 0)
+        few = signing & (_MOST[j] <= ENUMERATED)
+        for some, subparts in ((few, 3), (signing & ~few, 1)):
+            sets = np.flatnonzero(some)
+            if not len(sets):
+                continue
+            elements = common.ranges(np.cumsum(sizes)[sets] - sizes[sets], sizes[sets])
+            parts = _PARTS[j[sets]] * subparts
+            base = np.cumsum(parts) - parts
+            seed = mix((j[sets] * 7_919 + 1_000_003).astype(np.uint64))
+            x = flat[elements]
+            place = np.repeat(base, sizes[sets]) + (mix(x ^ np.repeat(seed, sizes[sets])) % np.repeat(parts, sizes[sets]).astype(np.uint64)).astype(np.int64)
+            content = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(content, place, mix(x))
+            number = common.ranges(np.zeros(len(parts), np.int64), parts).astype(np.uint64)
+            name = np.repeat(seed, parts) + _M1 * number
+            if subparts == 3:
+                one, two = content.reshape(-1, 3)[:, [1, 2, 0]].ravel(), content.reshape(-1, 3)[:, [2, 0, 1]].ravel()
+                sigs.append(mix(mix(one + name) + two * _M2))
+                owners.append(np.repeat(sets, parts))
+                continue
+            most = np.full(len(content), 255, np.uint8)  # an empty part comes last
+            np.minimum.at(most, place, rare[elements])
+            name = mix(content + name)
+            order = (most.astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
+            last = np.fromiter((np.partition(order[a : a + n], k)[k] for a, n, k in zip(base.tolist(), parts.tolist(), own[sets].tolist(), strict=True)), np.uint64, len(sets))
+            signed = order <= np.repeat(last, parts)
+            sigs.append(name[signed])
+            owners.append(np.repeat(sets, parts)[signed])
+    return np.concatenate(sigs), np.concatenate(owners)
+
+
+def rough_cells(n: np.ndarray) -> np.ndarray:
+    """Cells of the sketch of a set of n elements: a power of two, about half of n, from 64 to 1,024."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2 + 1)), 6, 10).astype(np.int64)
+
+
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Elements in each of the hashed cells, up to 255: sums of differences bound the sets' difference from below."""
-    return np.minimum(np.bincount((mix(s ^ _M2) & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
-
-
-def rough_cells(n: int) -> int:
-    """Cells of the sketch that is kept for every set of n elements: a power of two, about a quarter of n."""
-    return 1 << min(10, max(6, (n // 4).bit_length()))
-
-
-def fine_cells(n: int) -> int:
-    """Cells of a fine sketch: a power of two from n on, 2,048 at most, as sketches travel in batches."""
-    return 1 << min(11, max(7, (n - 1).bit_length()))
+    cells = rough_cells(sizes)
+    base = np.cumsum(cells) - cells
+    place = np.repeat(base, sizes) + (mix(flat ^ _M2) & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=int(cells.sum())), 255).astype(np.uint8).tobytes()
+    return [counts[a : a + n] for a, n in zip(base.tolist(), cells.tolist(), strict=True)]
 
 
 def difference(x: bytes, y: bytes) -> int:
@@ -135,102 +186,189 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def node_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), node (name of the set), n (its size), sketch; node is null for empty sets."""
+    """doc_id, key (hash of the text), node (name of the set), n (its size), sketch; node is null for empty sets. Rows
+    with a slice hold parts of a task's table of shingle counts instead: slice, counts."""
+    names = ["doc_id", "key", "node", "n", "sketch", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
         for batch in batches:
             for part in common.slices(batch):
-                sets = [shingles(t) for t in common.texts_of(part)]
-                node = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-                arrays = [part.column("doc_id"), part.column("key"), node, pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, rough_cells(len(s))) if len(s) else None for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "node", "n", "sketch"])
-
-    return _narrow(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, node long, n long, sketch binary")
-
-
-def signature_rows(docs: DataFrame, expected: int) -> DataFrame:
-    """sig, node of all sets, about `expected` rows; a task signs equal sets once.
-
-    A signature keeps as many bits as `expected` has and SPARE more: unlike signatures fall together about once in
-    2^SPARE rows, which only adds candidates, and rows take less room in the shuffle.
+                flat, sizes = shingle_sets(common.texts_of(part))
+                np.add.at(seen, ((flat >> np.uint64(11)) & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                empty = pa.array(sizes == 0)
+                node, rough = pa.array(set_keys(flat, sizes), mask=sizes == 0), pa.array(sketches(flat, sizes), pa.binary())
+                arrays = [part.column("doc_id"), part.column("key"), node, pa.array(sizes), pc.if_else(empty, None, rough), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+        counts = [planes(x.astype(np.uint64)) for x in seen.reshape(CELL_SLICES, -1)]
+        arrays = [*(pa.nulls(CELL_SLICES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(np.arange(CELL_SLICES, dtype=np.int32)), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return _narrow(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, node long, n long, sketch binary, slice int, counts binary")
+
+
+def planes(x: np.ndarray) -> bytes:
+    """64-bit integers as planes of bytes, lowest first, as many as the largest needs: neighbours in a plane are alike."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    width = data[0]
+    body = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((body.shape[1], 8), np.uint8)
+    out[:, :width] = body.T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def rarity_table(counts: DataFrame) -> np.ndarray:
+    """From rows (slice, counts): for each cell a number from 0 to 254 that grows with the logarithm of its count over
+    all documents, against the mean. CELLS numbers reach the driver, whatever the corpus."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // CELL_SLICES, np.uint64)
+        for batch in table.to_batches():
+            for x in batch.column("counts"):
+                total += unplanes(x.as_py())
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([planes(total)], pa.binary())})
+
+    pairs = counts.withColumn("salt", F.spark_partition_id() % 32)
+    each = pairs.groupBy("slice", "salt").applyInArrow(lambda t: add(t), "slice int, counts binary")
+    found = each.groupBy("slice").applyInArrow(lambda t: add(t), "slice int, counts binary").collect()  # CELL_SLICES rows
+    total = np.zeros((CELL_SLICES, CELLS // CELL_SLICES))
+    for r in found:
+        total[r["slice"]] = unplanes(bytes(r["counts"]))
+    over = total.ravel() / max(total.mean(), 1.0)  # a cell of rare shingles alone is near the mean on a large corpus
+    return np.clip(np.log2(np.maximum(over, 0.5) * 2) * 12, 0, 254).astype(np.uint8)
+
+
+def signature_rows(docs: DataFrame, rarity: np.ndarray, expected: int) -> DataFrame:
+    """Signatures of all sets, packed: bucket, large, n, sigs, places, nodes. A row has sorted signatures of one bucket,
+    as differences, and the places of their sets in a list of nodes. A task signs equal sets once.
+
+    A signature keeps as many bits as `expected` has and SPARE more: unlike ones fall together about once in 2^SPARE
+    signatures, which only adds candidates. Where more than SMALL sets of a chunk share a signature, they go to a row
+    of their own (large, in any bucket) and only the first stands in the bucket, marked: a hot signature reaches its
+    bucket once a chunk and not once a set.
     """
-    mask = np.uint64((1 << min(63, expected.bit_length() + SPARE)) - 1)
+    bits = min(63, max(expected, 1).bit_length() + SPARE)
+    buckets = max(8, -(-expected // BUCKET_ROWS))
+    shipped = docs.sparkSession.sparkContext.broadcast(rarity)
+    names = ["bucket", "large", "n", "sigs", "places", "nodes"]
+
+    def packed(sig: np.ndarray, place: np.ndarray, nodes: np.ndarray, mark: np.ndarray, large: bool, turn: int) -> pa.RecordBatch:
+        """Rows of sorted signatures. Places are doubled; odd ones are marked."""
+        bucket = (sig >> np.uint64(max(bits - 40, 0))).astype(np.int64) * buckets >> min(bits, 40)
+        ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)).tolist()
+        columns = [[], [], [], [], []]
+        for a, b in zip([0, *ends], ends, strict=False):
+            if a == b:
+                continue
+            used, own = np.unique(place[a:b], return_inverse=True)
+            columns[0].append((int(bucket[a]) + turn) % buckets)
+            columns[1].append(b - a)
+            columns[2].append(planes(np.diff(sig[a:b], prepend=np.uint64(0))))
+            columns[3].append(planes((2 * own + mark[a:b]).astype(np.uint64)))
+            columns[4].append(nodes[used].tobytes())
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([arrays[0], pa.array([large] * len(arrays[0]), pa.bool_()), *arrays[1:]], names)
+
+    def chunk(sigs: list[np.ndarray], owners: list[np.ndarray], nodes: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
+        sig, place, nodes = np.concatenate(sigs), np.concatenate(owners).astype(np.int32), np.concatenate(nodes)
+        order = np.argsort(sig)
+        sig, place = sig[order], place[order]
+        starts = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+        sizes = np.diff(np.append(starts, len(sig)))
+        hot = sizes > SMALL
+        first = np.zeros(len(sig), bool)
+        first[starts[hot]] = True
+        crowd = np.repeat(hot, sizes)
+        keep = ~crowd | first
+        yield packed(sig[keep], place[keep], nodes, first[keep], False, 0)
+        if hot.any():
+            yield packed(sig[crowd], place[crowd], nodes, np.zeros(int(crowd.sum()), bool), True, turn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        mask, seen, turn = np.uint64((1 << bits) - 1), set(), (TaskContext.get().partitionId() if TaskContext.get() else 0) * 7_919
+        sigs, owners, nodes, held, n = [], [], [], 0, 0
         for batch in batches:
             for part in common.slices(batch):
-                sigs, nodes, sizes = [np.zeros(0, np.uint64)], [], []
-                for text in common.texts_of(part):
-                    s = shingles(text)
-                    if len(s) and (node := set_key(s)) not in seen:
-                        seen.add(node)
-                        sigs.append(signatures(s) & mask)
-                        nodes.append(node)
-                        sizes.append(len(sigs[-1]))
-                sig = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(np.array(nodes, np.int64), np.array(sizes, np.int64)))], ["sig", "node"])
-
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+                flat, sizes = shingle_sets(common.texts_of(part))
+                keys = set_keys(flat, sizes)
+                new = np.zeros(len(keys), bool)
+                for i in np.flatnonzero(sizes > 0).tolist():
+                    if (key := int(keys[i])) not in seen:
+                        seen.add(key)
+                        new[i] = True
+                flat, sizes, keys = flat[np.repeat(new, sizes)], sizes[new], keys[new]
+                sig, owner = signatures(flat, sizes, shipped.value)
+                sigs.append(sig & mask)
+                owners.append(owner + held)
+                nodes.append(keys)
+                held, n = held + len(keys), n + len(sig)
+                if n >= CHUNK:
+                    turn += 1
+                    yield from chunk(sigs, owners, nodes, turn)
+                    sigs, owners, nodes, held, n = [], [], [], 0, 0
+        if n:
+            yield from chunk(sigs, owners, nodes, turn + 1)
+
+    return docs.select("text").mapInArrow(run, "bucket int, large boolean, n long, sigs binary, places binary, nodes binary")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """kind, a, b: kind 0 are candidate pairs a < b, kind 1 the members (signature, node) of groups of more than SMALL."""
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b)])
+
+    def star(sig: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """Members of groups and pairs of each with the first of its group; sorted by signature and node."""
+        starts = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+        first = np.repeat(node[starts], np.diff(np.append(starts, len(sig))))
+        rest = node != first
+        return [np.stack([np.ones(len(sig), np.int64), sig, node]), pairs(first[rest], node[rest])]
 
-
-def candidates(rows: DataFrame, expected: int) -> DataFrame:
-    """kind, a, b from (sig, node) rows, about `expected` of them: kind 0 are candidate pairs a < b, kind 1 the members (sig, node) of groups of
-    more than SMALL nodes. Rows are sorted by signature; a group is read as a stream and never held whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        large: tuple[int, int] | None = None  # signature and first node of a large group that still goes on
-
-        def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
-        def groups(sig: np.ndarray, node: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, large
-            if large is not None and len(sig):
-                going = int(np.searchsorted(sig, large[0], side="right"))
-                more = np.unique(node[:going])
-                more = more[more != large[1]]
-                if len(more):
-                    yield out(1, np.full(len(more), large[0]), more)
-                    yield out(0, np.minimum(more, large[1]), np.maximum(more, large[1]))
-                sig, node = sig[going:], node[going:]
-                if len(sig):
-                    large = None
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # the same set signed by several tasks
-            sig, node = sig[keep], node[keep]
-            starts = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0) != 0)
+    def run(table: pa.Table) -> pa.Table:
+        parts = {False: ([], [], []), True: ([], [], [])}
+        for large, n, sigs, places, nodes in zip(*(table.column(c).to_pylist() for c in ("large", "n", "sigs", "places", "nodes")), strict=True):
+            place = unplanes(places).astype(np.int64)
+            assert len(place) == n
+            for x, y in zip(parts[large], (np.cumsum(unplanes(sigs)).view(np.int64), np.frombuffer(nodes, np.int64)[place >> 1], (place & 1).astype(bool)), strict=True):
+                x.append(y)
+        out = [np.zeros((3, 0), np.int64)]
+        if parts[True][0]:
+            sig, node, _ = map(np.concatenate, parts[True])
+            order = np.lexsort((node, sig))
+            out += star(sig[order], node[order])
+        if parts[False][0]:
+            sig, node, mark = map(np.concatenate, parts[False])
+            order = np.argsort(sig)
+            sig, node, mark = sig[order], node[order], mark[order]
+            again = np.zeros(len(sig), bool)
+            again[1:] = sig[1:] == sig[:-1]
+            again[:-1] |= again[1:]
+            again |= mark
+            sig, node, mark = sig[again], node[again], mark[again]
+            order = np.lexsort((~mark, node, sig))
+            sig, node, mark = sig[order], node[order], mark[order]
+            new = np.ones(len(sig), bool)  # the same set signed by several tasks; a marked one stays
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node, mark = sig[new], node[new], mark[new]
+            starts = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
             sizes = np.diff(np.append(starts, len(sig)))
-            if not last and len(starts):
-                if sizes[-1] <= SMALL:
-                    held = (sig[starts[-1] :], node[starts[-1] :])
-                    starts, sizes = starts[:-1], sizes[:-1]
-                else:
-                    large = (int(sig[-1]), int(node[starts[-1]]))
-            pairs = []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
-                at = starts[sizes == size]
+            large = (sizes > SMALL) | (np.add.reduceat(mark, starts) > 0 if len(starts) else np.zeros(0, bool))
+            for size in np.unique(sizes[~large & (sizes > 1)]):
+                at = starts[~large & (sizes == size)]
                 i, j = np.triu_indices(size, 1)
-                pairs.append(np.stack([node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel()]))
-            for at, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                own = node[at : at + size]
-                yield out(1, sig[at : at + size], own)
-                pairs.append(np.stack([np.full(size - 1, own[0]), own[1:]]))
-            if pairs:
-                a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                yield out(0, a, b)
-
-        for batch in batches:
-            sig = np.concatenate([held[0], batch.column("sig").to_numpy()])
-            node = np.concatenate([held[1], batch.column("node").to_numpy()])
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            held = (sig[:0], node[:0])
-            yield from groups(sig, node, False)
-        yield from groups(*held, True)
+                out.append(pairs(node[at[:, None] + i].ravel(), node[at[:, None] + j].ravel()))
+            crowd = np.repeat(large, sizes)
+            out += star(sig[crowd], node[crowd])
+        kind, a, b = np.concatenate(out, axis=1)
+        return pa.table({"kind": pa.array(kind.astype(np.int8)), "a": pa.array(a), "b": pa.array(b)})
 
-    return rows.repartition(max(8, -(-expected // PARTITION_ROWS)), F.col("sig")).sortWithinPartitions("sig").mapInArrow(run, "kind byte, a long, b long")
+    return rows.groupBy("bucket").applyInArrow(lambda t: run(t), "kind byte, a long, b long")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -248,67 +386,6 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _set_rows(docs: DataFrame, wanted: DataFrame, level: int | None = None) -> DataFrame:
-    """Of the nodes in wanted (node, rep: a document that has the set): node, items (the signatures of a level), or
-    without a level node, n, sketch (a fine sketch). Only the wanted texts are read into Python."""
-    few = wanted.select("rep", "node").limit(common.MOST_BROADCAST + 1).count() <= common.MOST_BROADCAST
-    ids = F.broadcast(wanted.select("rep", "node")) if few else wanted.select("rep", "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch):
-                found = ((w, shingles(t)) for t, w in zip(common.texts_of(part), part.column("node").to_pylist(), strict=True))
-                sets = [(w, s) for w, s in found if len(s) and set_key(s) == w]
-                node = pa.array([w for w, _ in sets], pa.int64())
-                if level is None:
-                    yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for _, s in sets], pa.int64()), pa.array([sketch(s, fine_cells(len(s))) for _, s in sets], pa.binary())], ["node", "n", "sketch"])
-                else:
-                    yield pa.RecordBatch.from_arrays([node, pa.array([signatures(s, level).view(np.int64) for _, s in sets], pa.list_(pa.int64()))], ["node", "items"])
-
-    rows = _narrow(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node")
-    return rows.mapInArrow(run, "node long, n long, sketch binary" if level is None else "node long, items array<long>").dropDuplicates(["node"])  # an id may have several rows
-
-
-def _ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar, by exact comparison of their sets.
-
-    Pairs are dealt by candidate clusters, so that a text travels once for each cluster it is in; clusters of more
-    than CLUSTER pairs are dealt by a pair's first member, in salted parts of CLUSTER pairs.
-    """
-    likely = common.materialise(_possible(pairs, nodes), "possible-pairs")
-    likely = common.materialise(_possible(likely, _set_rows(docs, _ends(likely, nodes))), "likely-pairs")
-    labels = common.materialise(components(likely).select(F.col("node").alias("a"), "label"), "clusters")
-    named = likely.join(labels, "a")
-    sizes = named.groupBy("label").agg(F.count("*").alias("in_cluster"))
-    degrees = named.groupBy("a").agg(F.count("*").alias("degree"))
-    named = named.join(sizes, "label").join(degrees, "a")
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / CLUSTER))
-    group = F.when(F.col("in_cluster") <= CLUSTER, F.xxhash64("label")).otherwise(F.xxhash64("label", "a", salt))
-    dealt = common.materialise(named.select(group.alias("group"), "a", "b"), "dealt-pairs")
-    members = dealt.select("group", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    members = common.materialise(members, "members")
-    few = members.limit(common.MOST_BROADCAST + 1).count() <= common.MOST_BROADCAST
-    texts = _narrow(docs).join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("group", "node", "text")
-
-    def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for batch in held.to_batches():
-            for part in common.slices(batch):
-                for node, text in zip(part.column("node").to_pylist(), common.texts_of(part), strict=True):
-                    if node not in sets and len(found := shingles(text)) and set_key(found) == node:  # an id may have other texts
-                        sets[node] = found
-        x, y = asked.column("a").to_pylist(), asked.column("b").to_pylist()
-        shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.int64)
-        total = np.array([len(sets[i]) + len(sets[j]) for i, j in zip(x, y, strict=True)], np.int64)
-        return asked.select(["a", "b"]).filter(pa.array(DEN * shared >= NUM * (total - shared)))
-
-    return texts.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(compare, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (least node of its component) of all ends of the edges (a, b), by alternating large and small stars.
     Minima are pre-aggregated; no neighbourhood is collected."""
@@ -330,93 +407,164 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, node, label, size of the groups whose members have not all been joined."""
-    labelled = members.distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return labelled.join(split, "group").select("group", "node", "label", "size")
+def _blocks(size: Column, most: int) -> Column:
+    return F.ceil(size / most).cast("int")
 
 
-def _sifted(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: pairs within groups of bounded size that are not joined yet and that sizes and fine sketches do not rule out."""
-    ends = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    rows = members.join(_set_rows(docs, ends), "node").select("group", "node", "label", "n", "sketch")
+def _met(rows: DataFrame, group: str, size: str, most: int) -> DataFrame:
+    """rows with part, lo and hi: a group of more than `most` rows is dealt to parts by node, and each row to all pairs
+    of parts that its own part is in, so that any two rows of a group meet."""
+    parts = _blocks(F.col(size), most)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("lo", F.least("part", "_other")).withColumn("hi", F.greatest("part", "_other")).drop("_other")
+
+
+def _open_edges(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: edges that join what sketches do not rule out in the groups whose members have not all one label, as few as
+    join it: less than one for each row of a block."""
+    labelled = members.distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("group", "size")
+    dealt = _met(labelled.join(split, "group"), "group", "size", SKETCHED)
+    rows = dealt.join(nodes.select("node", "n", "sketch"), "node").select(F.xxhash64("group", "lo", "hi").alias("unit"), "node", "label", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
         node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        order = np.argsort(node)
-        node, label, n = node[order], label[order], n[order]
-        sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        cells = min(map(len, sketches))  # sketches of one band differ by a factor of two or four; the longer are folded
-        fine = np.stack([sketches[k].reshape(-1, cells).sum(0, dtype=np.int16) for k in order])
-        coarse = fine.reshape(len(fine), -1, min(cells, 128)).sum(1, dtype=np.int16)
-        out = []
-        for at in range(0, len(node), 64):
-            i, j = np.nonzero((label[at : at + 64, None] != label[None, :]) & (node[at : at + 64, None] < node[None, :]) & (DEN * np.minimum(n[at : at + 64, None], n[None, :]) >= NUM * np.maximum(n[at : at + 64, None], n[None, :])))
-            i += at
-            for counts in (coarse, fine):
-                step = (1 << 22) // counts.shape[1]
-                bounds = [np.abs(counts[i[k : k + step]] - counts[j[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(i), step)]
-                near = (DEN + NUM) * np.concatenate([np.zeros(0, np.int64), *bounds]) <= (DEN - NUM) * (n[i] + n[j])
-                i, j = i[near], j[near]
-            out.append(np.stack([node[i], node[j]]))
-        a, b = np.concatenate(out, axis=1)
+        root = np.unique(label, return_inverse=True)[1]
+        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+        cells = min(map(len, raw))  # sketches of one band differ by a factor of two or four; the longer are folded
+        counts = np.stack([x.reshape(-1, cells).sum(0, dtype=np.int16) for x in raw])
+        a, b = [], []
+        largest = -1
+        for i in range(len(node)):
+            if i % 64 == 0:
+                largest = np.bincount(root).argmax()
+            if root[i] == largest:
+                continue  # the others look at it
+            other = np.flatnonzero((root != root[i]) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])))
+            bound = np.abs(counts[other] - counts[i]).sum(1, dtype=np.int64)
+            near = other[(DEN + NUM) * bound <= (DEN - NUM) * (n[other] + n[i])]
+            found, one = np.unique(root[near], return_index=True)
+            for r, k in zip(found.tolist(), near[one].tolist(), strict=True):
+                a.append(node[i])
+                b.append(node[k])
+                root[root == r] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("group").applyInArrow(run, "a long, b long")
-
+    return rows.groupBy("unit").applyInArrow(lambda t: run(t), "a long, b long")
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
+    found, inverse, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *left, *right]), return_inverse=True, return_counts=True)
+    often = n > 1
+    column = (np.cumsum(often) - 1)[inverse]
+    use = often[inverse]
+    rows = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    cut = int(sizes[0].sum())
+    total = np.zeros((len(left), len(right)), np.float32)
+    step = 4_096
+    x = [(rows[0][use[:cut]], column[:cut][use[:cut]]), (rows[1][use[cut:]], column[cut:][use[cut:]])]
+    order = [np.argsort(c, kind="stable") for _, c in x]
+    x = [(r[o], c[o]) for (r, c), o in zip(x, order, strict=True)]
+    for at in range(0, int(often.sum()), step):
+        dense = []
+        for (r, c), s in zip(x, sizes, strict=True):
+            i, j = np.searchsorted(c, (at, at + step))
+            m = np.zeros((len(s), step), np.float32)
+            m[r[i:j], c[i:j] - at] = 1
+            dense.append(m)
+        total += dense[0] @ dense[1].T
+    return total.astype(np.int64)
+
+
+def _compared(docs: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, label, links of the sets in clusters (node, label), a row for each block that a set is in: the least node
+    that it is joined with there, and the sets there that are similar to it. All sets of a cluster are compared exactly.
+    Only the texts of sets in clusters are read into Python."""
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
+    total = clusters.count()
+    dealt = _met(clusters.join(sizes, "label"), "label", "size", COMPARED)
+    alone = F.pmod(F.xxhash64("label"), F.lit(max(1, total // UNIT)))
+    unit = F.when(F.col("size") <= COMPARED, alone).otherwise(F.xxhash64("label", "lo", "hi"))
+    members = common.materialise(dealt.select(unit.alias("unit"), "label", "node", "part", "lo", "hi").join(nodes.select("node", "rep"), "node"), "members")
+    few = members.limit(common.MOST_BROADCAST + 1).count() <= common.MOST_BROADCAST
+    texts = _narrow(docs).join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("unit", "label", "node", "part", "lo", "hi", "text")
 
-def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """node_rows, the distinct sets, the verified links and the label of every linked set, as written tables."""
-    rows = common.materialise(node_rows(docs), "nodes")
+    def run(table: pa.Table) -> pa.Table:
+        clusters: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
+        across: dict[int, bool] = {}
+        for batch in table.to_batches():
+            for part in common.slices(batch):
+                flat, n = shingle_sets(common.texts_of(part))
+                keys, ends = set_keys(flat, n).tolist(), np.cumsum(n).tolist()
+                for label, node, own, lo, hi, key, end, size in zip(*(part.column(c).to_pylist() for c in ("label", "node", "part", "lo", "hi")), keys, ends, n.tolist(), strict=True):
+                    if size and key == node:  # an id may have other texts
+                        clusters.setdefault(label, {})[node] = (own - lo, flat[end - size : end].copy())
+                        across[label] = lo != hi
+        out = [np.zeros((3, 0), np.int64)]
+        for label, found in clusters.items():
+            node = np.array(sorted(found), np.int64)
+            sets = [found[k][1] for k in node.tolist()]
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            if across[label]:  # pairs within a part are counted where it meets itself
+                side = np.array([found[k][0] for k in node.tolist()])
+                near = np.zeros((len(sets), len(sets)), bool)
+                i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                both = shared([sets[k] for k in i], [sets[k] for k in j])
+                near[np.ix_(i, j)] = DEN * both >= NUM * (n[i][:, None] + n[j][None, :] - both)
+                near |= near.T
+            else:
+                both = shared(sets, sets)
+                near = DEN * both >= NUM * (n[:, None] + n[None, :] - both)
+                np.fill_diagonal(near, False)
+            root = np.arange(len(node))
+            while True:  # each takes the least label among its neighbours and itself
+                low = np.minimum(root, np.where(near, root[None, :], len(node)).min(1, initial=len(node)))
+                low = low[low]
+                if (low == root).all():
+                    break
+                root = low
+            out.append(np.stack([node, node[root], near.sum(1)]))
+        node, least, links = np.concatenate(out, axis=1)
+        return pa.table({"node": pa.array(node), "label": pa.array(least), "links": pa.array(links)})
+
+    return texts.groupBy("unit").applyInArrow(lambda t: run(t), "node long, label long, links long")
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """node_rows, the distinct sets, and node, label, links of the sets in clusters, as written tables."""
+    written = common.materialise(node_rows(docs), "nodes")
+    rows = written.where("slice is null").drop("slice", "counts")
     nodes = common.materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "unique-sets")
-    shingle_count = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    expected = int(PER_SHINGLE * shingle_count)
-    found = common.materialise(candidates(signature_rows(docs, expected), expected), "candidates")
-    links = common.materialise(_links(found.where("kind = 0").select("a", "b").distinct(), nodes, docs), "links")
-    members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"))
-    labels = common.materialise(components(links), "labels")
-    for level in range(1, LEVELS + 1):
-        members = common.materialise(_open_groups(members, labels), "open-groups")
-        if members.isEmpty():
-            break
-        pairs = _sifted(members.where(F.col("size") <= SIFTED), nodes, docs)
-        members = members.where(F.col("size") > SIFTED).select("group", "node")
-        rest = not members.isEmpty()
-        if rest:
-            ends = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
-            signed = _set_rows(docs, ends, level).select("node", F.explode("items").alias("item"))
-            again = members.join(signed, "node").select(F.xxhash64("group", "item").alias("sig"), "node")
-            expected = members.join(nodes.select("node", "n"), "node").agg(F.sum("n")).head()[0]
-            found = common.materialise(candidates(again, int(PER_SHINGLE * expected)), "candidates")
-            pairs = pairs.unionByName(found.where("kind = 0").select("a", "b"))
-            members = found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node"))
-            if level == LEVELS:  # what LEVELS + 1 independent signatures in common have not told apart is compared in full
-                other = members.select("group", F.col("node").alias("other"))
-                pairs = pairs.unionByName(members.join(other, "group").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        links = common.materialise(links.unionByName(_links(pairs.distinct(), nodes, docs)).distinct(), "links")
-        labels = common.materialise(components(links), "labels")
-        if not rest:
-            break
-    return rows, nodes, links, labels
+    expected = int(PER_SHINGLE * nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
+    rarity = rarity_table(written.where("slice is not null").select("slice", "counts"))
+    found = common.materialise(candidates(signature_rows(docs, rarity, expected)), "candidates")
+    edges = common.materialise(_possible(found.where("kind = 0").select("a", "b").distinct(), nodes), "possible-pairs")
+    clusters = common.materialise(components(edges), "clusters")
+    more = common.materialise(_open_edges(found.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("node")), clusters, nodes), "open-edges")
+    if not more.isEmpty():
+        clusters = common.materialise(components(clusters.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "clusters")
+    compared = common.materialise(_compared(docs, clusters, nodes), "compared")
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+    labels = components(compared.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return rows, nodes, common.materialise(links.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "links"), "labels")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id, n_links of every row of docs.
 
-    n_links: other sets that this row's set was verified to resemble; copies and links inside a class that were not
-    needed to join it are not counted. Empty texts, null or without a word, have an empty set, are linked with
-    nothing and are their own class. A null id takes part but is never the name of a class with other ids. Repeated
-    rows give a row each; an empty table gives none.
+    n_links: the other sets that are similar to this row's set; copies are the same set. Empty texts, null or without a
+    word, have an empty set, are linked with nothing and are their own class. A null id takes part but is never the
+    name of a class with other ids. Repeated rows give a row each; an empty table gives none.
     """
     with common.arrow_rows(docs.sparkSession, TEXTS):
-        rows, nodes, links, labels = _linked(docs)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+        rows, nodes, labels = _linked(docs)
+    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(ids, "label").join(degree, "node", "left").select("node", "component_id", "n_links")
+    named = named.join(ids, "label").select("node", "component_id", "n_links")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.drop("sketch").join(named, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.drop("sketch").join(named, "node", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -98,10 +98,14 @@ def _classes(rows):
         for j, n in collections.Counter(j for g in s for j in where[g] if j < k).items():
             if 100 * n >= 75 * (len(s) + len(sets[j][1]) - n):
                 parent[find(k)] = find(j)
-    least = {}
+    least, links = {}, collections.defaultdict(set)
     for k, (i, _) in enumerate(sets):
         least.setdefault(find(k), []).append(i)
-    return sorted(((i, len(s), min((x for x in least[find(k)] if x is not None), default=None) if s else i) for k, (i, s) in enumerate(sets)), key=str)
+    for k, (_, s) in enumerate(sets):
+        for j, n in collections.Counter(j for g in s for j in where[g]).items():
+            if sets[j][1] != s and 100 * n >= 75 * (len(s) + len(sets[j][1]) - n):
+                links[k].add(sets[j][1])
+    return sorted(((i, len(s), min((x for x in least[find(k)] if x is not None), default=None) if s else i, len(links[k])) for k, (i, s) in enumerate(sets)), key=str)
 
 
 def _random_copies(seed: int) -> list[tuple[int, str]]:
@@ -121,7 +125,7 @@ def _random_copies(seed: int) -> list[tuple[int, str]]:
 
 
 def _got(df):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in partenum.classes(df).collect()), key=str)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in partenum.classes(df).collect()), key=str)
 
 
 @pytest.mark.parametrize("which", ["docs", "edge"])
@@ -130,27 +134,59 @@ def test_classes_equal_brute_force(which, request):
     assert _got(df) == _classes([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("small,sifted", [(32, 2048), (4, 2048), (4, 10)])
-def test_every_path_of_large_groups_is_exact(spark, monkeypatch, small, sifted):
+@pytest.mark.parametrize("small,sketched,compared", [(32, 2048, 384), (3, 2048, 384), (3, 5, 4), (2, 7, 2)])
+def test_every_path_of_large_groups_is_exact(spark, monkeypatch, small, sketched, compared):
     monkeypatch.setattr(partenum, "SMALL", small)
-    monkeypatch.setattr(partenum, "SIFTED", sifted)
-    rows = _random_copies(small + sifted)
+    monkeypatch.setattr(partenum, "SKETCHED", sketched)
+    monkeypatch.setattr(partenum, "COMPARED", compared)
+    monkeypatch.setattr(partenum, "UNIT", 10)
+    rows = _random_copies(small + sketched)
     assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _classes(rows)
 
 
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
-    for _ in range(400):
-        n = int(rng.integers(3, 400))
+    rarity, tried = rng.integers(0, 255, 1 << 12).astype(np.uint8), 0
+    for t in range(1_500):
+        n = int(rng.integers(2, 60) if t % 2 else rng.integers(3, 900))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        drop, add = rng.integers(0, n // 7 + 1), rng.integers(0, n // 7 + 1)
+        drop, add = rng.integers(0, n // 7 + 2), rng.integers(0, n // 7 + 2)
         b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
         shared = len(np.intersect1d(a, b))
-        if not np.array_equal(a, b) and 4 * shared >= 3 * (len(a) + len(b) - shared):
-            for level in (0, 1):
-                assert len(np.intersect1d(partenum.signatures(a, level), partenum.signatures(b, level)))
-            for cells in (partenum.rough_cells, partenum.fine_cells):
-                assert partenum.difference(*(partenum.sketch(s, cells(len(s))) for s in (a, b))) <= len(a) + len(b) - 2 * shared
+        if len(b) and not np.array_equal(a, b) and 4 * shared >= 3 * (len(a) + len(b) - shared):
+            flat, sizes = np.concatenate([a, b]), np.array([len(a), len(b)])
+            sigs, owners = partenum.signatures(flat, sizes, rarity)
+            assert len(np.intersect1d(sigs[owners == 0], sigs[owners == 1]))
+            assert partenum.difference(*partenum.sketches(flat, sizes)) <= len(a) + len(b) - 2 * shared
+            assert partenum.shared([a], [b])[0, 0] == shared
+            tried += 1
+    assert tried > 1_000
+
+
+def test_small_bands_enumerate_subsets_of_two_subparts():
+    a = np.arange(1, 15, dtype=np.uint64)
+    sigs, owners = partenum.signatures(partenum.mix(a), np.array([14]), np.zeros(8, np.uint8))
+    band = int(np.searchsorted(partenum._BANDS, 14, side="right")) - 1
+    assert len(sigs) == len(owners) == sum(3 * (int(partenum._MOST[j]) // 2 + 1) for j in (band, band + 1))
+
+
+def test_sets_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("a b c dd É ee".split()) for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 30]))) for _ in range(200)]
+    flat, sizes = partenum.shingle_sets(texts)
+    names, ends = partenum.set_keys(flat, sizes), np.cumsum(sizes)
+    by = {}
+    for k, (_, s) in enumerate(_sets(enumerate(texts))):
+        assert sizes[k] == len(s) and (flat[ends[k] - sizes[k] : ends[k]] == partenum.shingles(texts[k])).all()
+        assert by.setdefault(s, names[k]) == names[k]
+    assert len(set(by.values())) == len(by)
+    x = np.array([0, 1, 255, 256, 1 << 40], np.uint64)
+    assert (partenum.unplanes(partenum.planes(x)) == x).all() and not len(partenum.unplanes(partenum.planes(x[:0])))
+
+
+def test_rarity_ignores_how_counts_are_dealt(spark, docs):
+    one, many = (partenum.rarity_table(partenum.node_rows(docs.repartition(n)).where("slice is not null").select("slice", "counts")) for n in (1, 5))
+    assert (one == many).all() and one.max() > one.min()
 
 
 def test_one_of_each(docs, edge, none):
@@ -229,7 +265,7 @@ def test_pipeline_stages_take_effect(spark, docs):
             clean = {i for i in ids if i in labels and labels[i].quality == 1 and labels[i].toxic == 0}
             assert len(clean & set(left)) >= 0.97 * len(clean) and len(left) < len(ids)
         ids = set(left)
-    assert _classes([(r.doc_id, r.text) for r in now.collect()]) == sorted(((i, n, i) for i, n, _ in _classes([(r.doc_id, r.text) for r in now.collect()])), key=str)
+    assert all(i == c and not links for i, _, c, links in _classes([(r.doc_id, r.text) for r in now.collect()]))
     mixed = corpus_pipeline.mix_sources(spark, now, SF)
     assert {r.doc_id for r in mixed.collect()} <= ids and mixed.columns == docs.columns
     assert corpus_pipeline.encode_bytes(spark, mixed, SF).count() == mixed.count()
