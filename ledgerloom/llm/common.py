@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.staging import drop_at_exit
+from ledgerloom.sources.staging import drop_at_exit, shared_folder
 
 # Batches of texts come and go in a worker that lives on: what is freed shall go back to the system.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -23,12 +23,13 @@ pa.set_memory_pool(pa.system_memory_pool())
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper and lower case of ASCII, for translate(): the contracts lower-case A-Z alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
 #: Rows of ids that may be broadcast (some 30 bytes each); beyond, joins are shuffled.
 MOST_BROADCAST = 500_000
-#: Text bytes that one Python step holds at a time; longer single texts are taken alone.
-SLICE_BYTES = 2 << 20
+#: Text bytes that one Python step holds at a time, and where a step sorts what it has counted; longer single texts are
+#: taken alone.
+SLICE_BYTES, COUNTED_BYTES = 512 << 10, 2 << 20
+#: Rows of documents that Spark hands to Python at a time in the queries and the pipeline.
+TEXT_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors all see: below spark.checkpoint.dir if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For the rest of the session: batches of documents, which can be long, have TEXT_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While tables are written within: rows that Spark hands to Python at a time."""
@@ -84,11 +89,17 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with `row.name` a field of the struct `row`."""
+    outer, _, inner = name.partition(".")
+    return batch.column(outer).field(inner) if inner else batch.column(outer)
+
+
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of batch whose texts have about `most` bytes at most; a longer single text makes a part of its own."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column(batch, name)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:
@@ -98,9 +109,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts, null as empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+    return [x or "" for x in column(batch, name).to_pylist()]
 
 
 class FlatCache:
@@ -113,7 +124,7 @@ class FlatCache:
     #: The cache that this worker used last: workers serve many stages, but only one cache is kept filled.
     filled: FlatCache | None = None
 
-    def __init__(self, encode, limit: int = 4 << 20):
+    def __init__(self, encode, limit: int = 2 << 20):
         self.encode, self.limit = encode, limit
         self.clear()
 

@@ -1,6 +1,7 @@
 """Quality classifier by co-training.
 
-Two views of a document, its words and its page (source, language, length, layout), each have a logistic classifier.
+Two views of a document each have a logistic classifier: its content (words, their shapes and shares of characters) and
+its page (source, language, length and the layout of its lines; no word is looked at).
 Over some rounds each view judges all unlabelled documents and hands its most confident judgements to the other as
 labels. The two are calibrated on labelled documents kept back and combined; the combination scores every document.
 """
@@ -23,6 +24,8 @@ from . import common
 #: and round (the most confident of all documents), hashed features, chosen features.
 MOST_LABELLED, MOST_GIVEN, BUCKETS, CHOSEN = 8_000, 2_000, 1 << 18, 1_024
 ROUNDS, SHARE, SURE = 3, 0.05, 0.9
+#: Beginnings of words that are features, in characters.
+PREFIXES = (4, 6)
 SEEN_IN = 4
 _SURE_ODDS = float(np.log(SURE / (1 - SURE)))
 
@@ -33,41 +36,52 @@ def _h(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind}:{value}".encode()) % BUCKETS
 
 
+_STEPS = {k: [_h("c", f"{k}>{i}") for i in range(40)] for k in ("upper", "digit", "mark", "bar", "distinct", "word")}
+
+
 def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for w in words:
         shape = w.translate(_TABLE)
         short = shape[:1] + "".join(b for a, b in zip(shape, shape[1:], strict=False) if a != b)
         bare = w.lower().strip(".,;:!?%&*#$")
-        out.append(list({_h("w", bare), _h("t", shape[-3:]), _h("s", short[:8])}))
+        out.append(list({_h("w", bare), _h("t", shape[-3:]), _h("s", short[:8]), *(_h("p", bare[:k]) for k in PREFIXES)}))
     return common.flattened(out)
 
 
 _cache = common.FlatCache(_word_features)
 
 
+def _shares(text: str, words: list[str]) -> list[int]:
+    """Features of a text's characters and words as a whole: every step of twentieths that a share reaches."""
+    size = max(len(text), 1)
+    letters = np.bincount(np.frombuffer(text.encode("ascii", "ignore"), np.uint8), minlength=128)
+    marks = letters[33:48].sum() + letters[58:65].sum() + letters[91:97].sum() + letters[123:127].sum()
+    shares = {
+        "upper": letters[65:91].sum() / size, "digit": letters[48:58].sum() / size, "mark": marks / size, "bar": letters[124] / size,
+        "distinct": len(set(words)) / max(len(words), 1), "word": size / max(len(words), 1) / 20,
+    }
+    return [x for k, v in shares.items() for x in _STEPS[k][: min(int(20 * v), 40)]]
+
+
 def content_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) pairs of the content view, each once."""
     lists = [t.split() for t in texts]
+    whole = [_shares(t, x) for t, x in zip(texts, lists, strict=True)]
     rows = _cache.rows([w for x in lists for w in x])
     doc = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-    seen = np.unique(np.repeat(doc, _cache.size[rows]) * BUCKETS + _cache.ids(rows))
+    flat, n = common.flattened(whole)
+    seen = np.unique(np.concatenate([np.repeat(doc, _cache.size[rows]) * BUCKETS + _cache.ids(rows), np.repeat(np.arange(len(texts)), n) * BUCKETS + flat]))
     return seen // BUCKETS, seen % BUCKETS
 
 
 def page_features(texts: list[str], sources: list[str | None], languages: list[str | None], n_chars: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) pairs of the page view: metadata, and the layout in coarse steps."""
+    """(text number, feature) pairs of the page view: metadata, and the layout of the lines in coarse steps."""
     doc, feature = [], []
     for i, (text, source, lang, n) in enumerate(zip(texts, sources, languages, n_chars, strict=True)):
-        size, words = max(len(text), 1), text.split()
-        ascii_ = text.encode("ascii", "ignore")
-        letters = np.bincount(np.frombuffer(ascii_, np.uint8), minlength=128) if ascii_ else np.zeros(128, np.int64)
-        marks = letters[33:48].sum() + letters[58:65].sum() + letters[91:97].sum() + letters[123:127].sum()
-        shares = {
-            "upper": letters[65:91].sum() / size, "digit": letters[48:58].sum() / size, "mark": marks / size, "bar": letters[124] / size,
-            "line": letters[10] / size * 10, "distinct": len(set(words)) / max(len(words), 1), "word": size / max(len(words), 1) / 20,
-        }
-        own = [f"source={source}", f"lang={lang}", f"chars={int(np.log2((n or 0) + 1))}", *(f"{k}={min(int(20 * v), 40)}" for k, v in shares.items())]
+        step = lambda x: int(2 * np.log2(x + 1))
+        lines, blank, size = text.count("\n") + 1, text.count("\n\n"), len(text)
+        own = [f"source={source}", f"lang={lang}", f"chars={int(np.log2((n or 0) + 1))}", f"lines={step(lines)}", f"width={step(size / lines)}", f"blank={int(10 * blank / lines)}", f"gaps={step(text.count('  '))}", f"tabs={step(text.count(chr(9)))}"]
         doc += [i] * len(own)
         feature += [_h("m", x) for x in own]
     return np.array(doc, np.int64), np.array(feature, np.int64)
@@ -120,6 +134,25 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 250
     return w
 
 
+def calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Weights of the two views' log-odds and a constant, by Newton's method. A view that would count against itself is
+    left out and the rest fitted again."""
+    use, out = [0, 1, 2], np.zeros(3)
+    x = np.column_stack([odds, np.ones(len(odds))])
+    while True:
+        own, w = x[:, use], np.zeros(len(use))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            h = (own * (p * (1 - p))[:, None]).T @ own + 0.05 * np.eye(len(use))
+            step = np.linalg.solve(h, own.T @ (y - p) - 0.05 * w)
+            w += np.clip(step, -2, 2)
+        wrong = [k for k, v in zip(use, w, strict=True) if k < 2 and v < 0]
+        if not wrong:
+            out[use] = w
+            return tuple(map(float, out))
+        use.remove(min(wrong, key=lambda k: w[use.index(k)]))
+
+
 @dataclass
 class Classifier:
     """Calibrated log-odds: combine[0] * content + combine[1] * page + combine[2]."""
@@ -160,6 +193,13 @@ class Training:
         n, mean = max(1, int(SHARE * size)), self.y.mean()
         return min(MOST_GIVEN, max(1, int(n * (1 - mean)))), min(MOST_GIVEN, max(1, int(n * mean)))
 
+    def teaches(self, i: int, label: float) -> bool:
+        """Whether view i may hand over judgements of a class: on documents kept back its sure ones err a third as often,
+        at most, as naming that class always would."""
+        odds, y = self.own[i][~self.keep] @ self.weights[i], self.y[~self.keep]
+        sure = odds >= _SURE_ODDS if label else odds <= -_SURE_ODDS
+        return bool(sure.any()) and float((y[sure] != label).mean()) <= float((y != label).mean()) / 3
+
     def tables(self) -> list[np.ndarray]:
         out = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
         for table, c, w in zip(out, self.chosen, self.weights, strict=True):
@@ -171,10 +211,10 @@ class Training:
         if not self.two_classes:
             constant = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
             return Classifier(np.zeros(BUCKETS), np.zeros(BUCKETS), (0.0, 0.0), (0.0, 0.0, float(np.log(constant / (1 - constant)))))
-        kept = np.column_stack([*(np.clip(self.own[i][~keep] @ self.weights[i], -12, 12) for i in (0, 1)), np.ones(int((~keep).sum()))])
-        combine = np.maximum(logistic(kept, y[~keep], np.ones(len(kept)), 2_000, 1e-4), [0, 0, -np.inf]) if len(kept) > 10 else np.array([0.5, 0.5, 0.0])
+        kept = np.column_stack([np.clip(self.own[i][~keep] @ self.weights[i], -12, 12) for i in (0, 1)])
+        combine = calibrated(kept, y[~keep]) if len(kept) > 10 else (0.5, 0.5, 0.0)
         tables = self.tables()
-        return Classifier(tables[0], tables[1], (float(self.weights[0][-1]), float(self.weights[1][-1])), tuple(map(float, combine)))
+        return Classifier(tables[0], tables[1], (float(self.weights[0][-1]), float(self.weights[1][-1])), combine)
 
 
 def co_train(views: list[list[np.ndarray]], y: np.ndarray, pool: list[list[np.ndarray]]) -> Classifier:
@@ -185,14 +225,16 @@ def co_train(views: list[list[np.ndarray]], y: np.ndarray, pool: list[list[np.nd
             odds = Rows.of(pool[i], training.chosen[i]).dense @ training.weights[i]
             to = training.given[1 - i]
             for label, n, best in zip((0.0, 1.0), training.asked(size), (np.argsort(odds, kind="stable"), np.argsort(-odds, kind="stable")), strict=True):
+                if not training.teaches(i, label):
+                    continue
                 sure = [int(j) for j in best if j not in to and (odds[j] >= _SURE_ODDS if label else odds[j] <= -_SURE_ODDS)]
                 to.update((j, (label, pool[1 - i][j])) for j in sure[:n])
         training.train()
     return training.classifier()
 
 
-def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text_"), F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_"))
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text_"), F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> dict[str, Classifier]:
@@ -205,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     rows = _narrow(docs).where(F.col("_text_").isNotNull() & F.col("doc_id").isNotNull())
     sample = rows.join(F.broadcast(some), "doc_id")  # at most MOST_LABELLED ids
-    found = _feature_rows(sample, targets).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    once = _feature_rows(sample, targets).groupBy("doc_id").agg(F.min(F.struct(*targets, "content", "page")).alias("x")).select("doc_id", "x.*")
+    found = once.toPandas()  # a row an id, however many rows have it
     found = found.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"]], kind="stable")]
     views = [[np.asarray(x, np.int64) for x in found[v]] for v in ("content", "page")]
     trainings = {t: Training(views, found[t].to_numpy(float).astype(int)) for t in targets}
@@ -255,6 +298,8 @@ def _teach(trainings: list[Training], rows: DataFrame, known: DataFrame) -> None
             for i in (0, 1):
                 odds, to = F.col(names[k][i]), training.given[1 - i]
                 for label, n, sure, order in zip((0.0, 1.0), training.asked(size), (odds <= -_SURE_ODDS, odds >= _SURE_ODDS), (odds.asc(), odds.desc()), strict=True):
+                    if not training.teaches(i, label):
+                        continue
                     best = judged.where(sure).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(n + len(to)).select("doc_id").toPandas()["doc_id"]
                     taken.append((k, 1 - i, label, [d for d in best.tolist() if d not in to][:n]))
         ids = sorted({d for *_, some in taken for d in some})
@@ -292,12 +337,13 @@ def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:
     """
     shipped = docs.sparkSession.sparkContext.broadcast(models)
     names = [f"{t}_{x}" for t in models for x in ("content", "page", "score")]
-    rows = _narrow(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).drop("doc_id")
+    metadata = [F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *metadata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, "_text_"):
-                texts = common.texts_of(part, "_text_")
+            for part in common.slices(batch, "row.text"):
+                texts = common.texts_of(part, "row.text")
                 content = content_features(texts)
                 page = page_features(texts, *(part.column(c).to_pylist() for c in ("_source_", "_lang_", "_n_chars_")))
                 arrays = [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for m in shipped.value.values() for x in m.odds(len(texts), content, page)]

@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Rows of the n-gram table: with the number of languages, the bound of what the driver collects and broadcasts.
-BUCKETS = 1 << 16
-MAX_LANGUAGES = 400
+#: Rows of the n-gram table, and entries of the model at most: with more languages it has fewer rows. This bounds what
+#: the driver collects (a row a language) and broadcasts.
+BUCKETS, MOST_ENTRIES = 1 << 16, 1 << 25
 #: Rounds of EM, smoothing, and how far one word may speak against a language.
 ROUNDS, ALPHA, FLOOR = 12, 0.5, -14.0
 #: Added to 0.5 log(words) for each further language of a set.
@@ -71,7 +71,7 @@ class Model:
         unique, inverse = np.unique(rows, return_inverse=True)
         sizes = _cache.size[unique]
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ll = np.add.reduceat(self.log_p[_cache.ids(unique)], at, axis=0)
+        ll = np.add.reduceat(self.log_p[_cache.ids(unique) & (len(self.log_p) - 1)], at, axis=0)
         top = ll.max(1, keepdims=True)
         p = np.exp(np.maximum(ll - top, FLOOR)).astype(np.float32)[inverse]
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -144,15 +144,18 @@ def fit(labelled: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    summed = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = summed.limit(BUCKETS * MAX_LANGUAGES + 1).toPandas()
-    languages = sorted(found["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    n = np.full((BUCKETS, len(languages)), ALPHA)
-    index = {lang: i for i, lang in enumerate(languages)}
-    n[found["bucket"].to_numpy(np.int64), found["lang"].map(index).to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
-    return Model(languages, np.log(n / n.sum(0, keepdims=True)).astype(np.float32) if languages else n)
+    summed = common.materialise(known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "n-grams")
+    languages = summed.select("lang").distinct().count()
+    rows = BUCKETS
+    while rows > 2 and rows * languages > MOST_ENTRIES:
+        rows //= 2
+
+    def table(own: pa.Table) -> pa.Table:
+        n = np.bincount(own.column("bucket").to_numpy() & (rows - 1), own.column("n").to_numpy(), rows) + ALPHA
+        return pa.table({"lang": own.column("lang")[:1], "log_p": pa.array([np.log(n / n.sum()).astype("<f4").tobytes()], pa.binary())})
+
+    found = sorted((r["lang"], bytes(r["log_p"])) for r in summed.groupBy("lang").applyInArrow(table, "lang string, log_p binary").collect())  # a row a language, BUCKETS rows in a group
+    return Model([lang for lang, _ in found], np.stack([np.frombuffer(x, "<f4") for _, x in found], axis=1) if found else np.zeros((1, 0), np.float32))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,12 +166,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows give a row each; an empty table gives none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch):
-                names, score, found = shipped.value.infer(common.texts_of(part))
+            for part in common.slices(batch, "row.text"):
+                names, score, found = shipped.value.infer(common.texts_of(part, "row.text"))
                 doc, lang = np.nonzero(found)
                 offsets = pa.array(np.searchsorted(doc, np.arange(len(found) + 1)).astype(np.int32))
                 languages = pa.ListArray.from_arrays(offsets, pa.array([shipped.value.languages[k] for k in lang], pa.string()))

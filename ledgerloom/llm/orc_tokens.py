@@ -80,7 +80,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, most=common.COUNTED_BYTES):
                 ids, n = encode_texts(common.texts_of(part), tokenizer, end_id)
                 ends = np.cumsum(n)
                 arrays = [part.column("doc_id"), pa.array(n), pa.array(before + ends - n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))]

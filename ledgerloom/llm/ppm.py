@@ -176,7 +176,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, short, size = Counts(), Counts(), 0
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, most=common.COUNTED_BYTES):
                 texts = common.texts_of(part)
                 size += sum(len(t.encode()) for t in texts)
                 lists = [tokens_of(t) for t, held in zip(texts, part.column("held_out").to_pylist(), strict=True) if not held]
@@ -207,7 +207,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counts()
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, most=common.COUNTED_BYTES):
                 seen.add(grams([tokens_of(t) for t in common.texts_of(part)])[0])
         keys, n = seen.total()
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), SHORT, np.int8)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
@@ -222,7 +222,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         block, words, asked = table.column("block")[0].as_py(), Counts(), Counts()
         for batch in table.to_batches():
-            for part in common.slices(batch):
+            for part in common.slices(batch, most=common.COUNTED_BYTES):
                 lists = [tokens_of(t) for t in common.texts_of(part)]
                 words.add(hashes([w for t in lists for w in t] + [b"\n"]))
                 asked.add(grams(lists)[0])
@@ -263,7 +263,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         trie = Lookup(key[kind == SHORT], value[kind == SHORT].astype(float))
         out = []
         for batch in texts.to_batches():
-            for part in common.slices(batch):
+            for part in common.slices(batch, most=common.COUNTED_BYTES):
                 lists = [tokens_of(t) for t in common.texts_of(part)]
                 size = np.fromiter(map(len, lists), np.int64, len(lists)) + 1
                 count = words.get(hashes([w for t in lists for w in (*t, b"\n")]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, cotraining, language_mixture, merkle, mixing, orc_tokens, partenum, ppm, token_counts, wand
-from .common import crc_of_id, documents
+from .common import crc_of_id, documents, small_batches
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +59,17 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(documents(spark, sf_dir))
 
 
+def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op5_ppm_scores, op6_cube_mixing, op7_blockmax_wand, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
+    return {f.__name__: _prepared(f) for f in (op1_merkle_fingerprints, op2_orc_token_ids, op3_token_counts, op4_byte_bpe, op5_ppm_scores, op6_cube_mixing, op7_blockmax_wand, op8_cotrained_quality, op9_partenum_join, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
