@@ -19,6 +19,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in no language for LEAST_SHARE at least, go."""
+    common.small_batches(spark)
     model = language_mixture.fit(docs.where(~language_mixture.held_out(F.col("doc_id"))))
     found = language_mixture.predict(docs, model)
     return found.where((F.col("lang_pred") != language_mixture.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
@@ -26,22 +27,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier finds bad or toxic go."""
+    common.small_batches(spark)
     models = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return cotraining.score(docs, models).where(cotraining.keeps()).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one with the lowest id."""
+    common.small_batches(spark)
     return partenum.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are left out or repeated so that sources come near their target weights."""
+    common.small_batches(spark)
     return mixing.apply_mix(docs, weights=(1, 2, 3), most=3)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document that the mix takes."""
+    common.small_batches(spark)
     return byte_bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
