@@ -39,13 +39,33 @@ def _h(kind: str, value: str) -> int:
 _STEPS = {k: [_h("c", f"{k}>{i}") for i in range(40)] for k in ("upper", "digit", "mark", "bar", "distinct", "word")}
 
 
+#: Features of shapes and of beginnings of words that this worker met, MOST_MET of each at most.
+_shapes: dict[str, list[int]] = {}
+_begins: dict[str, int] = {}
+MOST_MET = 100_000
+
+
+def _shape_features(shape: str) -> list[int]:
+    short = shape[:1] + "".join(b for a, b in zip(shape, shape[1:], strict=False) if a != b)
+    return [_h("t", shape[-3:]), _h("s", short[:8])]
+
+
 def _word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for w in words:
-        shape = w.translate(_TABLE)
-        short = shape[:1] + "".join(b for a, b in zip(shape, shape[1:], strict=False) if a != b)
-        bare = w.lower().strip(".,;:!?%&*#$")
-        out.append(list({_h("w", bare), _h("t", shape[-3:]), _h("s", short[:8]), *(_h("p", bare[:k]) for k in PREFIXES)}))
+        shape, bare = w.translate(_TABLE), w.lower().strip(".,;:!?%&*#$")
+        if (own := _shapes.get(shape)) is None:
+            own = _shape_features(shape)
+            if len(_shapes) < MOST_MET:
+                _shapes[shape] = own
+        features = [_h("w", bare), *own]
+        for k in PREFIXES:
+            if (begin := _begins.get(bare[:k])) is None:
+                begin = _h("p", bare[:k])
+                if len(_begins) < MOST_MET:
+                    _begins[bare[:k]] = begin
+            features.append(begin)
+        out.append(features)
     return common.flattened(out)
 
 
@@ -71,7 +91,8 @@ def content_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rows = _cache.rows([w for x in lists for w in x])
     doc = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
     flat, n = common.flattened(whole)
-    seen = np.unique(np.concatenate([np.repeat(doc, _cache.size[rows]) * BUCKETS + _cache.ids(rows), np.repeat(np.arange(len(texts)), n) * BUCKETS + flat]))
+    seen = np.sort(np.concatenate([np.repeat(doc, _cache.size[rows]) * BUCKETS + _cache.ids(rows), np.repeat(np.arange(len(texts)), n) * BUCKETS + flat]))
+    seen = seen[np.diff(seen, prepend=-1) != 0]
     return seen // BUCKETS, seen % BUCKETS
 
 
@@ -87,21 +108,16 @@ def page_features(texts: list[str], sources: list[str | None], languages: list[s
     return np.array(doc, np.int64), np.array(feature, np.int64)
 
 
-@dataclass
-class Rows:
-    """Sparse rows of binary features, narrowed to `chosen` columns."""
-
-    dense: np.ndarray
-
-    @classmethod
-    def of(cls, lists: list[np.ndarray], chosen: np.ndarray) -> Rows:
-        at = np.full(BUCKETS, -1, np.int64)
-        at[chosen] = np.arange(len(chosen))
-        dense = np.zeros((len(lists), len(chosen) + 1), np.float32)
-        dense[:, -1] = 1
-        for i, x in enumerate(lists):
-            dense[i, at[x][at[x] >= 0]] = 1
-        return cls(dense)
+def dense(lists: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Rows of binary features, narrowed to the chosen columns; the last column is the constant."""
+    at = np.full(BUCKETS, -1, np.int32)
+    at[chosen] = np.arange(len(chosen))
+    out = np.zeros((len(lists), len(chosen) + 1), np.uint8)
+    out[:, -1] = 1
+    for i, x in enumerate(lists):
+        found = at[x]
+        out[i, found[found >= 0]] = 1
+    return out
 
 
 def choose(lists: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -120,10 +136,11 @@ def choose(lists: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 250, ridge: float = 1e-3) -> np.ndarray:
-    """Weights by accelerated gradient steps; the last column is the constant and is not shrunk."""
+    """Weights for binary features by accelerated gradient steps; the last column is the constant and is not shrunk."""
+    x = x.astype(np.float32)
     w, v = np.zeros(x.shape[1]), np.zeros(x.shape[1])
     total = max(weight.sum(), 1e-9)
-    step = 4 / max(float((x * x).sum(1).mean()), 1)
+    step = 4 / max(float(x.sum(1).mean()), 1)
     shrink = np.full(x.shape[1], ridge)
     shrink[-1] = 0
     for k in range(rounds):
@@ -178,13 +195,13 @@ class Training:
         self.given: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]  # label and features by document, for each view
         if self.two_classes:
             self.chosen = [choose([x for x, k in zip(v, self.keep, strict=True) if k], self.y[self.keep]) for v in views]
-            self.own = [Rows.of(v, c).dense for v, c in zip(views, self.chosen, strict=True)]
+            self.own = [dense(v, c) for v, c in zip(views, self.chosen, strict=True)]
             self.train()
 
     def train(self) -> None:
         self.weights = []
         for own, chosen, given in zip(self.own, self.chosen, self.given, strict=True):
-            more = Rows.of([features for _, features in given.values()], chosen).dense
+            more = dense([features for _, features in given.values()], chosen)
             labels = np.concatenate([self.y[self.keep], np.array([label for label, _ in given.values()])])
             self.weights.append(logistic(np.vstack([own[self.keep], more]), labels, np.concatenate([np.ones(int(self.keep.sum())), np.full(len(more), 0.5)])))
 
@@ -222,7 +239,7 @@ def co_train(views: list[list[np.ndarray]], y: np.ndarray, pool: list[list[np.nd
     training, size = Training(views, y), len(pool[0])
     for _ in range(ROUNDS if training.two_classes and size else 0):
         for i in (0, 1):
-            odds = Rows.of(pool[i], training.chosen[i]).dense @ training.weights[i]
+            odds = dense(pool[i], training.chosen[i]) @ training.weights[i]
             to = training.given[1 - i]
             for label, n, best in zip((0.0, 1.0), training.asked(size), (np.argsort(odds, kind="stable"), np.argsort(-odds, kind="stable")), strict=True):
                 if not training.teaches(i, label):
@@ -243,17 +260,41 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
     Fits on the MOST_LABELLED labelled documents whose ids hash lowest, a bounded sample. All documents without a label
     are judged in each round; the most confident ones, MOST_GIVEN of a class at most, join the fit.
     """
+    return _trained(docs, labels, targets)[0]
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
+    """doc_id and, for each target t, t_content, t_page, t_score of every row of docs, as score() gives them with fit()'s
+    models. Texts are read once: what is scored are the chosen features that co-training has written."""
+    models, features = _trained(docs, labels, targets)
+    shipped = docs.sparkSession.sparkContext.broadcast(models)
+    names = _score_names(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(np.repeat(np.arange(batch.num_rows), batch.column(c).value_lengths().to_numpy()), batch.column(c).flatten().to_numpy()) for c in ("content", "page")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_scores(shipped.value, batch.num_rows, *own)], ["doc_id", *names])
+
+    return features.select("doc_id", "content", "page").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def _trained(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> tuple[dict[str, Classifier], DataFrame]:
+    """The classifiers and the written rows (doc_id, has_text, content, page) of chosen features of all docs."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(t).cast("int")).alias(t) for t in targets]).dropna()
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = _narrow(docs).where(F.col("_text_").isNotNull() & F.col("doc_id").isNotNull())
-    sample = rows.join(F.broadcast(some), "doc_id")  # at most MOST_LABELLED ids
+    rows = _narrow(docs).withColumn("has_text", F.col("_text_").isNotNull().cast("int"))
+    sample = rows.where("has_text = 1").join(F.broadcast(some), "doc_id")  # at most MOST_LABELLED ids
     once = _feature_rows(sample, targets).groupBy("doc_id").agg(F.min(F.struct(*targets, "content", "page")).alias("x")).select("doc_id", "x.*")
     found = once.toPandas()  # a row an id, however many rows have it
     found = found.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"]], kind="stable")]
-    views = [[np.asarray(x, np.int64) for x in found[v]] for v in ("content", "page")]
+    views = [[np.asarray(x, np.int32) for x in found.pop(v)] for v in ("content", "page")]
     trainings = {t: Training(views, found[t].to_numpy(float).astype(int)) for t in targets}
-    _teach([t for t in trainings.values() if t.two_classes], rows, known)
-    return {t: training.classifier() for t, training in trainings.items()}
+    del views, found
+    teaching = [t for t in trainings.values() if t.two_classes]
+    chosen = [np.unique(np.concatenate([np.zeros(0, np.int64), *(t.chosen[i] for t in teaching)])) for i in (0, 1)]
+    features = common.materialise(_feature_rows(rows, ("has_text",), chosen), "features")
+    _teach(teaching, features, known)
+    return {t: training.classifier() for t, training in trainings.items()}, features
 
 
 def _feature_rows(rows: DataFrame, more: tuple[str, ...], chosen: list[np.ndarray] | None = None) -> DataFrame:
@@ -281,13 +322,12 @@ def _feature_rows(rows: DataFrame, more: tuple[str, ...], chosen: list[np.ndarra
     return rows.mapInArrow(features, "doc_id long, " + "".join(f"{t} int, " for t in more) + "content array<int>, page array<int>")
 
 
-def _teach(trainings: list[Training], rows: DataFrame, known: DataFrame) -> None:
-    """The rounds of co-training over all unlabelled documents. Their chosen features are extracted once and written; a
-    round writes every document's log-odds and takes the most confident by ordered limits. Ties go by hash of the id."""
+def _teach(trainings: list[Training], features: DataFrame, known: DataFrame) -> None:
+    """The rounds of co-training over all unlabelled documents: a round writes every document's log-odds and takes the
+    most confident by ordered limits. Ties go by hash of the id."""
     if not trainings:
         return
-    chosen = [np.unique(np.concatenate([t.chosen[i] for t in trainings])) for i in (0, 1)]
-    pool = _feature_rows(rows, (), chosen).join(known.select("doc_id"), "doc_id", "left_anti")
+    pool = features.where("has_text = 1 and doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti")
     pool = common.materialise(pool.groupBy("doc_id").agg(F.min(F.struct("content", "page")).alias("x")).select("doc_id", "x.content", "x.page"), "unlabelled")
     size = pool.count()
     names = [[f"odds_{k}_{i}" for i in (0, 1)] for k in range(len(trainings))]
@@ -305,9 +345,9 @@ def _teach(trainings: list[Training], rows: DataFrame, known: DataFrame) -> None
         ids = sorted({d for *_, some in taken for d in some})
         if not ids:
             break
-        wanted = rows.sparkSession.createDataFrame([(d,) for d in ids], "doc_id long")
+        wanted = pool.sparkSession.createDataFrame([(d,) for d in ids], "doc_id long")
         got = pool.join(F.broadcast(wanted), "doc_id").toPandas()  # at most 4 * MOST_GIVEN ids a target
-        lists = {d: (np.asarray(c, np.int64), np.asarray(p, np.int64)) for d, c, p in zip(got["doc_id"].tolist(), got["content"], got["page"], strict=True)}
+        lists = {d: (np.asarray(c, np.int32), np.asarray(p, np.int32)) for d, c, p in zip(got["doc_id"].tolist(), got["content"], got["page"], strict=True)}
         for k, view, label, some in taken:
             for d in some:
                 trainings[k].given[view].setdefault(d, (label, lists[d][view]))
@@ -330,13 +370,22 @@ def _judged(pool: DataFrame, trainings: list[Training], names: list[str]) -> Dat
     return pool.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
+def _score_names(models: dict[str, Classifier]) -> list[str]:
+    return [f"{t}_{x}" for t in models for x in ("content", "page", "score")]
+
+
+def _scores(models: dict[str, Classifier], n: int, content: tuple[np.ndarray, np.ndarray], page: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    """Probabilities of n documents, in the order of _score_names."""
+    return [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for m in models.values() for x in m.odds(n, content, page)]
+
+
 def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:
     """row (all columns of docs as a struct) and, for each model t: t_content, t_page, t_score (probabilities).
 
     Null texts are empty, null metadata a value of its own; repeated rows give a row each; an empty table gives none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(models)
-    names = [f"{t}_{x}" for t in models for x in ("content", "page", "score")]
+    names = _score_names(models)
     metadata = [F.col("source").cast("string").alias("_source_"), F.col("lang").cast("string").alias("_lang_"), F.col("n_chars").cast("long").alias("_n_chars_")]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *metadata)
 
@@ -346,8 +395,7 @@ def score(docs: DataFrame, models: dict[str, Classifier]) -> DataFrame:
                 texts = common.texts_of(part, "row.text")
                 content = content_features(texts)
                 page = page_features(texts, *(part.column(c).to_pylist() for c in ("_source_", "_lang_", "_n_chars_")))
-                arrays = [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for m in shipped.value.values() for x in m.odds(len(texts), content, page)]
-                yield pa.RecordBatch.from_arrays([part.column("row"), *arrays], ["row", *names])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *_scores(shipped.value, len(texts), content, page)], ["row", *names])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(n, T.DoubleType()) for n in names]]))
 

@@ -45,10 +45,8 @@ def op7_blockmax_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """quality_score and toxic_score are probabilities; keep is the decision of the pipeline's stage."""
-    docs = documents(spark, sf_dir)
-    models = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = cotraining.score(docs, models).withColumn("keep", cotraining.keeps())
-    return scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), *scored.columns[1:])
+    scored = cotraining.fit_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.withColumn("keep", cotraining.keeps())
 
 
 def op9_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,16 @@ def test_classifier_edge_cases(spark, edge, none):
     assert cotraining.score(edge, cotraining.fit(edge, labels.where("false"))).where("quality_score = 0.5").count() == edge.count()
 
 
+def test_scores_from_written_features_are_those_of_the_texts(spark, docs, edge):
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 1), (5, None, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    for df, known in ((docs, spark.read.parquet(f"{SF}/labels.parquet")), (edge, labels)):
+        want = cotraining.score(df, cotraining.fit(df, known)).select("row.doc_id", "quality_score", "toxic_page").collect()
+        got = cotraining.fit_and_score(df, known).select("doc_id", "quality_score", "toxic_page").collect()
+        key = lambda r: (r.doc_id is not None, r.doc_id or 0, round(r.quality_score, 9))
+        assert [r.doc_id for r in sorted(got, key=key)] == [r.doc_id for r in sorted(want, key=key)]
+        assert np.allclose([tuple(r)[1:] for r in sorted(got, key=key)], [tuple(r)[1:] for r in sorted(want, key=key)])
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400)
