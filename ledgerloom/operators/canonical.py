@@ -31,11 +31,23 @@ def sequence_relation(existing: Column, candidate: Column) -> Column:
     return F.when(~prefix, DIVERGED).when(a == b, EQUAL).when(b > a, EXTENSION).otherwise(SHORTER)
 
 
-def same_attributes(left: str, right: str) -> Column:
-    same = F.lit(True)
-    for name in ATTRIBUTES:
-        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return same
+def relations(files: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """path, identity_relation, semantic_relation, ledger_has_events of files (path, rollout_id): how the events `new`
+    (path) of each relate to the events `old` of its rollout. Events are compared place by place; no session's events
+    are gathered in one value."""
+
+    def placed(events: DataFrame, key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("token_event_ordinal"))
+        return events.select(key, place.alias("place"), identity().alias("i"), identity(True).alias("s"))
+
+    there = files.join(placed(old, "rollout_id"), "rollout_id").select("path", "place", F.col("i").alias("i_old"), F.col("s").alias("s_old"))
+    both = placed(new, "path").join(there, ["path", "place"], "full_outer")
+    differs = lambda c: F.coalesce(F.max(F.col(c) != F.col(f"{c}_old")), F.lit(False)).alias(f"{c}_differs")
+    counts = both.groupBy("path").agg(F.count("i").alias("n"), F.count("i_old").alias("n_old"), differs("i"), differs("s"))
+    found = files.select("path").join(counts, "path", "left").na.fill(0, ["n", "n_old"])
+    length = F.when(F.col("n") == F.col("n_old"), EQUAL).when(F.col("n") > F.col("n_old"), EXTENSION).otherwise(SHORTER)
+    relation = lambda c: F.when(F.coalesce(F.col(f"{c}_differs"), F.lit(False)), DIVERGED).otherwise(length)
+    return found.select("path", relation("i").alias("identity_relation"), relation("s").alias("semantic_relation"), (F.col("n_old") > 0).alias("ledger_has_events"))
 
 
 def decision() -> Column:

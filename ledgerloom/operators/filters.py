@@ -60,6 +60,10 @@ class SelectionFilter:
     models: tuple[str, ...] | None = None
     subjects: tuple[tuple[str, str], ...] | None = None
 
+    def __post_init__(self) -> None:
+        if self.end_ms <= self.start_ms:
+            raise ValueError("the end does not lie after the start")
+
     def in_time(self, events: DataFrame) -> DataFrame:
         return events.where((F.col("timestamp_epoch_ms") >= self.start_ms) & (F.col("timestamp_epoch_ms") < self.end_ms))
 

@@ -63,11 +63,11 @@ def with_rollouts(events: DataFrame, rollouts: DataFrame) -> DataFrame:
     return events.join(rollouts, "rollout_id")
 
 
-def unknown_model_sources(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """file_path of present canonical sources whose rollout has an event of unknown model."""
+def unknown_model_sources(events: DataFrame, rollouts: DataFrame) -> DataFrame:
+    """file_path: canonical sources, present or not, of the rollouts that have an event of unknown model."""
     unknown = events.where("model = 'unknown'").select("rollout_id").distinct()
-    canonical = sources.where("canonical_status = 'canonical' AND is_present")
-    return canonical.join(unknown, "rollout_id", "left_semi").select("file_path").distinct().orderBy("file_path")
+    named = rollouts.where("canonical_source_path is not null")
+    return named.join(unknown, "rollout_id", "left_semi").select(F.col("canonical_source_path").alias("file_path")).distinct().orderBy("file_path")
 
 
 def present_voice_rollouts(rollouts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -198,9 +198,11 @@ def recent_main_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.recent_main_threads(views.rollouts(spark, sf_dir), 20).select("conversation_id", "project_name", "thread_title", "last_activity_epoch_ms")
 
 
-@query(f"{WITH} SELECT DISTINCT file_path FROM source_files s JOIN usage_events e ON e.rollout_id = s.rollout_id WHERE e.model = 'unknown' AND canonical_status = 'canonical' AND is_present")
+@query(f"{WITH} SELECT DISTINCT file_path FROM source_files s JOIN usage_events e ON e.rollout_id = s.rollout_id WHERE e.model = 'unknown' AND canonical_status = 'canonical'")
 def unknown_model_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.unknown_model_sources(views.usage_events(spark, sf_dir), views.sources(spark, sf_dir))
+    """Every canonical source is the one that its rollout names, whether the file is still there or not."""
+    named = views.sources(spark, sf_dir).where("canonical_status = 'canonical'").select("rollout_id", F.col("file_path").alias("canonical_source_path"))
+    return threads.unknown_model_sources(views.usage_events(spark, sf_dir), views.rollouts(spark, sf_dir).join(named, "rollout_id", "left"))
 
 
 @query(f"{WITH} SELECT count(*) AS sessions FROM rollouts r WHERE is_realtime_voice AND EXISTS (SELECT 1 FROM source_files s WHERE s.rollout_id = r.rollout_id AND is_present)")
@@ -302,11 +304,11 @@ def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED = ("rollout_id", "token_event_ordinal", "timestamp_epoch_ms", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "event_signature")
 
 
-@query(f"{WITH} SELECT rollout_id, count(*) AS events, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM usage_events WHERE token_event_ordinal % 10 < 8 GROUP BY rollout_id")
+@query(f"{WITH} SELECT rollout_id, count(*) AS events, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM usage_events GROUP BY rollout_id")
 def append_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping batches of events appended: every event is there once."""
+    """Two overlapping batches of events, which together are all, appended: every event is there once."""
     events = views.usage_events(spark, sf_dir).select(*_STORED)
-    old, new = events.where("token_event_ordinal % 10 < 5"), events.where("token_event_ordinal % 10 BETWEEN 3 AND 7")
+    old, new = events.where("token_event_ordinal % 10 < 5"), events.where("token_event_ordinal % 10 >= 3")
     table, _ = mutations.append_events(old, new)
     return table.groupBy("rollout_id").agg(F.count("*").alias("events"), F.sum("input_tokens").alias("input_tokens"))
 
@@ -326,13 +328,14 @@ def _full_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{WITH}, u AS (SELECT *, CAST(substr(rollout_id, 2) AS BIGINT) AS k FROM rollouts) SELECT rollout_id, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN CASE WHEN k % 3 = 0 THEN 'new' ELSE project_name END ELSE project_name END AS project_name, "
-    "CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN greatest(last_activity_epoch_ms, 1704500000000) WHEN k % 3 = 0 THEN 1704500000000 ELSE last_activity_epoch_ms END AS last_activity_epoch_ms, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 9 END AS BIGINT) AS created_at_epoch_ms FROM u WHERE k % 2 = 0 OR k % 3 = 0"
+    f"{WITH}, u AS (SELECT *, CAST(substr(rollout_id, 2) AS BIGINT) AS k FROM rollouts) SELECT rollout_id, CASE WHEN k % 2 <> 0 OR k % 3 = 0 THEN 'new' ELSE project_name END AS project_name, "
+    "CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN greatest(last_activity_epoch_ms, 1704500000000) WHEN k % 2 <> 0 THEN 1704500000000 ELSE last_activity_epoch_ms END AS last_activity_epoch_ms, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 9 END AS BIGINT) AS created_at_epoch_ms FROM u"
 )
 def rollout_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rollout is old or new, and every sixth is both."""
     rollouts = _full_rollouts(spark, sf_dir).withColumn("_k", F.substring("rollout_id", 2, 20).cast("long"))
     old = rollouts.where("_k % 2 = 0").drop("_k")
-    new = rollouts.where("_k % 3 = 0").drop("_k").withColumn("project_name", F.lit("new")).withColumn("last_activity_epoch_ms", F.lit(1_704_500_000_000))
+    new = rollouts.where("_k % 2 <> 0 OR _k % 3 = 0").drop("_k").withColumn("project_name", F.lit("new")).withColumn("last_activity_epoch_ms", F.lit(1_704_500_000_000))
     return mutations.upsert_rollouts(old, new, 9).select("rollout_id", "project_name", "last_activity_epoch_ms", "created_at_epoch_ms")
 
 
@@ -411,12 +414,12 @@ def sgt_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.raw_events(spark, sf_dir).select("event_id", start.alias("start_ms"), end.alias("end_ms"), valid.alias("valid"))
 
 
-@query("WITH r AS (SELECT user_id, min(epoch_us(ts) // 1000) AS a, max(epoch_us(ts) // 1000) AS b FROM events GROUP BY user_id), l AS (SELECT user_id, a, lag(b) OVER (ORDER BY a, concat('run', CAST(user_id AS VARCHAR))) AS before FROM r) SELECT concat('run', CAST(user_id AS VARCHAR)) AS run_id, before AS gap_start_ms, a AS gap_end_ms FROM l WHERE before < a")
+@query("WITH r AS (SELECT user_id, min(epoch_us(ts) // 1000) AS a FROM events GROUP BY user_id), l AS (SELECT user_id, a, lag(a + 1 + user_id % 3) OVER (ORDER BY a, concat('run', CAST(user_id AS VARCHAR))) AS before FROM r) SELECT concat('run', CAST(user_id AS VARCHAR)) AS run_id, before AS gap_start_ms, a AS gap_end_ms FROM l WHERE before < a")
 def observation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.expr("unix_millis(CAST(ts AS TIMESTAMP))")
-    runs = views.raw_events(spark, sf_dir).groupBy("user_id").agg(F.min(ms).alias("started_at_epoch_ms"), F.max(ms).alias("completed_at_epoch_ms"))
-    runs = runs.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), "started_at_epoch_ms", "completed_at_epoch_ms", F.lit(None).cast("long").alias("heartbeat_at_epoch_ms"))
-    return mutations.observation_gaps(runs)
+    """A short run for each user, at the user's first event; every third has no end but a last sign."""
+    runs = views.raw_events(spark, sf_dir).groupBy("user_id").agg(F.min(F.expr("unix_millis(CAST(ts AS TIMESTAMP))")).alias("started_at_epoch_ms"))
+    last, open_ = F.col("started_at_epoch_ms") + 1 + F.col("user_id") % 3, F.col("user_id") % 3 == 2
+    return mutations.observation_gaps(runs.select(F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id"), "started_at_epoch_ms", F.when(~open_, last).alias("completed_at_epoch_ms"), F.when(open_, last).alias("heartbeat_at_epoch_ms")))
 
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -18,10 +21,14 @@ from ledgerloom.sources import records
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.sources.staging import cut
 
-from .growing_files import GrowingFiles
+from .growing_files import FACTS, GrowingFiles
 
 #: A stored revision of the parsing rules; a ledger with another one is rebuilt from all files.
 PARSER_REVISION = 1
+#: Tables that files change, all by rollout.
+BY_ROLLOUT = ("rollouts", "usage_events", "source_files", "rollout_checkpoints")
+#: Folders of the stream's store of records, by a hash of the path: a batch reads those of its files.
+STORE_BUCKETS = 64
 
 
 def changed_files(inventory: DataFrame, sources: DataFrame) -> DataFrame:
@@ -32,17 +39,40 @@ def changed_files(inventory: DataFrame, sources: DataFrame) -> DataFrame:
     return files.join(known, (files["file_path"] == known["file_path"]) & same, "left_anti").drop("_now")
 
 
-def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, now_ms: int | None = None) -> int:
-    """One inventory: reads changed files, rejects damaged ones whole, decides on copies and publishes a snapshot.
+def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, titles: str | None = None, now_ms: int | None = None) -> int:
+    """One inventory: reads changed files, rejects damaged ones whole, decides on copies and publishes a snapshot, with
+    a row for the run. Returns the revision.
 
-    Copies of a session are taken in the order of their paths, one of each session at a time. Returns the revision.
+    A rebuild reads all files and takes each session from one of them (canonical.revision_choice). The stored parser
+    revision advances only when no file was damaged. titles: path of an index of session titles; one without invalid
+    records also clears the titles it lacks. A run that fails is recorded as failed and changes nothing else.
     """
     spark, now = ledger.spark, int(time.time() * 1000) if now_ms is None else now_ms
     tables = ledger.tables()
     stored = tables["collector_state"].where("key = 'parser_revision'").select("value").head()
     rebuild = rebuild or (stored is not None and stored[0] != str(PARSER_REVISION))
+    run = uuid.uuid4().hex
+    begun = spark.createDataFrame([(run, "rebuild" if rebuild else "inventory", "running", now, now, None, None, None, None)], schema.RUNS)
+    runs = tables["collector_runs"].unionByName(begun)
+    ended = lambda: int(time.time() * 1000) if now_ms is None else now
+    try:
+        changed, seen, taken = _inventory(ledger, tables, roots, rebuild, stored is None, titles, now)
+        runs = mutations.finish_run(mutations.heartbeat(runs, run, ended()), run, ended(), "completed")
+        mine = F.col("run_id") == run
+        runs = runs.withColumn("files_seen", F.when(mine, F.lit(seen)).otherwise(F.col("files_seen"))).withColumn("files_changed", F.when(mine, F.lit(taken)).otherwise(F.col("files_changed")))
+        return ledger.commit(**changed, collector_runs=runs)
+    except Exception as error:
+        with contextlib.suppress(Exception):
+            failed = tables["collector_runs"].unionByName(begun)
+            ledger.commit(collector_runs=mutations.finish_run(failed, run, ended(), "failed", str(error)[:500]))
+        raise
+
+
+def _inventory(ledger: Ledger, tables: dict[str, DataFrame], roots: tuple[str, ...], rebuild: bool, first: bool, titles: str | None, now: int) -> tuple[dict[str, DataFrame], int, int]:
+    """The changed tables, files found and files read."""
+    spark = ledger.spark
     found = records.inventory(spark, *roots)
-    todo = found if rebuild else changed_files(found, tables["source_files"])
+    todo = cut(found if rebuild else changed_files(found, tables["source_files"]), "changed-files")
     paths = todo.select(F.col("file_path").alias("path"))
     gone = mutations.missing_sources(tables["source_files"], found)
     files = records.contents(spark, *roots).join(paths, "path", "left_semi")
@@ -51,10 +81,7 @@ def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, now_ms: int | Non
     parsed = attribution.parse(rows.join(damaged, "path", "left_anti"))
     meta = cut(parsed["metadata"].join(shots, "path"), "metadata")
     events = cut(parsed["events"], "events")
-    order = F.row_number().over(Window.partitionBy("rollout_id").orderBy("path"))
-    turns = meta.select("path", "rollout_id").withColumn("turn", order)
-    for turn in range(1, (turns.agg(F.max("turn")).head()[0] or 0) + 1):
-        tables = _decide(tables, meta.join(turns.where(F.col("turn") == turn).select("path"), "path", "left_semi"), events, rebuild, now)
+    tables = apply_files(tables, meta, events, rebuild, now, lambda again: records.snapshots(records.contents(spark, *roots).join(again, "path", "left_semi")))
     bad = damaged.join(shots, "path").select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms")
     known = tables["source_files"].join(bad.select("file_path"), "file_path", "left_semi").withColumn("last_error", F.lit("damaged record"))
     fresh = bad.join(tables["source_files"].select("file_path"), "file_path", "left_anti")
@@ -62,63 +89,110 @@ def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, now_ms: int | Non
     fresh = fresh.select(*[F.col(c).alias(c) if c in fresh.columns else v.alias(c) for c, v in blank.items()])
     sources, checkpoints = mutations.upsert_sources(tables["source_files"], known.unionByName(fresh), tables["rollout_checkpoints"])
     sources, checkpoints = mutations.mark_missing(sources, checkpoints, gone, now)
-    state = mutations.put_state(tables["collector_state"], spark.createDataFrame([("parser_revision", str(PARSER_REVISION), now)], schema.STATE))
-    return ledger.commit(rollouts=tables["rollouts"], usage_events=tables["usage_events"], source_files=sources, rollout_checkpoints=checkpoints, collector_state=state)
+    changed = {n: tables[n] for n in ("rollouts", "usage_events", "collector_diagnostics")} | {"source_files": sources, "rollout_checkpoints": checkpoints}
+    if titles is not None:
+        index, invalid = records.session_titles(spark, titles)
+        changed["rollouts"], _ = mutations.synchronise_titles(changed["rollouts"], index, authoritative=invalid.head()[0] == 0)
+    if first or not rebuild or damaged.isEmpty():
+        changed["collector_state"] = mutations.put_state(tables["collector_state"], spark.createDataFrame([("parser_revision", str(PARSER_REVISION), now)], schema.STATE))
+    return changed, found.count(), todo.count()
+
+
+def reconcile(ledger: Ledger, *roots: str, every: float = 300.0, rounds: int | None = None, titles: str | None = None, wait: Callable[[float], None] = time.sleep) -> int:
+    """Inventories again and again, `every` seconds apart, beside a stream or without one. Returns the last revision."""
+    done, revision = 0, ledger.revision
+    while rounds is None or done < rounds:
+        if done:
+            wait(every)
+        revision, done = ingest(ledger, *roots, titles=titles), done + 1
+    return revision
+
+
+def apply_files(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, rebuild: bool, now: int, reread: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables after deciding on parsed files: meta has a row a file (attributes and snapshot), events theirs.
+
+    Copies of a session are decided one after the other in the order of their paths; only what belongs to sessions
+    with another copy to come is written again between them, and the whole tables are not written here at all. In a
+    rebuild one copy of each session decides and the others are listed. reread: snapshots of files (path) read once
+    more, which must not have changed before a canonical file replaces its own events.
+    """
+    sources = tables["source_files"]
+    if rebuild:
+        known = sources.select(F.col("file_path").alias("path"), "canonical_status", "byte_offset")
+        ranked = meta.select("path", "rollout_id", "size_bytes", "modified_at_epoch_ms", "stable_length", F.col("path").alias("file_path")).join(known, "path", "left")
+        ranked = ranked.withColumn("byte_offset", F.coalesce("byte_offset", "stable_length"))
+        chosen = cut(canonical.revision_choice(ranked).select("path"), "chosen")
+        passed = meta.join(chosen, "path", "left_anti")
+        sources, checkpoints = mutations.upsert_sources(sources, _listed(passed, F.lit("candidate"), now), tables["rollout_checkpoints"])
+        tables = tables | {"source_files": sources, "rollout_checkpoints": checkpoints}
+        meta = meta.join(chosen, "path", "left_semi")
+    turns = cut(meta.select("path", "rollout_id", F.row_number().over(Window.partitionBy("rollout_id").orderBy("path")).alias("turn")), "turns")
+    ids = turns.select("rollout_id").distinct()
+    # a file that now holds another session is listed anew
+    moved = sources.join(turns.select(F.col("path").alias("file_path"), F.col("rollout_id").alias("_to")), "file_path").where(~F.col("rollout_id").eqNullSafe(F.col("_to"))).select("file_path")
+    tables = tables | {"source_files": sources.join(moved, "file_path", "left_anti").select(*sources.columns)}
+    parts = [{n: tables[n].join(ids, "rollout_id", "left_anti").select(*tables[n].columns) for n in BY_ROLLOUT} | {"collector_diagnostics": tables["collector_diagnostics"]}]
+    work = {n: tables[n].join(ids, "rollout_id", "left_semi").select(*tables[n].columns) for n in BY_ROLLOUT}
+    for turn in range(1, (turns.agg(F.max("turn")).head()[0] or 0) + 1):
+        mine = turns.where(F.col("turn") == turn)
+        if turn > 1:
+            parts.append({n: work[n].join(mine, "rollout_id", "left_anti").select(*work[n].columns) for n in BY_ROLLOUT})
+            work = {n: work[n].join(mine, "rollout_id", "left_semi").select(*work[n].columns) for n in BY_ROLLOUT}
+        work = _decide(work, tables["collector_diagnostics"].where("false"), meta.join(mine.select("path"), "path", "left_semi"), events, rebuild, now, reread)
+        parts.append({"collector_diagnostics": work.pop("collector_diagnostics")})
+    parts.append(work)
+    return tables | {n: reduce(DataFrame.unionByName, [p[n] for p in parts if n in p]) for n in (*BY_ROLLOUT, "collector_diagnostics")}
+
+
+def _listed(files: DataFrame, status: Column, now: int) -> DataFrame:
+    """Rows of source_files for scanned files."""
+    return files.select(
+        F.col("path").alias("file_path"), "rollout_id", "size_bytes", "modified_at_epoch_ms", F.col("stable_length").alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"),
+        F.lit("verified").alias("prefix_status"), status.alias("canonical_status"), F.lit(True).alias("is_present"), F.lit(now).cast("long").alias("last_scanned_at_epoch_ms"), F.lit(None).cast("string").alias("last_error"),
+    )
 
 
-def _decide(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, rebuild: bool, now: int) -> dict[str, DataFrame]:
-    """Applies the decision table to one file of each rollout and returns the new tables."""
-    rollouts, ledger_events, sources, checkpoints = (tables[t] for t in ("rollouts", "usage_events", "source_files", "rollout_checkpoints"))
+def _decide(tables: dict[str, DataFrame], diagnostics: DataFrame, meta: DataFrame, events: DataFrame, rebuild: bool, now: int, reread: Callable[[DataFrame], DataFrame] | None) -> dict[str, DataFrame]:
+    """Applies the decision table to one file of each rollout and returns the new tables, written."""
+    rollouts, ledger_events, sources, checkpoints = (tables[t] for t in BY_ROLLOUT)
     mine = events.join(meta.select("path"), "path", "left_semi")
-    ids = meta.select("rollout_id")
-    held = ledger_events.join(ids, "rollout_id", "left_semi")
-    compared = meta.select("path", "rollout_id")
-    for name, with_model in (("identity", False), ("semantic", True)):
-        new = canonical.sequences(mine, "path", canonical.identity(with_model)).withColumnRenamed("sequence", f"{name}_new")
-        old = canonical.sequences(held, "rollout_id", canonical.identity(with_model)).withColumnRenamed("sequence", f"{name}_old")
-        compared = compared.join(new, "path", "left").join(old, "rollout_id", "left")
-
-    def relation(name: str):
-        a, b = F.col(f"{name}_old"), F.col(f"{name}_new")
-        none = F.when(a.isNull() & b.isNull(), canonical.EQUAL).when(a.isNull(), canonical.EXTENSION).when(b.isNull(), canonical.SHORTER)
-        return F.coalesce(none, canonical.sequence_relation(a, b)).alias(f"{name}_relation")
-
-    compared = compared.select("path", "rollout_id", relation("identity"), relation("semantic"), F.col("identity_old").isNotNull().alias("ledger_has_events"))
-    kept = rollouts.select("rollout_id", F.struct(*canonical.ATTRIBUTES).alias("before"), "canonical_source_path")
+    compared = canonical.relations(meta.select("path", "rollout_id"), mine, ledger_events)
+    kept = rollouts.select("rollout_id", F.struct(*canonical.ATTRIBUTES).alias("before"), "canonical_source_path", F.col("thread_title").alias("_title"))
     current = sources.select(F.col("file_path").alias("canonical_source_path"), F.col("is_present").alias("there"), F.lit(True).alias("listed"))
     conflicts = sources.where("canonical_status = 'conflict' and is_present").groupBy("rollout_id").agg(F.lit(True).alias("in_conflict"))
     own = sources.select(F.col("file_path").alias("path"), "prefix_hash", "byte_offset")
     facts = (
-        meta.join(compared.drop("rollout_id"), "path").join(kept, "rollout_id", "left").join(current, "canonical_source_path", "left").join(conflicts, "rollout_id", "left").join(own, "path", "left")
+        meta.join(compared, "path").join(kept, "rollout_id", "left").join(current, "canonical_source_path", "left").join(conflicts, "rollout_id", "left").join(own, "path", "left")
         .withColumn("rebuild", F.lit(rebuild)).withColumn("expected_id_matches", F.lit(True)).withColumn("recoverable", F.col("identity_relation").isin(canonical.EQUAL, canonical.EXTENSION))
         .withColumn("is_canonical", F.coalesce(F.col("canonical_source_path") == F.col("path"), F.lit(False))).withColumn("has_canonical", F.col("canonical_source_path").isNotNull())
         .withColumn("canonical_present", F.coalesce("there", F.lit(False))).withColumn("canonical_in_conflict", F.coalesce("in_conflict", F.lit(False)))
         .withColumn("prefix_rewritten", F.coalesce((F.col("stable_length") < F.col("byte_offset")) | ((F.col("stable_length") == F.col("byte_offset")) & (F.col("boundary_hash") != F.col("prefix_hash"))), F.lit(False)))
         .withColumn("same_metadata", F.col("before").isNull() | F.col("before").eqNullSafe(F.struct(*canonical.ATTRIBUTES)))
     )
-    decided = facts.withColumn("decision", canonical.decision())
-    decided = cut(decided, "decisions")
-    status = F.when(F.col("decision") == "conflict", "conflict").otherwise("candidate")
-    listed = decided.where("decision <> 'reject'").select(
-        F.col("path").alias("file_path"), "rollout_id", "size_bytes", "modified_at_epoch_ms", F.col("stable_length").alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"),
-        F.lit("verified").alias("prefix_status"), status.alias("canonical_status"), F.lit(True).alias("is_present"), F.lit(now).cast("long").alias("last_scanned_at_epoch_ms"), F.lit(None).cast("string").alias("last_error"),
-    )
-    taken = decided.where(F.col("decision").isin("replace", "recover", "confirm_and_replace", "promote"))
+    decided = cut(facts.withColumn("decision", canonical.decision()), "decisions")
+    rewritten = decided.where("decision = 'confirm_and_replace'")
+    if reread is not None and not rewritten.isEmpty():  # a file that changes meanwhile waits for the next inventory
+        sure = records.confirmed(rewritten.select("path", "content_hash"), reread(rewritten.select("path"))).select("path")
+        decided = cut(decided.where("decision <> 'confirm_and_replace'").unionByName(rewritten.join(sure, "path", "left_semi").select(*decided.columns)), "confirmed")
+    listed = _listed(decided.where("decision <> 'reject'"), F.lit("candidate"), now)
+    taken = decided.where(F.col("decision").isin("replace", "recover", "confirm_and_replace", "promote")).withColumn("thread_title", F.coalesce("_title", F.lit("")))
     rollouts = mutations.upsert_rollouts(rollouts, taken.select(*[c for c in schema.struct(schema.ROLLOUTS).fieldNames() if c in taken.columns and c != "canonical_source_path"]), now)
     taken_events = mine.join(taken.select("path"), "path", "left_semi").select(*schema.struct(schema.EVENTS).fieldNames())
     ledger_events = mutations.replace_events(ledger_events, taken_events, taken)
     sources, checkpoints = mutations.upsert_sources(sources, listed, checkpoints)
+    differing = decided.where("decision = 'conflict'").select(F.col("path").alias("file_path"), F.lit("the file contradicts the events of its session").alias("message"))
+    sources, checkpoints, diagnostics = mutations.record_conflicts(sources, checkpoints, diagnostics, differing, now)
     settled = sources.where("canonical_status = 'conflict'").groupBy("rollout_id").agg(F.min("file_path").alias("resolved"))
     chosen = taken.select("rollout_id", "path").join(settled, "rollout_id", "left").withColumn("resolved", F.when(F.col("resolved") != F.col("path"), F.col("resolved")))
     rollouts, sources, checkpoints = mutations.promote(rollouts, sources, checkpoints, chosen, now)
-    return tables | {n: cut(t, n) for n, t in (("rollouts", rollouts), ("usage_events", ledger_events), ("source_files", sources), ("rollout_checkpoints", checkpoints))}
+    return {n: cut(t, n) for n, t in zip((*BY_ROLLOUT, "collector_diagnostics"), (rollouts, ledger_events, sources, checkpoints, diagnostics), strict=True)}
 
 
 # --- the stream -------------------------------------------------------------------------------------------------------
 
 
 def tail(spark: SparkSession, *roots: str, most_files: int = 16) -> DataFrame:
-    """Stream of complete lines appended below the roots: path, offset, raw, reset."""
+    """Stream of complete lines appended below the roots: path, offset, raw, reset; see GrowingFiles."""
     spark.dataSource.register(GrowingFiles)
     return spark.readStream.format("growing_files").option("roots", json.dumps(list(roots))).option("maxFilesPerTrigger", str(most_files)).load()
 
@@ -138,34 +212,39 @@ def typed(lines: DataFrame) -> DataFrame:
 class LiveLedger:
     """Takes micro-batches of appended lines into a ledger.
 
-    Only appended bytes are read from the logs. Their records, small next to the logs, are kept by batch; sessions
-    that a batch touches are attributed again from their records, so a model that is stated late changes the earlier
-    events it belongs to, and a rewritten file starts anew. A batch that comes twice overwrites itself.
+    Only appended bytes are read from the logs. Their records, small next to the logs, are kept by batch and by a hash
+    of the path; sessions that a batch touches are attributed again from their records, so a model that is stated late
+    changes the earlier events it belongs to, and a rewritten file starts anew. Copies of a session go through the same
+    decisions as in an inventory. A batch that comes twice overwrites itself.
     """
 
     def __init__(self, ledger: Ledger, store: str):
         self.ledger, self.store, self.spark = ledger, store.rstrip("/"), ledger.spark
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
-        lines = cut(lines, "tail")
-        typed(lines).write.mode("overwrite").parquet(f"{self.store}/records/batch={batch}")
+        lines, bucket = cut(lines, "tail"), F.pmod(F.hash("path"), F.lit(STORE_BUCKETS)).alias("bucket")
+        typed(lines).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.store}/records/batch={batch}")
         touched = lines.groupBy("path").agg(F.max("reset").alias("reset"))
         touched.write.mode("overwrite").parquet(f"{self.store}/touched/batch={batch}")
         history = self.spark.read.schema("path string, reset boolean, batch int").parquet(f"{self.store}/touched")
         since = history.where("reset").groupBy("path").agg(F.max("batch").alias("since"))
         mine = touched.select("path").join(since, "path", "left")
-        kept = self.spark.read.schema(T.StructType([*schema.RECORDS.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{self.store}/records").join(mine, "path").where("since is null or batch >= since").drop("since", "batch")
+        buckets = [r[0] for r in touched.select(bucket).distinct().collect()]  # STORE_BUCKETS at most
+        stored = self.spark.read.schema(T.StructType([*schema.RECORDS.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{self.store}/records")
+        kept = stored.where(F.col("bucket").isin(buckets)).join(mine, "path").where("since is null or batch >= since").drop("since", "batch", "bucket")
         damaged = records.damaged_files(kept)
         parsed = attribution.parse(kept.join(damaged, "path", "left_anti"))
         now = int(time.time() * 1000)
+        shots = lines.where("offset < 0").select("path", F.from_json(F.col("raw").cast("string"), FACTS).alias("f")).select("path", "f.*")
+        meta, events = cut(parsed["metadata"].join(shots, "path"), "metadata"), cut(parsed["events"], "events")
         tables = self.ledger.tables()
-        meta = parsed["metadata"]
-        rollouts = mutations.upsert_rollouts(tables["rollouts"], meta.select(*[c for c in schema.struct(schema.ROLLOUTS).fieldNames() if c in meta.columns]), now)
-        events = mutations.replace_events(tables["usage_events"], parsed["events"].select(*schema.struct(schema.EVENTS).fieldNames()), meta)
+        changed = apply_files(tables, meta, events, False, now)
         state = mutations.put_state(tables["collector_state"], self.spark.createDataFrame([("last_batch", str(batch), now)], schema.STATE))
-        self.ledger.commit(rollouts=rollouts, usage_events=events, collector_state=state)
+        self.ledger.commit(**{n: changed[n] for n in (*BY_ROLLOUT, "collector_diagnostics")}, collector_state=state)
 
-    def start(self, *roots: str, checkpoint: str, every: str = "2 seconds", once: bool = False, most_files: int = 16) -> StreamingQuery:
+    def start(self, *roots: str, checkpoint: str, every: str = "2 seconds", once: bool = False, most_files: int = 16, phases: Phases | None = None) -> StreamingQuery:
+        if phases is not None:
+            self.spark.streams.addListener(phases)
         writer = tail(self.spark, *roots, most_files=most_files).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 

@@ -2,8 +2,9 @@
 
 Spark's own file source reads a file once; session logs grow. This source's offset maps each file to the end of its
 last complete line and to a hash of what stands before it. A batch reads the bytes between two offsets, one partition
-for each file, on the executors. A file that shrank, or whose earlier bytes changed, is read again from its start with
-`reset` set. What follows the last line feed waits for its end.
+for each file, on the executors. A file that is new, shrank, or whose earlier bytes changed, is read from its start with
+`reset` set. What follows the last line feed waits for its end. The offset has the files that are there; one that went
+and comes back is a new one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 BOUNDARY_BYTES = 64 << 10
 PATTERN = "rollout-*.jsonl"
+#: What a file's first row of a batch (offset -1) has in `raw`, as JSON: the file as it is after the batch.
+FACTS = "size_bytes long, modified_at_epoch_ms long, stable_length long, boundary_hash string"
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -47,40 +50,47 @@ def _boundary(fs: pafs.FileSystem, path: str, end: int) -> str:
 
 
 class Tail(InputPartition):
-    def __init__(self, path: str, start: int, end: int, reset: bool):
-        self.path, self.start, self.end, self.reset = path, start, end, reset
+    def __init__(self, path: str, start: int, end: int, reset: bool, facts: dict):
+        self.path, self.start, self.end, self.reset, self.facts = path, start, end, reset, facts
 
 
 class GrowingFilesReader(DataSourceStreamReader):
     def __init__(self, roots: list[str], most_files: int):
         self.roots, self.most_files = roots, most_files
         self.known: dict[str, list] = {}
-        self.listed = False
+        self.waiting: dict[str, int] = {}  # changed files and the listing that first saw the change
+        self.listings = 0
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        """Files already seen and up to `most_files` that are new or have changed, in the order of their paths.
+        """Files already seen and up to `most_files` that are new or have changed: those that have waited longest first,
+        then in the order of their paths, so files that change all the time hold up no other.
 
         A reader's first offset has all files: it cannot see the start offset, which an end offset must not fall behind,
         and a run with the availableNow trigger asks only once.
         """
-        changed, most, self.listed = 0, self.most_files if self.listed else float("inf"), True
+        there, changed = set(), {}
         for root in self.roots:
             fs, base = _open(root)
-            for info in sorted(fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)), key=lambda i: i.path):
+            for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
                 if info.type != pafs.FileType.File or not fnmatch.fnmatch(info.base_name.lower(), PATTERN) or not info.base_name.startswith("rollout-"):
                     continue
-                size, modified = info.size, info.mtime_ns or 0
+                there.add(info.path)
                 before = self.known.get(info.path)
-                if before and before[2:] == [size, modified]:
-                    continue
-                if changed >= most:
-                    break
-                end = _stable(fs, info.path, size)
-                self.known[info.path] = [end, _boundary(fs, info.path, end), size, modified]
-                changed += 1
+                if not before or before[2:] != [info.size, info.mtime_ns or 0]:
+                    self.waiting.setdefault(info.path, self.listings)
+                    changed[info.path] = (fs, info.size, info.mtime_ns or 0)
+        self.known = {path: value for path, value in self.known.items() if path in there}
+        self.waiting = {path: since for path, since in self.waiting.items() if path in changed}
+        most = self.most_files if self.listings else len(changed)
+        self.listings += 1
+        for path in sorted(changed, key=lambda p: (self.waiting[p], p))[:most]:
+            fs, size, modified = changed[path]
+            end = _stable(fs, path, size)
+            self.known[path] = [end, _boundary(fs, path, end), size, modified]
+            del self.waiting[path]
         return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -88,27 +98,28 @@ class GrowingFilesReader(DataSourceStreamReader):
         for path, value in before.items():  # after a restart
             self.known.setdefault(path, value)
         out = []
-        for path, (stable, boundary, *_rest) in now.items():
+        for path, (stable, boundary, size, modified) in now.items():
             old = before.get(path)
             if old and old[:2] == [stable, boundary]:
                 continue
             fs, own = _open(path)
-            reset = bool(old) and (stable < old[0] or _boundary(fs, own, old[0]) != old[1])
-            out.append(Tail(path, 0 if reset or not old else old[0], stable, reset))
+            reset = not old or stable < old[0] or _boundary(fs, own, old[0]) != old[1]
+            facts = {"size_bytes": size, "modified_at_epoch_ms": modified // 1_000_000, "stable_length": stable, "boundary_hash": boundary}
+            out.append(Tail(path, 0 if reset else old[0], stable, reset, facts))
         return out
 
     def read(self, partition: Tail) -> Iterator[tuple]:
         fs, path = _open(partition.path)
         at = partition.start
-        if partition.reset:
-            yield (partition.path, -1, b"", True)
+        yield (partition.path, -1, json.dumps(partition.facts).encode(), partition.reset)
         for raw in _read(fs, path, partition.start, partition.end).split(b"\n")[:-1]:
             yield (partition.path, at, raw.removesuffix(b"\r"), partition.reset)
             at += len(raw) + 1
 
 
 class GrowingFiles(DataSource):
-    """Options: roots (a JSON list of folders), maxFilesPerTrigger (16; from the second listing on). Rows: path, offset, raw, reset."""
+    """Options: roots (a JSON list of folders), maxFilesPerTrigger (16; from the second listing on). Rows: path, offset,
+    raw, reset; a file's first row has offset -1 and its FACTS."""
 
     @classmethod
     def name(cls) -> str:

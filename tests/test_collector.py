@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import mutations
+from ledgerloom.operators import canonical, mutations
 from ledgerloom.sources import records
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.streaming import collector
@@ -111,6 +111,121 @@ def test_rewritten_canonical_file_replaces_its_events(spark, logs, book):
     assert len(events(book)) == 1
 
 
+def test_rebuild_takes_one_copy_of_each_session(spark, logs, book):
+    write(logs / "a" / "rollout-x-1.jsonl", meta(id="r1"), count(1), count(2), count(3))
+    write(logs / "b" / "rollout-x-1.jsonl", meta(id="r1"), count(1))
+    write(logs / "a" / "rollout-x-2.jsonl", meta(id="r2"), count(1))
+    collector.ingest(book, str(logs), now_ms=1)
+    assert len(events(book)) == 4
+    collector.ingest(book, str(logs), rebuild=True, now_ms=2)
+    assert [e[:2] for e in events(book)] == [("r1", 0), ("r1", 1), ("r1", 2), ("r2", 0)]
+    assert sorted(r.canonical_status for r in book.read("source_files").collect()) == ["candidate", "canonical", "canonical"]
+    runs = book.read("collector_runs").orderBy("started_at_epoch_ms").collect()
+    assert [(r.trigger, r.status, r.files_seen, r.files_changed) for r in runs] == [("inventory", "completed", 3, 3), ("rebuild", "completed", 3, 3)]
+
+
+def test_damaged_rebuild_keeps_events_and_the_old_revision(spark, logs, book, monkeypatch):
+    write(logs / "rollout-x-1.jsonl", meta(id="r1"), count(1))
+    collector.ingest(book, str(logs), now_ms=1)
+    monkeypatch.setattr(collector, "PARSER_REVISION", 2)
+    write(logs / "rollout-x-1.jsonl", meta(id="r1"), count(1), "not-json")
+    stored = lambda: book.read("collector_state").where("key = 'parser_revision'").head().value
+    collector.ingest(book, str(logs), now_ms=2)
+    assert len(events(book)) == 1 and stored() == "1"
+    write(logs / "rollout-x-1.jsonl", meta(id="r1"), count(1), count(2))
+    collector.ingest(book, str(logs), now_ms=3)
+    assert len(events(book)) == 2 and stored() == "2"
+
+
+def test_conflicts_are_reported_and_failed_runs_recorded(spark, logs, book, monkeypatch):
+    other = {"input_tokens": 99, "cached_input_tokens": 0, "output_tokens": 1, "reasoning_output_tokens": 0, "total_tokens": 100}
+    for d, line in (("a", count(1)), ("b", count(7, last=other)), ("c", count(1))):
+        write(logs / d / "rollout-x-1.jsonl", meta(id="r1"), line)
+    collector.ingest(book, str(logs), now_ms=1)
+    (report,) = book.read("collector_diagnostics").collect()
+    assert report.code == "source_conflict" and "/b/" in report.file_path
+    assert mutations.repeated_diagnostics(book.read("collector_diagnostics"), "source_conflict").head().most == 1
+    monkeypatch.setattr(records, "inventory", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        collector.ingest(book, str(logs), now_ms=5)
+    last = mutations.latest_run(book.read("collector_runs")).head()
+    assert last.status == "failed" and "division" in last.error and len(events(book)) == 1
+    assert [tuple(r)[1:] for r in mutations.observation_gaps(book.read("collector_runs")).collect()] == [(1, 5)]
+
+
+def test_a_file_that_changes_meanwhile_waits(spark, logs, book, monkeypatch):
+    path = logs / "rollout-x-1.jsonl"
+    write(path, meta(id="r1"), count(1), count(2))
+    collector.ingest(book, str(logs), now_ms=1)
+    write(path, meta(id="r1"), count(5))
+    whole, readings = records.snapshots, []
+
+    def changing(files):
+        readings.append(1)
+        return whole(files).withColumn("content_hash", F.lit(f"reading {len(readings)}"))
+
+    monkeypatch.setattr(records, "snapshots", changing)
+    collector.ingest(book, str(logs), now_ms=2)
+    assert len(events(book)) == 2 and len(readings) == 2
+    monkeypatch.setattr(records, "snapshots", whole)
+    collector.ingest(book, str(logs), now_ms=3)
+    assert len(events(book)) == 1
+
+
+def test_titles_come_with_an_inventory(spark, logs, book, tmp_path, monkeypatch):
+    index, path = tmp_path / "session_index.jsonl", logs / "rollout-x-1.jsonl"
+    index.write_text(f'{{"id":"{V7.format(1)}","thread_name":"A title","updated_at":"2026-01-01T00:00:00Z"}}\n')
+    write(path, meta(id="r1", session_id=V7.format(1)), count(1))
+    assert collector.reconcile(book, str(logs), rounds=1, titles=str(index)) == book.revision
+    assert book.read("rollouts").head().thread_title == "A title"
+    append(path, count(2))
+    waits, whole = [], collector.ingest
+    monkeypatch.setattr(collector, "ingest", lambda *_, **x: 7 if waits else whole(*_, **x))
+    assert collector.reconcile(book, str(logs), rounds=2, every=9, wait=waits.append) == 7
+    assert waits == [9] and book.read("rollouts").head().thread_title == "A title" and len(events(book)) == 2
+
+
+def test_copies_in_the_stream_are_decided(spark, logs, book, tmp_path):
+    live = collector.LiveLedger(book, f"file://{tmp_path}/store")
+    once = lambda: live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", once=True).awaitTermination(100)
+    for d in ("a", "b"):
+        write(logs / d / "rollout-x-1.jsonl", meta(id="r1"), count(1), count(2), count(3))
+    once()
+    assert [e[1] for e in events(book)] == [0, 1, 2] and book.read("rollouts").count() == 1
+    assert sorted(r.canonical_status for r in book.read("source_files").collect()) == ["candidate", "canonical"]
+    append(logs / "b" / "rollout-x-1.jsonl", count(4))  # the other copy goes on and takes over
+    once()
+    assert [e[1] for e in events(book)] == [0, 1, 2, 3]
+    write(logs / "c" / "rollout-x-1.jsonl", meta(id="r1"), count(1))  # a shorter one changes nothing
+    once()
+    assert [e[1] for e in events(book)] == [0, 1, 2, 3] and book.read("source_files").count() == 3
+    assert book.read("rollouts").head().canonical_source_path.endswith("/b/rollout-x-1.jsonl")
+
+
+def test_a_session_with_many_copies(spark, logs, book):
+    for i in range(3):
+        write(logs / f"d{i}" / "rollout-x-1.jsonl", meta(id="r1"), *[count(k) for k in range(1, 2 + i)])
+    write(logs / "z" / "rollout-x-2.jsonl", meta(id="r2"), count(1))
+    collector.ingest(book, str(logs), now_ms=1)
+    assert [e[:2] for e in events(book)] == [("r1", i) for i in range(3)] + [("r2", 0)]
+    assert sorted(r.canonical_status for r in book.read("source_files").collect()) == ["candidate"] * 2 + ["canonical"] * 2
+
+
+def test_relations_by_place(spark):
+    def rows(key, *lists):
+        out = [(k, i, 1, "m", v, 0, 0, 0) for k, x in lists for i, v in enumerate(x)]
+        return spark.createDataFrame(out, f"{key} string, token_event_ordinal long, timestamp_epoch_ms long, model string, input_tokens long, cached_input_tokens long, output_tokens long, reasoning_output_tokens long")
+
+    cases = {"equal": ([1, 2], [1, 2]), "extension": ([1], [1, 2]), "shorter": ([1, 2], [1]), "diverged": ([1], [2]), "fresh": ([], [1]), "gone": ([1], []), "none": ([], [])}
+    files = spark.createDataFrame([(k, f"r-{k}") for k in cases], "path string, rollout_id string")
+    new, old = rows("path", *((k, b) for k, (_, b) in cases.items())), rows("rollout_id", *((f"r-{k}", a) for k, (a, _) in cases.items()))
+    got = {r.path: (r.identity_relation, r.semantic_relation, r.ledger_has_events) for r in canonical.relations(files, new, old).collect()}
+    want = {"fresh": "extension", "gone": "shorter", "none": "equal"}
+    assert got == {k: (want.get(k, k), want.get(k, k), bool(a)) for k, (a, _) in cases.items()}
+    other = canonical.relations(files, new.withColumn("model", F.lit("x")), old).where("path = 'equal'").head()
+    assert (other.identity_relation, other.semantic_relation) == ("equal", "diverged")
+
+
 def test_session_titles(spark, tmp_path):
     path = tmp_path / "session_index.jsonl"
     entry = lambda i, name, at: f'{{"id":"{V7.format(i).upper()}","thread_name":"{name}","updated_at":"{at}"}}'
@@ -160,11 +275,23 @@ def test_reader_reads_only_what_was_appended(logs):
     append(path, "new", tail="rest")
     second = reader.latestOffset()
     (part,) = reader.partitions(first, second)
-    assert [r[2] for r in reader.read(part)] == [b"new"] and part.end - part.start == 4
+    facts, *lines = reader.read(part)
+    assert facts[1] == -1 and b'"stable_length": 300304' in facts[2]
+    assert [r[2] for r in lines] == [b"new"] and part.end - part.start == 4
     assert reader.partitions(second, reader.latestOffset()) == []
     for i in range(20):
         write(logs / f"rollout-y-{i:02d}.jsonl", "{}")
-    assert len(reader.partitions(second, reader.latestOffset())) == 16
+    third = reader.latestOffset()
+    assert len(reader.partitions(second, third)) == 16
+    for i in range(16):  # files that change again do not hold up those that wait
+        append(logs / f"rollout-y-{i:02d}.jsonl", "{}")
+    fourth = reader.latestOffset()
+    assert {f"rollout-y-{i}.jsonl" for i in range(16, 20)} <= {os.path.basename(p.path) for p in reader.partitions(third, fourth)}
+    path.unlink()
+    assert "rollout-x-1" not in reader.latestOffset()["files"]
+    write(path, "back")
+    (part,) = (p for p in reader.partitions(fourth, reader.latestOffset()) if p.path == str(path))
+    assert part.reset and part.start == 0
 
 
 def test_many_files_at_once_and_after_a_restart(spark, logs, book, tmp_path):
