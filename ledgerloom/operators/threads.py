@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,20 +18,30 @@ def parent_keys(rollouts: DataFrame) -> DataFrame:
     return own.unionByName(main).distinct()
 
 
+#: Levels of the forest that one written table adds.
+LEVELS = 8
+
+
 def closure(rollouts: DataFrame, roots: DataFrame) -> DataFrame:
     """root, rollout_id: everything below the rollouts of roots (root, rollout_id), themselves included.
 
-    Semi-naive: only pairs found last are extended, pairs known already are dropped, so cycles end.
+    Semi-naive: only pairs found last are extended, pairs known already are dropped, so cycles end. Some levels are
+    planned together and written at once; a pair that is found twice within them is dropped with the next ones.
     """
     children = parent_keys(rollouts).join(rollouts.select(F.col("rollout_id").alias("child"), F.col("parent_thread_id").alias("parent_key")), "parent_key").select("rollout_id", "child").distinct()
     children = cut(children.where("rollout_id <> child"))
-    new = cut(roots.select("root", "rollout_id").distinct())
-    found = new
-    while not new.isEmpty():
-        step = new.join(children, "rollout_id").select("root", F.col("child").alias("rollout_id")).distinct()
-        new = cut(step.join(found, ["root", "rollout_id"], "left_anti"))
-        found = found.unionByName(new)
-    return found
+    new = found = roots.select("root", "rollout_id").distinct()
+    while True:
+        steps = [new]
+        for _ in range(LEVELS):
+            steps.append(steps[-1].join(children, "rollout_id").select("root", F.col("child").alias("rollout_id")).distinct())
+        levels = [x.select("root", "rollout_id", F.lit(i).alias("level")) for i, x in enumerate(steps)]
+        more = reduce(DataFrame.unionByName, levels[1:] if found is not new else levels).groupBy("root", "rollout_id").agg(F.max("level").alias("level"))
+        more = cut(more if found is new else more.join(found, ["root", "rollout_id"], "left_anti"))
+        found = more.drop("level") if found is new else found.unionByName(more.drop("level"))
+        new = more.where(F.col("level") == LEVELS).drop("level")
+        if new.isEmpty():
+            return found
 
 
 def main_roots(rollouts: DataFrame) -> DataFrame:
