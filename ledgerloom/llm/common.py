@@ -66,13 +66,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def keyed_rows(docs: DataFrame, chosen: DataFrame, repeated: bool) -> DataFrame:
-    """The rows of docs whose id and text hash are in chosen (_id_, _hash_, ...), with chosen's other columns.
+def keyed_rows(docs: DataFrame, chosen: DataFrame, repeated: bool, key: tuple[str, ...] = ("text",)) -> DataFrame:
+    """The rows of docs whose id and hash of the key columns are in chosen (_id_, _hash_, ...), with chosen's other columns.
 
     chosen is broadcast if it is small by count. Texts move only if it is not, or if docs has repeated rows, of which
     one stays.
     """
-    rows = docs.withColumn("_own_", F.xxhash64("text"))
+    rows = docs.withColumn("_own_", F.xxhash64(*key))
     few = chosen.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     on = rows["doc_id"].eqNullSafe(chosen["_id_"]) & (rows["_own_"] == chosen["_hash_"])
     rows = rows.join(F.broadcast(chosen) if few else chosen, on)

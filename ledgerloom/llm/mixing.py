@@ -122,13 +122,13 @@ _SCHEMA = "doc_id long, key long, size long, source string, source_size long, ta
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """doc_id, key (hash of the text), source, size, source_size, target, copies, taken of every row of docs.
+    """doc_id, key (hash of the text and the source), source, size, source_size, target, copies, taken of every row of docs.
 
     A null text has size 0; a null source is a source of its own, the last. Repeated rows are units of their own.
     Documents of size 0 may have copies but no taken words. An empty table gives no rows. The draws depend on the
     rows alone: reruns agree.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("source").cast("string").alias("source"), common.words_in(F.col("text")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.col("source").cast("string")).alias("key"), F.col("source").cast("string").alias("source"), common.words_in(F.col("text")).alias("size"))
     rows = common.materialise(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     aims = common.materialise(targets(sources, weights, most), "targets").withColumnRenamed("source", "_source_")
@@ -167,9 +167,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns unchanged."""
+    """The rows of docs, each as often as the mix takes it; columns unchanged. Of rows equal in id, text and source one
+    comes as often as the mix takes them together."""
     copies = mix(docs, weights, most).groupBy("doc_id", "key").agg(F.sum("copies").alias("_copies_"), F.count("*").alias("_rows_"))
     copies = common.materialise(copies.select(F.col("doc_id").alias("_id_"), F.col("key").alias("_hash_"), "_copies_", "_rows_"), "copies")
     repeated = not copies.where("_rows_ > 1").isEmpty()
-    chosen = common.keyed_rows(docs, copies.where("_copies_ > 0").drop("_rows_"), repeated).select(*[docs[c] for c in docs.columns], "_copies_")
+    chosen = common.keyed_rows(docs, copies.where("_copies_ > 0").drop("_rows_"), repeated, ("text", "source")).select(*[docs[c] for c in docs.columns], "_copies_")
     return chosen.withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_copies_")))).select(*docs.columns)

@@ -250,17 +250,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             out["block"].append(get(questions, "block")[theirs])
             out["kind"].append(np.full(int(theirs.sum()), kind, np.int8))
             out["key"].append(get(questions, "key")[theirs])
-            out["value"].append(value[place].astype(np.float32))
-        types = {"block": pa.int32(), "kind": pa.int8(), "key": pa.int64(), "value": pa.float32()}
+            # counts stay whole; code lengths need no more than single precision, whose zero bits travel packed
+            out["value"].append(value[place] if kind == WORDS else value[place].astype(np.float32).astype(np.float64))
+        types = {"block": pa.int32(), "kind": pa.int8(), "key": pa.int64(), "value": pa.float64()}
         return pa.table({c: pa.array(np.concatenate(v) if v else [], types[c]) for c, v in out.items()})
 
-    answers = learnt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "block int, kind byte, key long, value float")
+    answers = learnt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "block int, kind byte, key long, value double")
     divisor = float(np.log10(train_tokens + vocabulary + 1))
 
     def add_up(texts: pa.Table, known: pa.Table) -> pa.Table:
         kind, key, value = (known.column(c).to_numpy() for c in ("kind", "key", "value"))
-        words = Lookup(key[kind == WORDS], value[kind == WORDS].astype(float))
-        trie = Lookup(key[kind == SHORT], value[kind == SHORT].astype(float))
+        words = Lookup(key[kind == WORDS], value[kind == WORDS])
+        trie = Lookup(key[kind == SHORT], value[kind == SHORT])
         out = []
         for batch in texts.to_batches():
             for part in common.slices(batch, most=common.COUNTED_BYTES):

@@ -192,6 +192,13 @@ def test_mix_applied(edge, none, docs):
 # --- prediction by partial matching -------------------------------------------------------------------------------------------
 
 
+def test_rows_equal_but_for_their_source_are_mixed_apart(spark):
+    rows = [(i, f"text number {i}", s) for i in range(50) for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert {r.source: r["count"] for r in mixing.apply_mix(df).groupBy("source").count().collect()} == taken and 30 <= taken["a"] <= 36
+
+
 def _ppm_brute(texts: list[list[bytes]], order: int):
     counts = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
     for t in texts:

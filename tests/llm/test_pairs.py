@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,15 @@ def test_search_in_nothing(edge, none):
     assert wand.search(edge, none.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_agree_with_their_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want, got = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, SF)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 # --- the pipeline -------------------------------------------------------------------------------------------------------------
 
 
