@@ -105,21 +105,29 @@ class Model:
 def _em(p: np.ndarray, counts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the allowed languages for each document and the log-likelihoods. p: likelihoods by word and language."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    n = counts[:, None].astype(np.float32)
-    share = allowed / allowed.sum(1, keepdims=True)
+    n, used = counts.astype(np.float32), np.flatnonzero(allowed.any(0))
+    columns = [np.ascontiguousarray(p[:, k]) for k in used]  # one language after the other: whole vectors at a time
+    share = [np.ascontiguousarray(x) for x in (allowed / allowed.sum(1, keepdims=True)).T[used]]
+
+    def mixed() -> np.ndarray:
+        total = np.zeros(len(p), np.float32)
+        for column, own in zip(columns, share, strict=True):
+            total += column * np.repeat(own, counts)
+        return np.maximum(total, 1e-30)
+
     for _ in range(ROUNDS):
-        joint = p * np.repeat(share, counts, axis=0)
-        joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(joint, starts, axis=0) / n
-    mixed = np.maximum((p * np.repeat(share, counts, axis=0)).sum(1), 1e-30)
-    return share, np.add.reduceat(np.log(mixed, dtype=np.float64), starts)
+        weight = 1 / mixed()
+        share = [own * np.add.reduceat(column * weight, starts) / n for column, own in zip(columns, share, strict=True)]
+    out = np.zeros(allowed.shape, np.float32)
+    out[:, used] = np.stack(share, axis=1)
+    return out, np.add.reduceat(np.log(mixed(), dtype=np.float64), starts)
 
 
 def _slack(p: np.ndarray, counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     """What the log-likelihoods may still gain at most over these shares: words times the log of the largest mean ratio
     of a language's likelihood to the mixture's (the log-likelihood is concave in the shares)."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    mixed = np.maximum((p * np.repeat(share, counts, axis=0)).sum(1, keepdims=True), 1e-30)
+    mixed = np.maximum(np.einsum("ij,ij->i", p, np.repeat(share, counts, axis=0)), 1e-30)[:, None]
     ratio = np.add.reduceat(p / mixed, starts, axis=0, dtype=np.float64) / counts[:, None]
     return counts * np.log(np.maximum(ratio.max(1), 1))
 
