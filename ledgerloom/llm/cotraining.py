@@ -97,12 +97,13 @@ def content_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def page_features(texts: list[str], sources: list[str | None], languages: list[str | None], n_chars: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) pairs of the page view: metadata, and the layout of the lines in coarse steps."""
+    """(text number, feature) pairs of the page view: metadata, and the layout of lines, gaps and table cells in coarse steps."""
     doc, feature = [], []
     for i, (text, source, lang, n) in enumerate(zip(texts, sources, languages, n_chars, strict=True)):
         step = lambda x: int(2 * np.log2(x + 1))
-        lines, blank, size = text.count("\n") + 1, text.count("\n\n"), len(text)
-        own = [f"source={source}", f"lang={lang}", f"chars={int(np.log2((n or 0) + 1))}", f"lines={step(lines)}", f"width={step(size / lines)}", f"blank={int(10 * blank / lines)}", f"gaps={step(text.count('  '))}", f"tabs={step(text.count(chr(9)))}"]
+        rows = text.split("\n")
+        lines, blank, size = len(rows), text.count("\n\n"), len(text)
+        own = [f"source={source}", f"lang={lang}", f"chars={int(np.log2((n or 0) + 1))}", f"lines={step(lines)}", f"width={step(size / lines)}", f"blank={int(10 * blank / lines)}", f"gaps={step(text.count('  '))}", f"tabs={step(text.count(chr(9)))}", f"cells={step(text.count('|') / lines)}", f"again={int(10 * (1 - len(set(rows)) / lines))}"]
         doc += [i] * len(own)
         feature += [_h("m", x) for x in own]
     return np.array(doc, np.int64), np.array(feature, np.int64)
@@ -211,11 +212,11 @@ class Training:
         return min(MOST_GIVEN, max(1, int(n * (1 - mean)))), min(MOST_GIVEN, max(1, int(n * mean)))
 
     def teaches(self, i: int, label: float) -> bool:
-        """Whether view i may hand over judgements of a class: on documents kept back its sure ones err a third as often,
+        """Whether view i may hand over judgements of a class: on documents kept back its sure ones err a fifth as often,
         at most, as naming that class always would."""
         odds, y = self.own[i][~self.keep] @ self.weights[i], self.y[~self.keep]
         sure = odds >= _SURE_ODDS if label else odds <= -_SURE_ODDS
-        return bool(sure.any()) and float((y[sure] != label).mean()) <= float((y != label).mean()) / 3
+        return bool(sure.any()) and float((y[sure] != label).mean()) <= float((y != label).mean()) / 5
 
     def tables(self) -> list[np.ndarray]:
         out = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
