@@ -221,8 +221,9 @@ def _search(rows, queries_, k):
 @pytest.mark.parametrize("which", ["docs", "edge"])
 def test_search_equals_brute_force(which, request, monkeypatch):
     monkeypatch.setattr(wand, "SHARD_BYTES", 100_000)
-    monkeypatch.setattr(wand, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(wand, "ROUND_TERMS", 200)
     monkeypatch.setattr(wand, "DOCS_PER_BLOCK", 4)
+    monkeypatch.setattr(wand, "BLOCKS_PER_WINDOW", 2)
     df = request.getfixturevalue(which)
     asked = df.where(F.col("doc_id") % (20 if which == "docs" else 1) == 0).where("doc_id not in (5, 6, 7)" if which == "edge" else "true")
     want = _search([(r.doc_id, r.text) for r in df.collect()], [(r.doc_id, r.text) for r in asked.collect()], 5)
@@ -234,15 +235,53 @@ def test_search_equals_brute_force(which, request, monkeypatch):
         assert [i for i, _ in got[q]] == [i for i, _ in rows]
 
 
-def test_pruning_skips_blocks():
+def _shard(texts: list[str]) -> wand.Shard:
+    held = wand.Postings()
+    for i, t in enumerate(texts):
+        held.add(i, t)
+    return wand.Shard(held.row(), float(np.mean(held.lengths)))
+
+
+def _scores(shard, terms, idf, k):
+    return shard.search(terms, idf, k, np.zeros(0, np.int64), np.zeros(0))
+
+
+def test_pruning_skips_postings(monkeypatch):
+    monkeypatch.setattr(wand, "DOCS_PER_BLOCK", 4)
     rng = np.random.default_rng(1)
     texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, 30) % 2000) for _ in range(600)]
-    terms = np.unique(np.concatenate([wand.term_ids(t) for t in texts]))
-    shard = wand.Shard(np.arange(600), iter(texts), terms, rng.random(len(terms)) * 5, 30)
-    places = np.searchsorted(terms, np.unique(wand.term_ids(texts[17])))
-    full = shard.search(places, 600)
-    best = shard.search(places, 7)
+    terms = np.unique(wand.term_ids("t1 t2 t777 t42"))
+    idf = rng.random(len(terms)) * 5
+    all_, few = _shard(texts), _shard(texts)
+    full, best = _scores(all_, terms, idf, 600), _scores(few, terms, idf, 7)
     assert (best[0] == full[0][:7]).all() and np.allclose(best[1], full[1][:7])
+    assert all_.scored == sum(len(np.intersect1d(wand.term_ids(t), terms)) for t in texts)
+    assert 0 < few.scored < 0.7 * all_.scored
+
+
+def test_pivot_skips_windows_and_the_threshold_goes_from_shard_to_shard(monkeypatch):
+    monkeypatch.setattr(wand, "DOCS_PER_BLOCK", 4)
+    monkeypatch.setattr(wand, "BLOCKS_PER_WINDOW", 2)
+    texts = ["common " * (1 + i % 5) + f"filler{i}" for i in range(400)] + ["common rare", "common rare rare"]
+    terms, shard = np.unique(wand.term_ids("common rare")), _shard(texts)
+    idf = np.where(terms == wand.term_ids("rare")[0], 9.0, 0.01)
+    ids, scores = _scores(shard, terms, idf, 2)
+    assert sorted(ids.tolist()) == [400, 401]
+    again = _shard(texts[:400])
+    assert again.search(terms, idf, 2, ids, scores)[0].tolist() == ids.tolist() and again.scored == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_k_gives_the_head_of_the_full_list(seed, monkeypatch):
+    monkeypatch.setattr(wand, "DOCS_PER_BLOCK", 3)
+    monkeypatch.setattr(wand, "BLOCKS_PER_WINDOW", 4)
+    rng = np.random.default_rng(seed)
+    shard = _shard([" ".join(f"t{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 60)) % 300) for _ in range(300)])
+    for _ in range(30):
+        terms = rng.choice(shard.terms, min(len(shard.terms), int(rng.integers(1, 25))), replace=False)
+        terms, idf = np.sort(terms), rng.random(len(terms)) * 6
+        full, best = _scores(shard, terms, idf, 300), _scores(shard, terms, idf, k := int(rng.integers(1, 20)))
+        assert best[0].tolist() == full[0][:k].tolist() and best[1].tolist() == full[1][:k].tolist()
 
 
 def test_search_in_nothing(edge, none):
