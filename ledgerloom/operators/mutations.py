@@ -171,3 +171,8 @@ def ledger_tail(events: DataFrame) -> DataFrame:
 def repeated_diagnostics(diagnostics: DataFrame, code: str) -> DataFrame:
     """The largest number of equal reports (path, message) of a code."""
     return diagnostics.where(F.col("code") == code).groupBy("file_path", "message").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"))
+
+
+def source_counts(sources: DataFrame) -> DataFrame:
+    """conflicts, present: sources that are there, and those of them in conflict; one row."""
+    return sources.agg(F.count_if((F.col("canonical_status") == "conflict") & F.col("is_present")).alias("conflicts"), F.count_if("is_present").alias("present"))

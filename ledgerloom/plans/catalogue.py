@@ -212,7 +212,7 @@ def voice_sessions_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT count(*) FILTER (WHERE canonical_status = 'conflict' AND is_present) AS conflicts, count(*) FILTER (WHERE is_present) AS present FROM source_files")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.sources(spark, sf_dir).agg(F.count_if((F.col("canonical_status") == "conflict") & F.col("is_present")).alias("conflicts"), F.count_if("is_present").alias("present"))
+    return mutations.source_counts(views.sources(spark, sf_dir))
 
 
 @query(f"{WITH} SELECT rollout_id, count(*) AS events, max(token_event_ordinal) + 1 AS next_ordinal FROM usage_events GROUP BY rollout_id")
@@ -233,40 +233,57 @@ def signature_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- rules of the parser on tables -------------------------------------------------------------------------------------
 
-_SNAPSHOT = "concat(CAST(input_tokens // 100000 AS VARCHAR), ':', CAST(output_tokens // 1000 AS VARCHAR))"
+_SNAPSHOT = "concat(CAST(input_tokens // 100000 AS VARCHAR), ':0:', CAST(output_tokens // 1000 AS VARCHAR), ':0:0')"
+
+
+def _tuple(**values: Column | int) -> Column:
+    return F.struct(*[F.lit(values.get(k, 0)).cast("long").alias(k) for k in ("input", "cached", "output", "reasoning", "total")])
+
+
+def _counts(spark: SparkSession, sf_dir: str, usage_: Column, total: Column) -> DataFrame:
+    """Each event as a token count of its rollout's log, as the parser sees it before it decides what counts."""
+    rows = views.usage_events(spark, sf_dir).withColumns({"usage": usage_, "total": total, "ts": _iso(F.col("timestamp_epoch_ms")), "line": F.col("token_event_ordinal"), "path": F.col("rollout_id")})
+    return rows.withColumns({"open": F.lit(True), "kind": F.lit("token_count"), "is_realtime_voice": F.lit(False)})
 
 
 @query(f"{WITH}, s AS (SELECT rollout_id, token_event_ordinal, {_SNAPSHOT} AS snapshot FROM usage_events), l AS (SELECT *, lag(snapshot) OVER (PARTITION BY rollout_id ORDER BY token_event_ordinal) AS before FROM s) SELECT rollout_id, token_event_ordinal, snapshot FROM l WHERE before IS DISTINCT FROM snapshot")
 def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshot = F.expr("concat(CAST(input_tokens DIV 100000 AS STRING), ':', CAST(output_tokens DIV 1000 AS STRING))")
-    rows = views.usage_events(spark, sf_dir).select("rollout_id", "token_event_ordinal", snapshot.alias("snapshot"))
-    before = F.lag("snapshot").over(Window.partitionBy("rollout_id").orderBy("token_event_ordinal"))
-    return rows.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("snapshot"))).drop("before")
+    total = _tuple(input=F.expr("input_tokens DIV 100000"), output=F.expr("output_tokens DIV 1000"))
+    kept = attribution.candidates(_counts(spark, sf_dir, _tuple(input=1), total)).where("drop_reason is null")
+    return kept.select("rollout_id", "token_event_ordinal", F.col("cumulative_snapshot").alias("snapshot"))
 
 
 @query(f"{WITH}, v AS (SELECT token_event_ordinal, input_tokens, output_tokens, cached_input_tokens + CASE WHEN token_event_ordinal % 7 = 0 THEN 1000000 ELSE 0 END AS cached, reasoning_output_tokens AS reasoning FROM usage_events) SELECT CASE WHEN input_tokens = 0 AND cached = 0 AND output_tokens = 0 AND reasoning = 0 THEN 'zero_breakdown' WHEN cached > input_tokens OR reasoning > output_tokens THEN 'invalid_relation' ELSE 'kept' END AS outcome, count(*) AS n FROM v GROUP BY 1")
 def token_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = F.col("cached_input_tokens") + F.when(F.col("token_event_ordinal") % 7 == 0, 1_000_000).otherwise(0)
-    v = views.usage_events(spark, sf_dir).select("input_tokens", "output_tokens", cached.alias("cached"), F.col("reasoning_output_tokens").alias("reasoning"))
-    zero = (F.col("input_tokens") == 0) & (F.col("cached") == 0) & (F.col("output_tokens") == 0) & (F.col("reasoning") == 0)
-    bad = (F.col("cached") > F.col("input_tokens")) | (F.col("reasoning") > F.col("output_tokens"))
-    return v.groupBy(F.when(zero, "zero_breakdown").when(bad, "invalid_relation").otherwise("kept").alias("outcome")).agg(F.count("*").alias("n"))
+    usage_ = _tuple(input=F.col("input_tokens"), cached=cached, output=F.col("output_tokens"), reasoning=F.col("reasoning_output_tokens"))
+    counts = attribution.candidates(_counts(spark, sf_dir, usage_, _tuple(total=F.col("token_event_ordinal"))))
+    return counts.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query(
     f"{WITH}, e AS (SELECT rollout_id, token_event_ordinal AS line, CASE WHEN agent_role = 'explorer' THEN concat('t', CAST(token_event_ordinal AS VARCHAR)) END AS turn_set, CASE WHEN agent_role = 'scout' THEN model END AS setting FROM usage_events) "
-    "SELECT rollout_id, line, last_value(turn_set IGNORE NULLS) OVER w AS turn_id, coalesce(last_value(setting IGNORE NULLS) OVER w, 'unknown') AS model FROM e WINDOW w AS (PARTITION BY rollout_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    "SELECT rollout_id, line, coalesce(last_value(turn_set IGNORE NULLS) OVER w, '') AS turn_id, coalesce(last_value(setting IGNORE NULLS) OVER w, 'unknown') AS model FROM e WINDOW w AS (PARTITION BY rollout_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 )
 def turn_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.usage_events(spark, sf_dir).select("rollout_id", F.col("token_event_ordinal").alias("line"), F.when(F.col("agent_role") == "explorer", F.concat(F.lit("t"), F.col("token_event_ordinal").cast("string"))).alias("turn_set"), F.when(F.col("agent_role") == "scout", F.col("model")).alias("setting"))
-    w = Window.partitionBy("rollout_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("rollout_id", "line", F.last("turn_set", True).over(w).alias("turn_id"), F.coalesce(F.last("setting", True).over(w), F.lit("unknown")).alias("model"))
+    """Events of explorers state a turn, those of scouts a setting."""
+    turn, setting = F.col("agent_role") == "explorer", F.col("agent_role") == "scout"
+    lines = views.usage_events(spark, sf_dir).select(
+        "rollout_id", F.col("rollout_id").alias("path"), F.col("token_event_ordinal").alias("line"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("confirmed_turn"),
+        F.when(turn, "turn_context").when(setting, "thread_settings_applied").otherwise("token_count").alias("kind"),
+        F.when(turn, F.concat(F.lit("t"), F.col("token_event_ordinal").cast("string"))).alias("turn_id"), F.when(setting, F.col("model")).alias("settings_model"),
+    )
+    return attribution.with_turns(lines).select("rollout_id", "line", F.col("current_turn").alias("turn_id"), F.col("current_model").alias("model"))
 
 
-@query(f"{WITH} SELECT conversation_id, arg_max(model, {{'a': timestamp_epoch_ms // 86400000, 'b': token_event_ordinal}}) AS title, max(timestamp_epoch_ms) AS last_activity FROM usage_events GROUP BY conversation_id")
+@query(f"{WITH}, u AS (SELECT CAST(substr(rollout_id, 2) AS BIGINT) AS u, * FROM usage_events) SELECT concat(lpad(CAST(u AS VARCHAR), 8, '0'), '-0000-7000-8000-000000000000') AS conversation_id, arg_max(model, {{'a': timestamp_epoch_ms, 'b': token_event_ordinal}}) AS title FROM u WHERE u % 3 <> 0 GROUP BY u")
 def title_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct(F.expr("timestamp_epoch_ms DIV 86400000"), F.col("token_event_ordinal"))
-    return views.usage_events(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("model", at).alias("title"), F.max("timestamp_epoch_ms").alias("last_activity"))
+    """An index of titles in which each event names its rollout after its model; every third rollout has an id that the
+    index may not have."""
+    u = F.substring("rollout_id", 2, 20).cast("long")
+    id_ = F.concat(F.lpad(u.cast("string"), 8, "0"), F.when(u % 3 == 0, "-0000-4000").otherwise("-0000-7000"), F.lit("-8000-000000000000"))
+    rows = views.usage_events(spark, sf_dir).select(F.col("token_event_ordinal").alias("line"), id_.alias("id"), F.col("model").alias("title"), _iso(F.col("timestamp_epoch_ms")).alias("ts"))
+    return records.latest_titles(rows)[0]
 
 
 # a candidate copy lacks the last events of some rollouts and has other models or counts in some
@@ -285,9 +302,10 @@ def sequence_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max("token_event_ordinal").over(Window.partitionBy("rollout_id"))
     events = events.withColumn("_last", last == F.col("token_event_ordinal")).withColumn("_user", user)
     value = F.when((F.col("_user") % 7 == 3) & (F.col("token_event_ordinal") % 50 == 0), F.col("input_tokens") + 1).otherwise(F.col("input_tokens"))
-    old = canonical.sequences(events.where(~((F.col("_user") % 5 == 2) & F.col("_last"))), "rollout_id", F.col("input_tokens"))
-    new = canonical.sequences(events.where(~((F.col("_user") % 5 == 1) & F.col("_last"))), "rollout_id", value).withColumnRenamed("sequence", "candidate")
-    return old.join(new, "rollout_id").select("rollout_id", canonical.sequence_relation(F.col("sequence"), F.col("candidate")).alias("relation"))
+    old = events.where(~((F.col("_user") % 5 == 2) & F.col("_last")))
+    new = events.where(~((F.col("_user") % 5 == 1) & F.col("_last"))).withColumn("input_tokens", value).withColumn("path", F.col("rollout_id"))
+    files = new.select("path", "rollout_id").distinct().join(old.select("rollout_id"), "rollout_id", "left_semi")
+    return canonical.relations(files, new.drop("rollout_id"), old).select(F.col("path").alias("rollout_id"), F.col("identity_relation").alias("relation"))
 
 
 _CANDIDATES = "SELECT concat('s', CAST(u % 40 AS VARCHAR)) AS rollout_id, CASE u % 3 WHEN 0 THEN 'extension' ELSE 'equal' END AS relation, u % 11 AS stable_length, la AS modified_at_epoch_ms, concat('/f', CAST(u AS VARCHAR)) AS file_path FROM (SELECT user_id AS u, max(epoch_us(ts) // 1000) AS la FROM events GROUP BY user_id) q"
@@ -299,6 +317,16 @@ def canonical_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.recovery_choice(u).select("rollout_id", "file_path", "relation")
 
 
+_REVISIONS = "SELECT concat('s', CAST(u % 40 AS VARCHAR)) AS rollout_id, CASE WHEN u % 97 = 5 THEN 'canonical' ELSE 'candidate' END AS canonical_status, u % 7 AS byte_offset, u % 11 AS size_bytes, la AS modified_at_epoch_ms, concat('/f', CAST(u AS VARCHAR)) AS file_path FROM (SELECT user_id AS u, max(epoch_us(ts) // 1000) AS la FROM events GROUP BY user_id) q"
+
+
+@query(f"WITH c AS ({_REVISIONS}), n AS (SELECT *, row_number() OVER (PARTITION BY rollout_id ORDER BY canonical_status = 'canonical' DESC, byte_offset DESC, size_bytes DESC, modified_at_epoch_ms DESC, file_path) AS n FROM c) SELECT rollout_id, file_path FROM n WHERE n = 1")
+def revision_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that a rebuild takes, of all users' files dealt to forty rollouts."""
+    u = views._users(spark, sf_dir).selectExpr("concat('s', CAST(u % 40 AS STRING)) AS rollout_id", "CASE WHEN u % 97 = 5 THEN 'canonical' ELSE 'candidate' END AS canonical_status", "u % 7 AS byte_offset", "u % 11 AS size_bytes", "la AS modified_at_epoch_ms", "concat('/f', CAST(u AS STRING)) AS file_path")
+    return canonical.revision_choice(u).select("rollout_id", "file_path")
+
+
 # --- ledger mutations ---------------------------------------------------------------------------------------------------
 
 _STORED = ("rollout_id", "token_event_ordinal", "timestamp_epoch_ms", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "event_signature")
@@ -428,16 +456,17 @@ def observation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logs(spark: SparkSession, sf_dir: str, first: Column, lines: list[Column]) -> DataFrame:
-    """path, content: a session log of each rollout, made of its events in the order of their time. `first` is the
+    """path, line, raw: a session log of each rollout, made of its events in the order of their time. `first` is the
     session_meta record, `lines` the records of an event; both are structs over the columns of the event view, `lo`
-    and `hi` (the rollout's first and last time)."""
+    and `hi` (the rollout's first and last time). No log is gathered in one value."""
     span = Window.partitionBy("rollout_id")
-    events = views.usage_events(spark, sf_dir).withColumn("lo", F.min("timestamp_epoch_ms").over(span)).withColumn("hi", F.max("timestamp_epoch_ms").over(span))
-    shown = F.concat_ws("\n", *[F.to_json(x) for x in lines])
-    rows = events.select("rollout_id", F.to_json(first).alias("first"), F.struct("timestamp_epoch_ms", "token_event_ordinal", shown.alias("text")).alias("line"))
-    files = rows.groupBy("rollout_id").agg(F.min("first").alias("first"), F.array_sort(F.collect_list("line")).alias("lines"))  # one session's log
-    content = F.concat(F.col("first"), F.lit("\n"), F.array_join(F.col("lines.text"), "\n"), F.lit("\n"))
-    return files.select(F.concat(F.lit("/logs/rollout-2026-x-"), F.col("rollout_id"), F.lit(".jsonl")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    place = F.row_number().over(span.orderBy("timestamp_epoch_ms", "token_event_ordinal")) - 1
+    events = views.usage_events(spark, sf_dir).withColumns({"lo": F.min("timestamp_epoch_ms").over(span), "hi": F.max("timestamp_epoch_ms").over(span), "place": place})
+    # the first event's row also brings the first line of its log
+    shown = F.when(F.col("place") == 0, F.array(F.to_json(first))).otherwise(F.array().cast("array<string>"))
+    rows = events.select("rollout_id", "place", F.posexplode(F.concat(shown, F.array(*[F.to_json(x) for x in lines]))).alias("at", "raw"))
+    line = F.col("place") * len(lines) + F.col("at") + F.when(F.col("place") == 0, 0).otherwise(1)
+    return rows.select(F.concat(F.lit("/logs/rollout-2026-x-"), F.col("rollout_id"), F.lit(".jsonl")).alias("path"), line.alias("line"), "raw")
 
 
 def _record(kind: str, at: Column, **payload) -> Column:
@@ -474,14 +503,36 @@ def _parsed_sql(where: str) -> str:
 def parse_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs made of the events, split, read and attributed again: every event with tokens comes back."""
     first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"), session_id=F.lit("s"), cwd=F.lit("/w/p"))
-    return attribution.parse(records.records(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+    return attribution.parse(records.typed(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
 
 
 @query(_parsed_sql("timestamp_epoch_ms // 1000 > ((lo + hi) // 2) // 1000"))
 def fork_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of forks at the middle of their time: only what started later counts."""
     first = _record("session_meta", _iso(F.expr("(lo + hi) DIV 2")), id=F.col("rollout_id"), forked_from_id=F.lit("parent"))
-    return attribution.parse(records.records(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+    return attribution.parse(records.typed(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+
+
+_KINDS = ("", "\0\0", "{", "[1]", '{"type": "note"}')
+
+
+@query("SELECT concat('/logs/', CAST(event_id AS VARCHAR)) AS path, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS blank, CASE WHEN event_id % 5 = 1 THEN 1 ELSE 0 END AS null_padding, CASE WHEN event_id % 5 = 2 THEN 1 ELSE 0 END AS malformed, CASE WHEN event_id % 5 = 3 THEN 1 ELSE 0 END AS non_object, CASE WHEN event_id % 5 = 4 THEN 2 ELSE 1 END AS object FROM events")
+def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of two lines for each event: one of five kinds, then an object."""
+    counts = records.class_counts(records.typed(_two_lines(spark, sf_dir)))
+    return counts.select("path", *[F.col(c).cast("int").alias(c) for c in ("blank", "null_padding", "malformed", "non_object", "object")])
+
+
+@query("SELECT concat('/logs/', CAST(event_id AS VARCHAR)) AS path FROM events WHERE event_id % 5 IN (2, 3)")
+def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same logs, those with a record that is neither parsed nor harmless."""
+    return records.damaged_files(records.typed(_two_lines(spark, sf_dir)))
+
+
+def _two_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in _KINDS])
+    lines = F.array(F.get(kinds, (F.col("event_id") % 5).cast("int")), F.lit(_KINDS[4]))
+    return views.raw_events(spark, sf_dir).select(F.concat(F.lit("/logs/"), F.col("event_id").cast("string")).alias("path"), F.posexplode(lines).alias("line", "raw"))
 
 
 @query(f"{WITH} SELECT rollout_id, concat(project_name, ' - ', substr(conversation_id, 1, 12), ' - untitled') AS label FROM rollouts")

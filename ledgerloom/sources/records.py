@@ -173,6 +173,18 @@ def records(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema.RECORDS)
 
 
+def typed(lines: DataFrame) -> DataFrame:
+    """Typed records of lines (path, line, raw) that are split and numbered already: a log may spread over tasks."""
+    arrow = _arrow_schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("path", "line", "raw"))
+            yield pa.RecordBatch.from_pylist([flat(path, line, raw) for path, line, raw in zip(*columns, strict=True)], schema=arrow)
+
+    return lines.select("path", F.col("line").cast("long").alias("line"), F.col("raw").cast("binary").alias("raw")).mapInArrow(run, schema.RECORDS)
+
+
 def _arrow_schema() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -234,7 +246,12 @@ def session_titles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                         rows.append({"line": line, "id": _text(root, "id"), "title": (_text(root, "thread_name") or "").strip() or None, "ts": _text(root, "updated_at")})
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("line", pa.int64()), ("id", pa.string()), ("title", pa.string()), ("ts", pa.string())]))
 
-    rows = files.mapInArrow(run, "line long, id string, title string, ts string").withColumn("at", timestamp_epoch_ms(F.col("ts")))
+    return latest_titles(files.mapInArrow(run, "line long, id string, title string, ts string"))
+
+
+def latest_titles(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What session_titles gives, of records (line, id, title, ts)."""
+    rows = rows.withColumn("at", timestamp_epoch_ms(F.col("ts")))
     valid = is_uuid_v7(F.col("id")) & F.col("title").isNotNull() & F.col("at").isNotNull()
     titles = rows.where(valid).groupBy(F.lower("id").alias("conversation_id")).agg(F.max_by("title", F.struct("at", "line")).alias("title"))
     return titles, rows.agg(F.count_if(~valid).alias("invalid"))
