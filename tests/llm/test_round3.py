@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerloom.llm import exponion, prefix_trie
+from ledgerloom.llm import exponion, fm_dedup, prefix_trie
 
 from .conftest import EXTRA, SF
 
@@ -141,3 +141,92 @@ def test_trie_of_nothing(spark):
     assert prefix_trie.trie(table).collect() == []
     lone = spark.createDataFrame([(3, 0, "u", "x")], table.schema)  # loses its only turn to an absent conversation
     assert rows_of(prefix_trie.trie(lone)) == brute_trie([(3, 0, "u", "x")])
+
+
+# --- op13 -----------------------------------------------------------------------------------------------------------------
+
+
+def brute_dedup(rows):
+    """The contract word by word. rows: (doc_id, text), equal ids have equal texts."""
+    words = [(t or "").encode().split() for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    first, gone = {}, [set() for _ in rows]
+    for i in order:
+        for s in range(len(words[i]) - 19):
+            at = first.setdefault(tuple(words[i][s : s + 20]), (rows[i][0], s))
+            if at != (rows[i][0], s):
+                gone[i].update(range(s, s + 20))
+    out = [(d, len(w), len(g), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in g)).hexdigest()) for (d, _), w, g in zip(rows, words, gone, strict=True)]
+    return sorted(out, key=lambda r: tuple((x is not None, x) for x in r))
+
+
+def passages(seed, n=60):
+    """Documents with shared passages at any offset, near copies, copies, periodic texts and lines in other surroundings."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefgh") * rng.randrange(1, 3) + rng.choice(["", "é", "x1"])
+    line, long_ = [word() for _ in range(12)], [word() for _ in range(70)]
+    texts = []
+    for i in range(n):
+        t = [word() for _ in range(rng.randrange(0, 80))]
+        if i % 3 == 0:
+            a = rng.randrange(40)
+            t += long_[a : a + rng.randrange(15, 40)] + [word() for _ in range(10)]
+        if i % 4 == 0:
+            t = t[:30] + line + t[30:]
+        if i % 7 == 0 and texts:
+            t = list(texts[-1])
+            for _ in range(2):
+                if t:
+                    t[rng.randrange(len(t))] = word()
+        if i % 11 == 0:
+            t = (["p", "q", "r"] * 30)[: 40 + i]
+        if i % 13 == 0 and texts:
+            t = list(texts[0])
+        texts.append(t)
+    return [rng.choice([" ", "\n", "\t "]).join(t) for t in texts]
+
+
+def test_words_and_runs():
+    import pyarrow as pa
+
+    texts = ["", None, " a b\x0bc\x0c", "a", "b", "x\x1cy z w " * 30]
+    words, counts = fm_dedup.words_of(pa.array(["skip", *texts]).slice(1))
+    assert counts.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert words[0] == words[3] and words[1] == words[4] and len(set(words[:3].tolist())) == 3
+    runs = fm_dedup.Runs(words, counts)
+    assert runs.n.sum() == counts[5] - 19 and runs.n.max() <= fm_dedup.ANCHORS and set(runs.doc.tolist()) == {5}
+
+
+def test_rank_and_backward_search():
+    rng = np.random.default_rng(1)
+    text = np.r_[rng.integers(1, 6, 400), 0, rng.integers(1, 6, 300), 0]
+    tree = fm_dedup.WaveletMatrix(text, 6)
+    c, i = rng.integers(0, 6, 500), rng.integers(0, len(text) + 1, 500)
+    assert tree.rank(c, i).tolist() == [int((text[:b] == a).sum()) for a, b in zip(c, i, strict=True)]
+    index = fm_dedup.FMIndex(text, 6)
+    starts = np.arange(0, 380)
+    for length in (1, 3, 7):
+        where = {}
+        for s in range(len(text) - length + 1):
+            where.setdefault(text[s : s + length].tobytes(), []).append(s)
+        statistic, low, high = index.matches(text, starts, length)
+        for s, x, a, b in zip(starts, statistic, low, high, strict=True):
+            there = where[text[s : s + length].tobytes()]
+            assert (x == length) == (len(there) > 1)
+            if x == length:
+                assert sorted(index.places[a:b].tolist()) == there and index.earliest(np.array([a]), np.array([b]))[0] == there[0]
+
+
+@pytest.mark.parametrize("hot", [fm_dedup.HOT, 1])
+def test_repeated_passages(spark, hot):
+    rows = list(enumerate(passages(hot))) + [(None, passages(1)[3] + " tail"), (500, None), (501, ""), (502, "a " * 19), (503, "a " * 30)]
+    rows += [rows[9], rows[9]]  # repeated rows are one document
+    names = (*EXTRA, "tkey", "place", "places", "h", "g", "words")
+    table = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names)).repartition(5)
+    assert rows_of(fm_dedup.dedup(table, hot)) == brute_dedup(rows)
+
+
+def test_repeated_passages_of_the_table(spark, docs, edge, none):
+    assert rows_of(fm_dedup.dedup(docs)) == brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows_of(fm_dedup.dedup(edge)) == brute_dedup([(r.doc_id, r.text) for r in edge.collect()])
+    assert fm_dedup.dedup(none).collect() == []
