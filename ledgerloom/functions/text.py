@@ -40,6 +40,13 @@ def fallback_rollout_id(path: Column) -> Column:
     return F.when(is_uuid_v7(tail), F.lower(tail)).when(legacy != "", legacy).otherwise(name)
 
 
+def legacy_rollout_id(path: Column) -> Column:
+    """What follows the second dash of a log file's name, as ids were taken from names before."""
+    name = F.regexp_replace(F.element_at(F.split(path, r"[\\/]"), -1), r"(?i)\.jsonl$", "")
+    legacy = F.regexp_extract(name, r"^[^-]*-[^-]*-(.+)$", 1)
+    return F.when(legacy != "", legacy).otherwise(name)
+
+
 def normalized_id(text: Column) -> Column:
     """A typed conversation id: trimmed, in lower case if it is a version-7 UUID, else null."""
     return F.when(is_uuid_v7(F.trim(text)), F.lower(F.trim(text)))

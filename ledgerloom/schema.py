@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,11 @@ TABLES = {
     "collector_runs": RUNS, "collector_diagnostics": DIAGNOSTICS, "collector_state": STATE,
 }
 
+#: What each version added, with the default of rows that were written before.
+ADDED = (
+    (2, "rollouts", "is_realtime_voice", False), (5, "rollouts", "thread_title", ""), (5, "rollouts", "last_activity_epoch_ms", 0), (6, "rollouts", "project_name", "Codex"),
+)
+
 #: Record classes of a log line. The first two are harmless, `object` is parsed, the others condemn their file.
 HARMLESS, OBJECT = ("blank", "null_padding", "oversized_opaque"), "object"
 
@@ -57,6 +62,23 @@ RECORDS = (
 )
 
 
+def version_of(folder: str) -> int:
+    """The version that a folder of the ledger was written with; folders of the first ledgers do not say."""
+    tag = next((p for p in folder.split("/")[1].split("-") if p[:1] == "v" and p[1:].isdigit()), f"v{VERSION}") if "/" in folder else f"v{VERSION}"
+    return int(tag[1:])
+
+
+def upgraded(spark: SparkSession, table: str, version: int, folders: list[str]) -> DataFrame:
+    """The table in these folders as the present version has it: a projection a version, each adding its columns with their
+    defaults. A column that no version explains is null."""
+    wanted = struct(TABLES[table])
+    later = [(v, column, default) for v, t, column, default in ADDED if t == table and v > version]
+    df = spark.read.schema(T.StructType([f for f in wanted if f.name not in {c for _, c, _ in later}])).parquet(*folders)
+    for _, column, default in sorted(later):
+        df = df.withColumn(column, F.lit(default).cast(wanted[column].dataType))
+    return df.select(*wanted.fieldNames())
+
+
 def invalid_event() -> Column:
     """Whether an event breaks a rule of the ledger."""
     counts = [F.col(c) for c in ("token_event_ordinal", "timestamp_epoch_ms", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")]

@@ -28,8 +28,10 @@ CRITICAL_TYPES = ("session_meta", "turn_context", "inter_agent_communication_met
 
 def inventory(spark: SparkSession, *roots: str) -> DataFrame:
     """file_path, size_bytes, modified_at of all log files below the roots; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.[jJ][sS][oO][nN][lL]").load(list(roots))
-    return files.select(F.col("path").alias("file_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    from .logs import listing
+
+    files, _ = listing(spark, *roots)
+    return files.select("file_path", "size_bytes", F.timestamp_millis("modified_at_epoch_ms").alias("modified_at"))
 
 
 def contents(spark: SparkSession, *roots: str) -> DataFrame:

@@ -7,95 +7,196 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerloom import schema
-from ledgerloom.operators import attribution, canonical, mutations
-from ledgerloom.sources import records
-from ledgerloom.sources.ledger import Ledger
+from ledgerloom.functions.text import fallback_rollout_id, is_uuid_v7, legacy_rollout_id
+from ledgerloom.operators import attribution, canonical, copies, mutations
+from ledgerloom.operators.threads import unknown_model_sources
+from ledgerloom.sources import logs, records
+from ledgerloom.sources.ledger import BUCKETED, Ledger
+from ledgerloom.sources.paths import assert_writable
 from ledgerloom.sources.staging import cut
 
 from .growing_files import FACTS, GrowingFiles
 
 #: A stored revision of the parsing rules; a ledger with another one is rebuilt from all files.
 PARSER_REVISION = 1
-#: Tables that files change, all by rollout.
-BY_ROLLOUT = ("rollouts", "usage_events", "source_files", "rollout_checkpoints")
 #: Folders of the stream's store of records, by a hash of the path: a batch reads those of its files.
 STORE_BUCKETS = 64
+#: Times that files are read again before a session that keeps changing waits for the next inventory.
+REREADINGS = 4
+#: A report of the same file and message is not repeated within this time.
+REPORT_AGAIN_MS = 5 * 60_000
+
+
+# --- what is read -----------------------------------------------------------------------------------------------------
+
+
+def changed_files(inventory: DataFrame, sources: DataFrame, rollouts: DataFrame | None = None, unknown: DataFrame | None = None) -> DataFrame:
+    """Files that are new, differ in size or time, are in conflict, belong to a session whose canonical file is gone (with
+    rollouts) or are canonical files with unknown models (unknown: file_path). Contents are not read."""
+    known = sources.select("file_path", F.col("rollout_id").alias("_id"), F.col("size_bytes").alias("_size"), F.col("modified_at_epoch_ms").alias("_ms"), F.col("canonical_status").alias("_status"), F.col("is_present").alias("_present"))
+    files = inventory.join(known, "file_path", "left")
+    now = F.unix_millis("modified_at") if "modified_at" in inventory.columns else F.col("modified_at_epoch_ms")
+    same = (F.col("size_bytes") == F.col("_size")) & (now == F.col("_ms")) & (F.col("_status") != "conflict") & F.col("_present")
+    again = ~F.coalesce(same, F.lit(False))
+    if rollouts is not None:
+        there = inventory.select(F.col("file_path").alias("canonical_source_path"))
+        orphans = rollouts.where("canonical_source_path is not null").join(there, "canonical_source_path", "left_anti").select(F.col("rollout_id").alias("_id"), F.lit(True).alias("_orphan"))
+        files = files.join(orphans, "_id", "left")
+        again = again | F.coalesce("_orphan", F.lit(False))
+    if unknown is not None:
+        files = files.join(unknown.select("file_path", F.lit(True).alias("_unknown")).distinct(), "file_path", "left")
+        again = again | F.coalesce("_unknown", F.lit(False))
+    return files.where(again).select(*inventory.columns)
+
+
+@dataclass
+class Parsed:
+    """Files that were read: facts (path, size_bytes, modified_at_epoch_ms, stable_length, boundary_hash, content_hash,
+    error, damaged, partial) with the attributes of those that count, their events, and what was dropped."""
+
+    files: DataFrame
+    events: DataFrame
+    drops: DataFrame
+
+
+def parsed(rows: DataFrame, facts: DataFrame) -> Parsed:
+    """Attributes and events of the records of files; a file with one damaged record gives none."""
+    harmless = F.col("class").isin("oversized_opaque", "null_padding")
+    classes = rows.groupBy("path").agg(F.max(~F.col("class").isin(schema.OBJECT, *schema.HARMLESS)).alias("damaged"), F.count_if(harmless).alias("skipped"), F.count_if(F.col("class") == "oversized_opaque").alias("large"))
+    classes = cut(classes, "classes")
+    found = attribution.parse(rows.join(classes.where("damaged"), "path", "left_anti"))
+    # a file without a complete record still is a session, by its name
+    blank = facts.join(rows.select("path").distinct(), "path", "left_anti").where("error is null").select("path", F.lit(False).alias("damaged"), F.lit(0).alias("skipped"), F.lit(0).alias("large"))
+    partial = F.when(F.col("skipped") > 0, F.concat(F.lit("skipped "), F.col("large"), F.lit(" oversized and "), F.col("skipped") - F.col("large"), F.lit(" padding records")))
+    files = facts.join(classes.unionByName(blank), "path", "left").withColumn("damaged", F.coalesce("damaged", F.lit(False))).withColumn("partial", partial).drop("skipped", "large")
+    return Parsed(cut(files.join(found["metadata"], "path", "left"), "files"), cut(found["events"], "events"), cut(found["drops"], "drops"))
+
+
+def read_files(files: DataFrame) -> Parsed:
+    """The files (logs.FILES) in one reading."""
+    scanned = logs.scan(files)
+    return parsed(logs.records_of(scanned), logs.facts(scanned, files))
+
+
+def listed_now(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """logs.FILES of the given paths as they are now; those that are gone are left out."""
+    arrow = pa.schema([("file_path", pa.string()), ("size_bytes", pa.int64()), ("modified_at_epoch_ms", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                with contextlib.suppress(OSError):
+                    size, ns = logs.facts_of_file(path)
+                    rows.append({"file_path": path, "size_bytes": size, "modified_at_epoch_ms": ns // 1_000_000})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return cut(paths.select("path").distinct().mapInArrow(run, logs.FILES), "listed")
 
-def changed_files(inventory: DataFrame, sources: DataFrame) -> DataFrame:
-    """Files that are new, differ in size or time, or are in conflict. Contents are not read."""
-    known = sources.select("file_path", "size_bytes", F.col("modified_at_epoch_ms").alias("_ms"), "canonical_status", "is_present")
-    files = inventory.withColumn("_now", F.unix_millis("modified_at"))
-    same = (files["size_bytes"] == known["size_bytes"]) & (F.col("_now") == F.col("_ms")) & (F.col("canonical_status") != "conflict") & F.col("is_present")
-    return files.join(known, (files["file_path"] == known["file_path"]) & same, "left_anti").drop("_now")
+
+# --- inventories ------------------------------------------------------------------------------------------------------
 
 
 def ingest(ledger: Ledger, *roots: str, rebuild: bool = False, titles: str | None = None, now_ms: int | None = None) -> int:
-    """One inventory: reads changed files, rejects damaged ones whole, decides on copies and publishes a snapshot, with
-    a row for the run. Returns the revision.
+    """One inventory: reads changed files in one pass, rejects damaged ones whole, decides on copies and publishes a
+    snapshot. Returns the revision.
 
-    A rebuild reads all files and takes each session from one of them (canonical.revision_choice). The stored parser
-    revision advances only when no file was damaged. titles: path of an index of session titles; one without invalid
-    records also clears the titles it lacks. A run that fails is recorded as failed and changes nothing else.
+    The run's row is published when it begins, so a driver that dies leaves a run without an end. A rebuild reads all files
+    and takes each session from one of them; the stored parser revision advances only when every session could be
+    rebuilt. titles: path of an index of session titles; one without invalid records also clears the titles it lacks.
+    A run that fails is recorded as failed and changes nothing else.
     """
     spark, now = ledger.spark, int(time.time() * 1000) if now_ms is None else now_ms
-    tables = ledger.tables()
-    stored = tables["collector_state"].where("key = 'parser_revision'").select("value").head()
+    stored = ledger.read("collector_state").where("key = 'parser_revision'").select("value").head()
     rebuild = rebuild or (stored is not None and stored[0] != str(PARSER_REVISION))
     run = uuid.uuid4().hex
     begun = spark.createDataFrame([(run, "rebuild" if rebuild else "inventory", "running", now, now, None, None, None, None)], schema.RUNS)
-    runs = tables["collector_runs"].unionByName(begun)
+    ledger.commit(collector_runs=ledger.read("collector_runs").unionByName(begun))
     ended = lambda: int(time.time() * 1000) if now_ms is None else now
     try:
-        changed, seen, taken = _inventory(ledger, tables, roots, rebuild, stored is None, titles, now)
-        runs = mutations.finish_run(mutations.heartbeat(runs, run, ended()), run, ended(), "completed")
+        changed = _inventory(ledger, roots, rebuild, stored is None, titles, now, run)
+        runs = mutations.finish_run(mutations.heartbeat(ledger.read("collector_runs"), run, ended()), run, ended(), "completed")
         mine = F.col("run_id") == run
-        runs = runs.withColumn("files_seen", F.when(mine, F.lit(seen)).otherwise(F.col("files_seen"))).withColumn("files_changed", F.when(mine, F.lit(taken)).otherwise(F.col("files_changed")))
+        for column in ("files_seen", "files_changed"):
+            runs = runs.withColumn(column, F.when(mine, F.lit(changed.pop(column))).otherwise(F.col(column)))
         return ledger.commit(**changed, collector_runs=runs)
     except Exception as error:
         with contextlib.suppress(Exception):
-            failed = tables["collector_runs"].unionByName(begun)
-            ledger.commit(collector_runs=mutations.finish_run(failed, run, ended(), "failed", str(error)[:500]))
+            ledger.commit(collector_runs=mutations.finish_run(ledger.read("collector_runs"), run, ended(), "failed", str(error)[:500]))
         raise
 
 
-def _inventory(ledger: Ledger, tables: dict[str, DataFrame], roots: tuple[str, ...], rebuild: bool, first: bool, titles: str | None, now: int) -> tuple[dict[str, DataFrame], int, int]:
-    """The changed tables, files found and files read."""
-    spark = ledger.spark
-    found = records.inventory(spark, *roots)
-    todo = cut(found if rebuild else changed_files(found, tables["source_files"]), "changed-files")
-    paths = todo.select(F.col("file_path").alias("path"))
-    gone = mutations.missing_sources(tables["source_files"], found)
-    files = records.contents(spark, *roots).join(paths, "path", "left_semi")
-    rows, shots = cut(records.records(files), "records"), cut(records.snapshots(files), "snapshots")
-    damaged = cut(records.damaged_files(rows), "damaged")
-    parsed = attribution.parse(rows.join(damaged, "path", "left_anti"))
-    meta = cut(parsed["metadata"].join(shots, "path"), "metadata")
-    events = cut(parsed["events"], "events")
-    tables = apply_files(tables, meta, events, rebuild, now, lambda again: records.snapshots(records.contents(spark, *roots).join(again, "path", "left_semi")))
-    bad = damaged.join(shots, "path").select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms")
-    known = tables["source_files"].join(bad.select("file_path"), "file_path", "left_semi").withColumn("last_error", F.lit("damaged record"))
-    fresh = bad.join(tables["source_files"].select("file_path"), "file_path", "left_anti")
-    blank = {f.name: F.lit(None).cast(f.dataType) for f in schema.struct(schema.SOURCES)} | {"byte_offset": F.lit(0).cast("long"), "prefix_status": F.lit("unknown"), "canonical_status": F.lit("candidate"), "is_present": F.lit(True), "last_error": F.lit("damaged record")}
-    fresh = fresh.select(*[F.col(c).alias(c) if c in fresh.columns else v.alias(c) for c, v in blank.items()])
-    sources, checkpoints = mutations.upsert_sources(tables["source_files"], known.unionByName(fresh), tables["rollout_checkpoints"])
-    sources, checkpoints = mutations.mark_missing(sources, checkpoints, gone, now)
-    changed = {n: tables[n] for n in ("rollouts", "usage_events", "collector_diagnostics")} | {"source_files": sources, "rollout_checkpoints": checkpoints}
+def _inventory(ledger: Ledger, roots: tuple[str, ...], rebuild: bool, first: bool, titles: str | None, now: int, run: str) -> dict:
+    """What to commit: changed tables, files found and files read."""
+    spark, sources, rollouts = ledger.spark, ledger.read("source_files"), ledger.read("rollouts")
+    found, failures = logs.listing(spark, *roots)
+    unknown = None
+    if not getattr(ledger, "unknown_models_tried", False):  # once for each opened ledger
+        unknown, ledger.unknown_models_tried = unknown_model_sources(ledger.read("usage_events"), rollouts), True
+    todo = cut(found if rebuild else changed_files(found, sources, rollouts, unknown), "changed-files")
+    gone = cut(mutations.missing_sources(sources, found), "gone")
+    seen, taken = found.count(), todo.count()
+    lost = failures.select(F.col("path").alias("file_path"), F.lit("folder-unreadable").alias("reason"), "message")
+    changed: dict = {"files_seen": seen, "files_changed": taken}
+    complete, usage = failures.isEmpty(), False
+    if taken or not gone.isEmpty():
+        outcome = apply(ledger, read_files(todo) if taken else None, gone, rebuild, now)
+        changed |= outcome.tables | {"touched": outcome.touched}
+        lost = lost.unionByName(outcome.reports)
+        complete, usage = complete and outcome.complete, outcome.usage_changed
+    changed["appended"] = {"collector_diagnostics": reports(lost, ledger.read("collector_diagnostics"), now, run)}
     if titles is not None:
         index, invalid = records.session_titles(spark, titles)
-        changed["rollouts"], _ = mutations.synchronise_titles(changed["rollouts"], index, authoritative=invalid.head()[0] == 0)
-    if first or not rebuild or damaged.isEmpty():
-        changed["collector_state"] = mutations.put_state(tables["collector_state"], spark.createDataFrame([("parser_revision", str(PARSER_REVISION), now)], schema.STATE))
-    return changed, found.count(), todo.count()
+        base = changed.get("rollouts")
+        if base is not None:  # titles may belong to any session
+            base = base.unionByName(ledger.read("rollouts").where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])))
+        named, different = mutations.synchronise_titles(base if base is not None else rollouts, index, authoritative=invalid.head()[0] == 0)
+        if different:
+            changed["rollouts"] = named
+            for name in BUCKETED[1:] if "touched" in changed else ():  # then all buckets are written
+                changed[name] = changed[name].unionByName(ledger.read(name).where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])))
+            changed.pop("touched", None)
+    after = changed.get("source_files")
+    rest = sources if after is None else sources.where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])) if "touched" in changed else sources.where("false")
+    status = (rest if after is None else after.unionByName(rest)).where("is_present").agg(F.count_if(F.col("canonical_status") == "conflict").alias("conflicts"), F.count_if(F.col("last_error").startswith("skipped ")).alias("partial")).head()
+    covered = complete and not status["partial"]
+    state = [("phase", phase_after_inventory(complete, covered, status["conflicts"]), now)]
+    if covered:
+        state.append(("last_inventory", str(now), now))
+    if first or not rebuild or complete:
+        state.append(("parser_revision", str(PARSER_REVISION), now))
+    changed["collector_state"] = advanced(ledger.read("collector_state"), spark.createDataFrame(state, schema.STATE), usage, now)
+    return changed
+
+
+def advanced(state: DataFrame, new: DataFrame, usage_changed: bool, now: int) -> DataFrame:
+    """The state with new values; the usage revision counts the changes that queries can show."""
+    state = mutations.put_state(state, new)
+    if not usage_changed:
+        return state
+    revision = state.where("key = 'usage_revision'").agg(F.coalesce(F.max(F.col("value").cast("long")), F.lit(0)) + 1)
+    row = revision.toDF("n").select(F.lit("usage_revision").alias("key"), F.col("n").cast("string").alias("value"), F.lit(now).cast("long").alias("updated_at_epoch_ms"))
+    return mutations.put_state(state, row)
+
+
+def reports(new: DataFrame, known: DataFrame, now: int, run: str | None = None) -> DataFrame:
+    """Diagnostics of new (file_path, reason, message); what was reported within REPORT_AGAIN_MS is not repeated."""
+    recent = known.where(F.col("created_at_epoch_ms") > now - REPORT_AGAIN_MS).select("file_path", "message").distinct()
+    fresh = new.where("message is not null").distinct().join(recent, ["file_path", "message"], "left_anti")
+    conflict = F.col("reason").isin(*copies.MESSAGES)
+    return fresh.select(
+        F.xxhash64("file_path", "message", F.lit(now)).alias("diagnostic_id"), F.lit(run).cast("string").alias("run_id"), "file_path", F.when(F.col("reason") == "records-dropped", "info").otherwise("warning").alias("severity"),
+        F.when(conflict, "source_conflict").otherwise(F.col("reason")).alias("code"), "message", F.when(conflict, F.to_json(F.struct("reason"))).alias("details_json"), F.lit(now).cast("long").alias("created_at_epoch_ms"),
+    )
 
 
 def reconcile(ledger: Ledger, *roots: str, every: float = 300.0, rounds: int | None = None, titles: str | None = None, wait: Callable[[float], None] = time.sleep) -> int:
@@ -108,84 +209,205 @@ def reconcile(ledger: Ledger, *roots: str, every: float = 300.0, rounds: int | N
     return revision
 
 
-def apply_files(tables: dict[str, DataFrame], meta: DataFrame, events: DataFrame, rebuild: bool, now: int, reread: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """The tables after deciding on parsed files: meta has a row a file (attributes and snapshot), events theirs.
-
-    Copies of a session are decided one after the other in the order of their paths; only what belongs to sessions
-    with another copy to come is written again between them, and the whole tables are not written here at all. In a
-    rebuild one copy of each session decides and the others are listed. reread: snapshots of files (path) read once
-    more, which must not have changed before a canonical file replaces its own events.
-    """
-    sources = tables["source_files"]
-    if rebuild:
-        known = sources.select(F.col("file_path").alias("path"), "canonical_status", "byte_offset")
-        ranked = meta.select("path", "rollout_id", "size_bytes", "modified_at_epoch_ms", "stable_length", F.col("path").alias("file_path")).join(known, "path", "left")
-        ranked = ranked.withColumn("byte_offset", F.coalesce("byte_offset", "stable_length"))
-        chosen = cut(canonical.revision_choice(ranked).select("path"), "chosen")
-        passed = meta.join(chosen, "path", "left_anti")
-        sources, checkpoints = mutations.upsert_sources(sources, _listed(passed, F.lit("candidate"), now), tables["rollout_checkpoints"])
-        tables = tables | {"source_files": sources, "rollout_checkpoints": checkpoints}
-        meta = meta.join(chosen, "path", "left_semi")
-    turns = cut(meta.select("path", "rollout_id", F.row_number().over(Window.partitionBy("rollout_id").orderBy("path")).alias("turn")), "turns")
-    ids = turns.select("rollout_id").distinct()
-    # a file that now holds another session is listed anew
-    moved = sources.join(turns.select(F.col("path").alias("file_path"), F.col("rollout_id").alias("_to")), "file_path").where(~F.col("rollout_id").eqNullSafe(F.col("_to"))).select("file_path")
-    tables = tables | {"source_files": sources.join(moved, "file_path", "left_anti").select(*sources.columns)}
-    parts = [{n: tables[n].join(ids, "rollout_id", "left_anti").select(*tables[n].columns) for n in BY_ROLLOUT} | {"collector_diagnostics": tables["collector_diagnostics"]}]
-    work = {n: tables[n].join(ids, "rollout_id", "left_semi").select(*tables[n].columns) for n in BY_ROLLOUT}
-    for turn in range(1, (turns.agg(F.max("turn")).head()[0] or 0) + 1):
-        mine = turns.where(F.col("turn") == turn)
-        if turn > 1:
-            parts.append({n: work[n].join(mine, "rollout_id", "left_anti").select(*work[n].columns) for n in BY_ROLLOUT})
-            work = {n: work[n].join(mine, "rollout_id", "left_semi").select(*work[n].columns) for n in BY_ROLLOUT}
-        work = _decide(work, tables["collector_diagnostics"].where("false"), meta.join(mine.select("path"), "path", "left_semi"), events, rebuild, now, reread)
-        parts.append({"collector_diagnostics": work.pop("collector_diagnostics")})
-    parts.append(work)
-    return tables | {n: reduce(DataFrame.unionByName, [p[n] for p in parts if n in p]) for n in (*BY_ROLLOUT, "collector_diagnostics")}
-
-
-def _listed(files: DataFrame, status: Column, now: int) -> DataFrame:
-    """Rows of source_files for scanned files."""
-    return files.select(
-        F.col("path").alias("file_path"), "rollout_id", "size_bytes", "modified_at_epoch_ms", F.col("stable_length").alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"),
-        F.lit("verified").alias("prefix_status"), status.alias("canonical_status"), F.lit(True).alias("is_present"), F.lit(now).cast("long").alias("last_scanned_at_epoch_ms"), F.lit(None).cast("string").alias("last_error"),
+# --- from parsed files to tables --------------------------------------------------------------------------------------
+
+
+@dataclass
+class Outcome:
+    """The buckets that change, their tables, reports (file_path, reason, message), whether all files could be taken in, and
+    whether queries show anything new."""
+
+    touched: list[int]
+    tables: dict[str, DataFrame]
+    reports: DataFrame
+    complete: bool
+    usage_changed: bool
+
+
+def apply(ledger: Ledger, read: Parsed | None, gone: DataFrame, rebuild: bool, now: int) -> Outcome:
+    """Decides on the files that were read and marks those that are gone (file_path). Only buckets of sessions they
+    belong, or belonged, to are read and written."""
+    sources = ledger.read("source_files")
+    ids = sources.join(gone.select("file_path"), "file_path", "left_semi").select("rollout_id")
+    if read is not None:
+        own = read.files.select("rollout_id", F.col("path").alias("file_path"))
+        ids = ids.unionByName(own.select("rollout_id")).unionByName(sources.join(own.select("file_path"), "file_path", "left_semi").select("rollout_id"))
+    touched = sorted(r[0] for r in ids.select(ledger.bucket(F.col("rollout_id"))).distinct().collect())  # one number a bucket
+    tables = {t: ledger.read(t, buckets=touched) for t in BUCKETED}
+    tables["source_files"], tables["rollout_checkpoints"] = mutations.mark_missing(tables["source_files"], tables["rollout_checkpoints"], gone, now)
+    none = ledger.spark.createDataFrame([], "file_path string, reason string, message string")
+    if read is None:
+        return Outcome(touched, tables, none, True, False)
+    tables, decided, waiting = decide(tables, read, rebuild, now)
+    failed = read.files.where("damaged or error is not null").select(F.col("path").alias("file_path"), F.when(F.col("damaged"), "source-malformed").otherwise("source-unreadable").alias("reason"), F.when(F.col("damaged"), "damaged record").otherwise(F.col("error")).alias("message"))
+    failed = cut(failed.where("message <> 'gone'"), "failed")
+    late = waiting.select(F.col("path").alias("file_path"), F.lit("source-changing").alias("reason"), F.lit("the file changed between two readings").alias("message"))
+    dropped = read.drops.groupBy("path").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("drop_reason", "count"))))).alias("message")).select(F.col("path").alias("file_path"), F.lit("records-dropped").alias("reason"), "message")
+    told = decided.where("message is not null").select(F.col("path").alias("file_path"), "reason", "message")
+    flags = decided.agg(F.max("usage_changed").alias("usage"), F.count_if(F.col("decision").isin("reject", "broken", "moved")).alias("bad")).head()
+    complete = failed.isEmpty() and waiting.isEmpty() and not flags["bad"]
+    return Outcome(touched, tables, told.unionByName(failed).unionByName(late).unionByName(dropped), complete, bool(flags["usage"]))
+
+
+def _known(files: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """files with what the ledger knows of them, the fold's kind and the session they are decided in."""
+    sources = tables["source_files"].select(F.col("file_path").alias("path"), F.col("rollout_id").alias("stored_id"), F.col("byte_offset").alias("stored_offset"), F.col("prefix_hash").alias("stored_hash"))
+    canon = tables["rollouts"].select(F.col("rollout_id").alias("stored_id"), F.col("canonical_source_path").alias("stored_canonical"))
+    x = files.join(sources, "path", "left").join(canon, "stored_id", "left")
+    mine, same = F.coalesce(F.col("stored_canonical") == F.col("path"), F.lit(False)), F.col("stored_id").eqNullSafe(F.col("rollout_id"))
+    name = fallback_rollout_id(F.col("path"))
+    legacy = F.coalesce((F.col("stored_id") == legacy_rollout_id(F.col("path"))) & is_uuid_v7(name) & (name == F.col("rollout_id")), F.lit(False))
+    kind = F.when(F.col("error").isNotNull(), None).when(F.col("damaged"), F.when(mine, "broken")).when(mine & ~same, "moved").otherwise("copy")
+    shorter = (F.col("stable_length") < F.col("stored_offset")) | ((F.col("stable_length") == F.col("stored_offset")) & (F.col("boundary_hash") != F.col("stored_hash")))
+    return x.select(
+        "*", kind.alias("kind"), F.when(kind == "copy", F.col("rollout_id")).otherwise(F.col("stored_id")).alias("id"), legacy.alias("legacy"), (F.col("stored_id").isNull() | same | legacy).alias("expected"),
+        F.coalesce(same & shorter, F.lit(False)).alias("rewritten"),
     )
 
 
-def _decide(tables: dict[str, DataFrame], diagnostics: DataFrame, meta: DataFrame, events: DataFrame, rebuild: bool, now: int, reread: Callable[[DataFrame], DataFrame] | None) -> dict[str, DataFrame]:
-    """Applies the decision table to one file of each rollout and returns the new tables, written."""
-    rollouts, ledger_events, sources, checkpoints = (tables[t] for t in BY_ROLLOUT)
-    mine = events.join(meta.select("path"), "path", "left_semi")
-    compared = canonical.relations(meta.select("path", "rollout_id"), mine, ledger_events)
-    kept = rollouts.select("rollout_id", F.struct(*canonical.ATTRIBUTES).alias("before"), "canonical_source_path", F.col("thread_title").alias("_title"))
-    current = sources.select(F.col("file_path").alias("canonical_source_path"), F.col("is_present").alias("there"), F.lit(True).alias("listed"))
-    conflicts = sources.where("canonical_status = 'conflict' and is_present").groupBy("rollout_id").agg(F.lit(True).alias("in_conflict"))
-    own = sources.select(F.col("file_path").alias("path"), "prefix_hash", "byte_offset")
-    facts = (
-        meta.join(compared, "path").join(kept, "rollout_id", "left").join(current, "canonical_source_path", "left").join(conflicts, "rollout_id", "left").join(own, "path", "left")
-        .withColumn("rebuild", F.lit(rebuild)).withColumn("expected_id_matches", F.lit(True)).withColumn("recoverable", F.col("identity_relation").isin(canonical.EQUAL, canonical.EXTENSION))
-        .withColumn("is_canonical", F.coalesce(F.col("canonical_source_path") == F.col("path"), F.lit(False))).withColumn("has_canonical", F.col("canonical_source_path").isNotNull())
-        .withColumn("canonical_present", F.coalesce("there", F.lit(False))).withColumn("canonical_in_conflict", F.coalesce("in_conflict", F.lit(False)))
-        .withColumn("prefix_rewritten", F.coalesce((F.col("stable_length") < F.col("byte_offset")) | ((F.col("stable_length") == F.col("byte_offset")) & (F.col("boundary_hash") != F.col("prefix_hash"))), F.lit(False)))
-        .withColumn("same_metadata", F.col("before").isNull() | F.col("before").eqNullSafe(F.struct(*canonical.ATTRIBUTES)))
+def _fold_rows(files: DataFrame, events: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """copies.FOLD of the sessions of files (kind, id, sure and what _known adds)."""
+    ids = files.select(F.col("id").alias("rollout_id")).distinct()
+    held = tables["usage_events"].join(ids, "rollout_id", "left_semi")
+    n_held = held.groupBy("rollout_id").agg(F.count("*").alias("n"))
+    counted = files.where("kind in ('copy', 'seed')").join(events.groupBy("path").agg(F.count("*").alias("n")), "path", "left").select("path", "id", F.coalesce("n", F.lit(0)).alias("n"))
+    counted = cut(counted, "counted")
+    lengths = cut(counted.select(F.col("id").alias("rollout_id"), "n").unionByName(n_held.select("rollout_id", "n")).where("n > 0").distinct(), "lengths")
+    of_files = copies.prints(events.join(counted.select("path"), "path", "left_semi"), "path", counted.select("path", F.col("id").alias("rollout_id")).join(lengths, "rollout_id").select("path", "n"))
+    of_ledger = copies.prints(held, "rollout_id", lengths)
+    attrs = F.struct(*canonical.ATTRIBUTES)
+    taken = F.when(F.col("rollout_id").isNotNull(), True)
+    free = files.where("kind = 'moved'").select("path", F.col("rollout_id").alias("_to")).join(tables["rollouts"].select(F.col("rollout_id").alias("_to"), taken.alias("_taken")), "_to", "left").join(files.where("kind = 'copy'").select(F.col("rollout_id").alias("_to"), F.lit(True).alias("_read")).distinct(), "_to", "left")
+    free = free.select("path", (F.col("_taken").isNull() & F.col("_read").isNull()).alias("target_free"))
+    blank = {f.split()[0]: F.lit(None).cast(f.split(" ", 1)[1]) for f in _fields(copies.FOLD)} | {"rewritten": F.lit(False)}
+    row = lambda df, **given: df.select(*[given.get(c, v).alias(c) for c, v in blank.items()])
+    x = files.join(counted.select("path", "n"), "path", "left").join(of_files, "path", "left").join(free, "path", "left")
+    read = row(
+        x, rollout_id=F.col("id"), n=F.coalesce("n", F.lit(0)), attrs=attrs, title=F.lit(None).cast("string"), activity=F.col("last_activity_epoch_ms"), target_free=F.coalesce("target_free", F.lit(False)),
+        **{c: F.col(c) for c in ("kind", "path", "prints", "stable_length", "size_bytes", "modified_at_epoch_ms", "boundary_hash", "sure", "expected", "legacy", "rewritten")},
     )
-    decided = cut(facts.withColumn("decision", canonical.decision()), "decisions")
-    rewritten = decided.where("decision = 'confirm_and_replace'")
-    if reread is not None and not rewritten.isEmpty():  # a file that changes meanwhile waits for the next inventory
-        sure = records.confirmed(rewritten.select("path", "content_hash"), reread(rewritten.select("path"))).select("path")
-        decided = cut(decided.where("decision <> 'confirm_and_replace'").unionByName(rewritten.join(sure, "path", "left_semi").select(*decided.columns)), "confirmed")
-    listed = _listed(decided.where("decision <> 'reject'"), F.lit("candidate"), now)
-    taken = decided.where(F.col("decision").isin("replace", "recover", "confirm_and_replace", "promote")).withColumn("thread_title", F.coalesce("_title", F.lit("")))
-    rollouts = mutations.upsert_rollouts(rollouts, taken.select(*[c for c in schema.struct(schema.ROLLOUTS).fieldNames() if c in taken.columns and c != "canonical_source_path"]), now)
-    taken_events = mine.join(taken.select("path"), "path", "left_semi").select(*schema.struct(schema.EVENTS).fieldNames())
-    ledger_events = mutations.replace_events(ledger_events, taken_events, taken)
+    s = tables["rollouts"].join(ids, "rollout_id", "left_semi").join(n_held, "rollout_id", "left").join(of_ledger, "rollout_id", "left")
+    stored = row(s, rollout_id=F.col("rollout_id"), kind=F.lit("stored"), path=F.col("canonical_source_path"), n=F.coalesce("n", F.lit(0)), prints=F.col("prints"), attrs=attrs, activity=F.col("last_activity_epoch_ms"))
+    k = tables["source_files"].join(ids, "rollout_id", "left_semi")
+    known = row(k, rollout_id=F.col("rollout_id"), kind=F.lit("source"), path=F.col("file_path"), status=F.col("canonical_status"), present=F.col("is_present"))
+    return read.unionByName(stored).unionByName(known)
+
+
+def _fields(ddl: str) -> list[str]:
+    """The fields of a DDL list whose types may hold commas in angle brackets."""
+    out, depth, last = [], 0, 0
+    for i, c in enumerate(ddl):
+        depth += {"<": 1, ">": -1}.get(c, 0)
+        if c == "," and not depth:
+            out.append(ddl[last:i].strip())
+            last = i + 1
+    return [*out, ddl[last:].strip()]
+
+
+def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int, again: Callable[[DataFrame], Parsed] | None = None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """The tables after deciding on all files that were read, the decisions, and files (path) that wait as they keep changing.
+
+    Sessions with a single new file need no comparison. The others are folded; where the fold asks for files (a
+    canonical file that lost or changed events, candidates for a recovery), these are read again and only what both
+    readings agree on counts.
+    """
+    spark = read.files.sparkSession
+    again = again or (lambda paths: read_files(listed_now(spark, paths)))
+    files = cut(_known(read.files, tables).where("kind is not null").withColumn("sure", F.lit(False)), "known")
+    taken_ids = tables["rollouts"].select(F.col("rollout_id").alias("id")).unionByName(tables["source_files"].select(F.col("rollout_id").alias("id"))).where("id is not null").distinct()
+    single = files.groupBy("id").agg(F.count("*").alias("c"), F.max("kind").alias("k")).where("c = 1 and k = 'copy'").select("id").join(taken_ids, "id", "left_anti")
+    fresh = files.join(single, "id", "left_semi").where("stored_id is null")
+    alone = fresh.select(F.col("id").alias("rollout_id"), "path", F.lit("promote").alias("decision"), F.lit("canonical").alias("status"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("taken"), F.lit(False).alias("free"), F.lit(None).cast("string").alias("needs"), F.lit(True).alias("usage_changed"))
+    open_, events = cut(files.join(fresh.select("path"), "path", "left_anti"), "open"), read.events
+    done, waiting = [cut(alone, "alone")], None
+    every = files
+    for _ in range(REREADINGS):
+        if open_.isEmpty():
+            break
+        got = cut(copies.fold(_fold_rows(open_, events, tables), rebuild), "decided")
+        done.append(got.where("needs is null"))
+        asked = cut(got.where("needs is not null").select("path", "needs", F.col("rollout_id").alias("_id")), "asked")
+        waiting = asked.select("path")
+        if asked.isEmpty():
+            break
+        open_ = open_.join(asked.select(F.col("_id").alias("id")).distinct(), "id", "left_semi")
+        second = again(asked.select("path"))
+        fresh_rows = second.files.join(asked, "path")
+        before = open_.select("path", F.col("stable_length").alias("_stable"), F.col("boundary_hash").alias("_boundary"), F.col("content_hash").alias("_content"))
+        agrees = (F.col("stable_length") == F.col("_stable")) & (F.col("boundary_hash") == F.col("_boundary")) & (F.col("_content").isNull() | (F.col("content_hash") == F.col("_content")))
+        kept = fresh_rows.where("error is null").join(before, "path", "left").where((F.col("needs") != "confirm") | F.coalesce(agrees, F.lit(False)))
+        seeds = (F.col("needs") == "seed") | (F.col("needs") == "fresh")
+        kept = _known(kept.drop("_stable", "_boundary", "_content"), tables).where(~seeds | (F.col("kind") == "copy"))
+        was_read = files.select("path", F.lit(True).alias("_read"))
+        kind = F.when((F.col("needs") == "seed") & F.col("_read").isNull(), "seed").otherwise(F.col("kind"))
+        kept = kept.join(was_read, "path", "left").withColumn("kind", kind).withColumn("id", F.when(F.col("kind").isin("seed", "copy"), F.col("rollout_id")).otherwise(F.col("id"))).withColumn("sure", F.lit(True))
+        unsettled = fresh_rows.select("path", "_id").join(kept.select("path"), "path", "left_anti")
+        open_ = cut(open_.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*open_.columns)), "open")
+        every = cut(every.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*every.columns)), "every")
+        events = cut(events.join(asked.select("path"), "path", "left_anti").unionByName(second.events), "events")
+        waiting = cut(unsettled.select("path").unionByName(asked.select("path").join(second.files.select("path"), "path", "left_anti")), "waiting")
+    decided = done[0]
+    for d in done[1:]:
+        decided = decided.unionByName(d)
+    decided = cut(decided, "decided")
+    waiting = waiting if waiting is not None else files.select("path").where("false")
+    tables = written(tables, every, events, read, decided, now)
+    later = every.join(decided.where("free or decision = 'rekey'").select("path"), "path", "left_semi")
+    if not later.isEmpty():
+        renamed = not decided.where("decision = 'rekey'").isEmpty()
+        columns = read.files.columns
+        tables, more, wait = decide(tables, Parsed(later.select(*columns), events, read.drops), rebuild and renamed, now, again)
+        decided, waiting = decided.unionByName(more), waiting.unionByName(wait)
+    return tables, decided, waiting
+
+
+def written(tables: dict[str, DataFrame], files: DataFrame, events: DataFrame, read: Parsed, decided: DataFrame, now: int) -> dict[str, DataFrame]:
+    """The tables after the decisions."""
+    rollouts, held, sources, checkpoints = (tables[t] for t in BUCKETED)
+    # legacy ids take their new names everywhere
+    names = decided.where("decision = 'rekey'").join(files.select("path", F.col("rollout_id").alias("_new")), "path").select("rollout_id", "_new")
+    rename = lambda t: t.join(F.broadcast(names), "rollout_id", "left").withColumn("rollout_id", F.coalesce("_new", "rollout_id")).select(*t.columns)
+    if not names.isEmpty():  # one row for each legacy file of a rebuild
+        rollouts, held, sources, checkpoints = (rename(t) for t in (rollouts, held, sources, checkpoints))
+    result = decided.where("decision <> 'rekey' and decision <> 'reject'").select("path", "rollout_id", "decision", "status", "message", "taken", "free")
+    facts = files.join(result.withColumnsRenamed({"rollout_id": "_session"}), "path")
+    whole = F.col("decision").isin("broken", "moved")  # all bytes count as seen: the file is read again when it changes
+    listed = facts.where("status is not null and not free").select(
+        F.col("path").alias("file_path"), F.col("_session").alias("rollout_id"), "size_bytes", "modified_at_epoch_ms", F.when(whole, F.col("size_bytes")).otherwise(F.col("stable_length")).alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"),
+        F.when(F.col("status") == "conflict", "diverged").otherwise("verified").alias("prefix_status"), F.col("status").alias("canonical_status"), F.lit(True).alias("is_present"), F.lit(now).cast("long").alias("last_scanned_at_epoch_ms"), F.coalesce("message", "partial").alias("last_error"),
+    )
+    # sources that were not read but lost or got back their place
+    only = result.where("status is not null").join(files.select("path"), "path", "left_anti").select(F.col("path").alias("file_path"), F.col("status").alias("_status"), F.col("message").alias("_message"))
+    s = sources.join(only, "file_path", "left")
+    sources = s.select(*[{"canonical_status": F.coalesce("_status", "canonical_status"), "last_error": F.when(F.col("_status").isNull(), F.col("last_error")).otherwise(F.col("_message"))}.get(c, F.col(c)).alias(c) for c in sources.columns])
+    moved_on = facts.where("free").select(F.col("path").alias("file_path"))
+    sources = sources.join(moved_on, "file_path", "left_anti").select(*sources.columns)
     sources, checkpoints = mutations.upsert_sources(sources, listed, checkpoints)
-    differing = decided.where("decision = 'conflict'").select(F.col("path").alias("file_path"), F.lit("the file contradicts the events of its session").alias("message"))
-    sources, checkpoints, diagnostics = mutations.record_conflicts(sources, checkpoints, diagnostics, differing, now)
-    settled = sources.where("canonical_status = 'conflict'").groupBy("rollout_id").agg(F.min("file_path").alias("resolved"))
-    chosen = taken.select("rollout_id", "path").join(settled, "rollout_id", "left").withColumn("resolved", F.when(F.col("resolved") != F.col("path"), F.col("resolved")))
-    rollouts, sources, checkpoints = mutations.promote(rollouts, sources, checkpoints, chosen, now)
-    return {n: cut(t, n) for n, t in zip((*BY_ROLLOUT, "collector_diagnostics"), (rollouts, ledger_events, sources, checkpoints, diagnostics), strict=True)}
+    # files that could not be taken in keep their place and say why
+    failed = read.files.where("damaged or (error is not null and error <> 'gone')").join(result.select("path"), "path", "left_anti").select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms", F.when(F.col("damaged"), "damaged record").otherwise(F.col("error")).alias("last_error"), "damaged")
+    known = sources.drop("last_error").join(failed.select("file_path", "last_error"), "file_path").select(*sources.columns)
+    new = failed.where("damaged").join(sources.select("file_path"), "file_path", "left_anti")
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in schema.struct(schema.SOURCES)} | {"byte_offset": F.lit(0).cast("long"), "prefix_status": F.lit("unknown"), "canonical_status": F.lit("candidate"), "is_present": F.lit(True)}
+    new = new.select(*[F.col(c).alias(c) if c in new.columns else v.alias(c) for c, v in blank.items()])
+    sources, checkpoints = mutations.upsert_sources(sources, known.unionByName(new), checkpoints)
+    # the taken copies
+    taken = facts.where("taken").join(rollouts.select("rollout_id", F.col("thread_title").alias("_title")), "rollout_id", "left").withColumn("thread_title", F.coalesce("_title", F.lit("")))
+    taken = cut(taken, "taken")
+    rollouts = mutations.upsert_rollouts(rollouts, taken.select(*[c for c in schema.struct(schema.ROLLOUTS).fieldNames() if c in taken.columns]), now)
+    place = taken.select("rollout_id", F.col("path").alias("_path"))
+    rollouts = rollouts.join(place, "rollout_id", "left").withColumn("canonical_source_path", F.coalesce("_path", "canonical_source_path")).select(*tables["rollouts"].columns)
+    held = mutations.replace_events(held, events.join(taken.select("path"), "path", "left_semi").select(*schema.struct(schema.EVENTS).fieldNames()), taken)
+    checkpoints = mutations.upsert_checkpoints(checkpoints.join(place.select("rollout_id"), "rollout_id", "left_anti").select(*checkpoints.columns), checkpoint_rows(taken))
+    return {n: cut(t, n) for n, t in zip(BUCKETED, (rollouts, held, sources, checkpoints), strict=True)}
+
+
+def checkpoint_rows(taken: DataFrame) -> DataFrame:
+    """How far each canonical file was read."""
+    state = F.to_json(F.struct("conversation_id", "rollout_id", "thread_type", "last_activity_epoch_ms"))
+    return taken.select(
+        F.col("path").alias("file_path"), "rollout_id", F.lit(1).alias("format_revision"), F.lit(PARSER_REVISION).alias("parser_revision"), F.concat_ws("|", "path", "size_bytes", "modified_at_epoch_ms").alias("source_identity"), F.col("size_bytes").alias("observed_size"),
+        F.col("modified_at_epoch_ms").alias("observed_modified_ms"), F.col("stable_length").alias("stable_offset"), "boundary_hash", state.alias("state_json"), F.sha2(state, 256).alias("state_hash"),
+    )
 
 
 # --- the stream -------------------------------------------------------------------------------------------------------
@@ -214,17 +436,22 @@ class LiveLedger:
 
     Only appended bytes are read from the logs. Their records, small next to the logs, are kept by batch and by a hash
     of the path; sessions that a batch touches are attributed again from their records, so a model that is stated late
-    changes the earlier events it belongs to, and a rewritten file starts anew. Copies of a session go through the same
-    decisions as in an inventory. A batch that comes twice overwrites itself.
+    changes the earlier events it belongs to, and a rewritten file starts anew. Copies of a session, damaged and removed
+    files go through the same decisions as in an inventory, and what these want confirmed is read again. A batch writes
+    the buckets of its sessions alone; one that comes twice overwrites itself. changed: called with the ledger's revision
+    after a batch that queries can see.
     """
 
-    def __init__(self, ledger: Ledger, store: str):
-        self.ledger, self.store, self.spark = ledger, store.rstrip("/"), ledger.spark
+    def __init__(self, ledger: Ledger, store: str, changed: Callable[[int], None] | None = None):
+        assert_writable(store, *ledger.protected, spark=ledger.spark)
+        self.ledger, self.store, self.spark, self.changed, self.run = ledger, store.rstrip("/"), ledger.spark, changed, uuid.uuid4().hex
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
         lines, bucket = cut(lines, "tail"), F.pmod(F.hash("path"), F.lit(STORE_BUCKETS)).alias("bucket")
+        now = int(time.time() * 1000)
+        gone = cut(lines.where("offset = -2").select(F.col("path").alias("file_path")), "gone")
         typed(lines).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.store}/records/batch={batch}")
-        touched = lines.groupBy("path").agg(F.max("reset").alias("reset"))
+        touched = lines.where("offset <> -2").groupBy("path").agg(F.max("reset").alias("reset"))
         touched.write.mode("overwrite").parquet(f"{self.store}/touched/batch={batch}")
         history = self.spark.read.schema("path string, reset boolean, batch int").parquet(f"{self.store}/touched")
         since = history.where("reset").groupBy("path").agg(F.max("batch").alias("since"))
@@ -232,24 +459,39 @@ class LiveLedger:
         buckets = [r[0] for r in touched.select(bucket).distinct().collect()]  # STORE_BUCKETS at most
         stored = self.spark.read.schema(T.StructType([*schema.RECORDS.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{self.store}/records")
         kept = stored.where(F.col("bucket").isin(buckets)).join(mine, "path").where("since is null or batch >= since").drop("since", "batch", "bucket")
-        damaged = records.damaged_files(kept)
-        parsed = attribution.parse(kept.join(damaged, "path", "left_anti"))
+        shots = lines.where("offset = -1").select("path", F.from_json(F.col("raw").cast("string"), FACTS).alias("f")).select("path", "f.*", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("error"))
+        outcome = apply(self.ledger, parsed(kept, shots) if buckets else None, gone, False, now)
+        state = self.spark.createDataFrame([("last_batch", str(batch), now)], schema.STATE)
+        changed = outcome.tables | {"collector_state": advanced(self.ledger.read("collector_state"), state, outcome.usage_changed, now), "collector_runs": self._runs(now)}
+        told = reports(outcome.reports, self.ledger.read("collector_diagnostics"), now, self.run)
+        self.ledger.commit(touched=outcome.touched, appended={"collector_diagnostics": told}, **changed)
+        if outcome.usage_changed and self.changed:
+            self.changed(self.ledger.revision)
+
+    def _runs(self, now: int) -> DataFrame:
+        """The runs with a sign of life of this stream's."""
+        runs = self.ledger.read("collector_runs")
+        if runs.where(F.col("run_id") == self.run).isEmpty():
+            return runs.unionByName(self.spark.createDataFrame([(self.run, "stream", "running", now, now, None, None, None, None)], schema.RUNS))
+        return mutations.heartbeat(runs, self.run, now)
+
+    def finish(self, error: str | None = None) -> None:
+        """The stream's run ends."""
         now = int(time.time() * 1000)
-        shots = lines.where("offset < 0").select("path", F.from_json(F.col("raw").cast("string"), FACTS).alias("f")).select("path", "f.*")
-        meta, events = cut(parsed["metadata"].join(shots, "path"), "metadata"), cut(parsed["events"], "events")
-        tables = self.ledger.tables()
-        changed = apply_files(tables, meta, events, False, now)
-        state = mutations.put_state(tables["collector_state"], self.spark.createDataFrame([("last_batch", str(batch), now)], schema.STATE))
-        self.ledger.commit(**{n: changed[n] for n in (*BY_ROLLOUT, "collector_diagnostics")}, collector_state=state)
+        runs = self.ledger.read("collector_runs")
+        if not runs.where((F.col("run_id") == self.run) & (F.col("status") == "running")).isEmpty():
+            self.ledger.commit(collector_runs=mutations.finish_run(runs, self.run, now, "failed" if error else "completed", error))
+        self.run = uuid.uuid4().hex
 
     def start(self, *roots: str, checkpoint: str, every: str = "2 seconds", once: bool = False, most_files: int = 16, phases: Phases | None = None) -> StreamingQuery:
+        assert_writable(checkpoint, *roots, *self.ledger.protected, spark=self.spark)
         if phases is not None:
             self.spark.streams.addListener(phases)
         writer = tail(self.spark, *roots, most_files=most_files).writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def with_retries(start: Callable[[], StreamingQuery], attempts: int = 5, first: float = 0.25, most: float = 4.0, sleep: Callable[[float], None] = time.sleep) -> int:
+def with_retries(start: Callable[[], StreamingQuery], attempts: int = 5, first: float = 0.25, most: float = 4.0, sleep: Callable[[float], None] = time.sleep, phases: Phases | None = None) -> int:
     """Runs a query to its end, again after a failure, with doubling waits. Returns the number of failures."""
     for failures in range(attempts):
         try:
@@ -257,30 +499,51 @@ def with_retries(start: Callable[[], StreamingQuery], attempts: int = 5, first:
             return failures
         except Exception:
             if failures == attempts - 1:
+                if phases is not None:
+                    phases.gave_up()
                 raise
+            if phases is not None:
+                phases.waits()
             sleep(min(first * 2**failures, most))
     return attempts
 
 
 class Phases(StreamingQueryListener):
-    """Follows a query's phase and tells `changed` when a batch has brought rows."""
+    """The phase of a collector: stopped, syncing (until a batch or inventory is done), watching, partial (files or
+    records are left out, or copies are in conflict), retrying (a failed query waits for its next attempt), degraded
+    (an inventory failed, or no attempt is left). `changed` is told of batches that have brought rows."""
 
     def __init__(self, changed: Callable[[int], None] | None = None):
-        self.phase, self.changed = "stopped", changed
+        self.phase, self.changed, self.retries = "stopped", changed, False
+
+    def waits(self) -> None:
+        """A query failed and is tried again."""
+        self.phase, self.retries = "retrying", True
+
+    def gave_up(self) -> None:
+        self.phase, self.retries = "degraded", False
+
+    def inventory(self, ledger: Ledger) -> str:
+        """Takes the phase that the last inventory left; a query that waits for its next attempt stays so."""
+        row = ledger.read("collector_state").where("key = 'phase'").select("value").head()
+        if row is not None and not self.retries:
+            self.phase = row[0]
+        return self.phase
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001
-        self.phase = "syncing"
+        self.phase = "retrying" if self.retries else "syncing"
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001
-        self.phase = "watching"
+        self.phase, self.retries = "watching", False
         if event.progress.numInputRows and self.changed:
             self.changed(event.progress.batchId)
 
     def onQueryIdle(self, event) -> None:  # noqa: ANN001
-        self.phase = "watching"
+        self.phase, self.retries = "watching", False
 
     def onQueryTerminated(self, event) -> None:  # noqa: ANN001
-        self.phase = "degraded" if event.exception else "stopped"
+        if self.phase != "retrying":
+            self.phase = "degraded" if event.exception else "stopped"
 
 
 def phase_after_inventory(succeeded: bool, fully_covered: bool, conflicts: int) -> str:

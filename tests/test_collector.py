@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import canonical, mutations
+from ledgerloom.sources import logs as source
 from ledgerloom.sources import records
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.streaming import collector
@@ -145,7 +146,7 @@ def test_conflicts_are_reported_and_failed_runs_recorded(spark, logs, book, monk
     (report,) = book.read("collector_diagnostics").collect()
     assert report.code == "source_conflict" and "/b/" in report.file_path
     assert mutations.repeated_diagnostics(book.read("collector_diagnostics"), "source_conflict").head().most == 1
-    monkeypatch.setattr(records, "inventory", lambda *_: 1 / 0)
+    monkeypatch.setattr(source, "listing", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         collector.ingest(book, str(logs), now_ms=5)
     last = mutations.latest_run(book.read("collector_runs")).head()
@@ -158,16 +159,16 @@ def test_a_file_that_changes_meanwhile_waits(spark, logs, book, monkeypatch):
     write(path, meta(id="r1"), count(1), count(2))
     collector.ingest(book, str(logs), now_ms=1)
     write(path, meta(id="r1"), count(5))
-    whole, readings = records.snapshots, []
+    whole, readings = source.facts, []
 
-    def changing(files):
+    def changing(*given):
         readings.append(1)
-        return whole(files).withColumn("content_hash", F.lit(f"reading {len(readings)}"))
+        return whole(*given).withColumn("content_hash", F.lit(f"reading {len(readings)}"))
 
-    monkeypatch.setattr(records, "snapshots", changing)
+    monkeypatch.setattr(source, "facts", changing)
     collector.ingest(book, str(logs), now_ms=2)
     assert len(events(book)) == 2 and len(readings) == 2
-    monkeypatch.setattr(records, "snapshots", whole)
+    monkeypatch.setattr(source, "facts", whole)
     collector.ingest(book, str(logs), now_ms=3)
     assert len(events(book)) == 1
 
