@@ -143,6 +143,8 @@ class Session:
             self.out[row["path"]]["free"] = True
 
     def copy(self, row: dict) -> None:
+        if self.taken is row:  # in a recovery
+            return
         own = self.sources.get(row["path"])
         mine = self.canonical == row["path"]
         if not mine and self.canonical and self.sources.get(self.canonical, {}).get("status") == "conflict":
@@ -173,12 +175,13 @@ class Session:
         for r in rows:
             if not r["expected"]:
                 self.out[r["path"]] = {"decision": "reject", "status": None, "reason": "source-rollout-changed", "message": "the known file now holds another session"}
+        self.read = [r for r in self.read if r["kind"] != "copy" or r["expected"]]
         viable = [r for r in rows if r["expected"] and (self.sources.get(r["path"], {}).get("status") != "conflict" or r["path"] == self.canonical)]
         if not viable:
             return
         row = min(viable, key=lambda r: (r["path"] != self.canonical, -r["stable_length"], -r["size_bytes"], -r["modified_at_epoch_ms"], r["path"]))
         self.take(row, "replace")
-        self.read = [r for r in self.read if r is not row and (r["kind"] != "copy" or r["expected"])]
+        self.read = [r for r in self.read if r is not row]
 
     def decide(self, rebuild: bool) -> list[dict]:
         for row in [r for r in self.read if r["kind"] == "moved"] if rebuild else []:

@@ -2,7 +2,8 @@
 
 A snapshot is a small JSON file that names the folders of each table; what did not change is shared between snapshots.
 Tables by session are kept in buckets, a folder each, by a hash of the rollout id: a commit that touches some sessions
-writes their buckets alone. Reports are appended, a folder a commit, and merged when there are many. Readers hold on
+writes their buckets alone. Reports are appended, a folder a commit, and merged when there are many; runs and
+state, a row each, are one file. Readers hold on
 to the snapshot they opened. One writer at a time; a failed write leaves the last snapshot in place.
 
 A folder's name has the version it was written with; what older versions lack gets its defaults when it is read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ SORTED = {"usage_events": ["timestamp_epoch_ms", "rollout_id", "token_event_ordi
 BUCKETED, APPENDED = ("rollouts", "usage_events", "source_files", "rollout_checkpoints"), ("collector_diagnostics",)
 #: Buckets of a new ledger; folders of an appended table before they are merged.
 BUCKETS, MOST_FOLDERS = 64, 32
+#: Tasks that write one bucket of a large table.
+SPREAD = 16
 
 
 class Ledger:
@@ -37,6 +41,7 @@ class Ledger:
         self.protected = tuple(protected)
         assert_writable(root, *self.protected, spark=spark)
         self.spark, self.root = spark, root.rstrip("/")
+        self._snapshots: dict[int, dict] = {}
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._path = lambda p: path(f"{self.root}/{p}")
         self._fs = path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -54,8 +59,11 @@ class Ledger:
         return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")), default=0)
 
     def _snapshot(self, revision: int) -> dict:
-        rows = self.spark.read.text(f"{self.root}/snapshots/{revision:012d}.json", wholetext=True).head()
-        return json.loads(rows[0])
+        """Snapshots never change: each is read once."""
+        if revision not in self._snapshots:
+            rows = self.spark.read.text(f"{self.root}/snapshots/{revision:012d}.json", wholetext=True).head()
+            self._snapshots[revision] = json.loads(rows[0])
+        return self._snapshots[revision]
 
     def bucket(self, rollout_id: Column) -> Column:
         return F.pmod(F.xxhash64(rollout_id), F.lit(self.buckets)).cast("int")
@@ -94,12 +102,11 @@ class Ledger:
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in columns])
         order = SORTED.get(name, [])
         if not by_bucket:
-            if order:
-                df = df.repartitionByRange(order[0]).sortWithinPartitions(*order)
-            df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            df.coalesce(1).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             return {"": [folder]}
         df = df.withColumn("bucket", self.bucket(F.col("rollout_id")))
-        df.repartitionByRange("bucket", *(order or ["rollout_id"])).sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        spread = F.pmod(F.hash(*(order or ["rollout_id"])), F.lit(SPREAD))  # a bucket, or a session, may be large
+        df.repartition("bucket", spread).sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
         there = [s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory()]
         return {n.removeprefix("bucket="): [f"{folder}/{n}"] for n in there if n.startswith("bucket=")}
 
@@ -107,8 +114,9 @@ class Ledger:
         """Writes the changed tables and publishes them together with the others as the next snapshot. touched: the tables
         by session hold these buckets alone and replace them. appended: rows added to a table."""
         before = {t: self.folders(t) for t in schema.TABLES}
-        for name, df in changed.items():
-            written = self._write(name, df, name in BUCKETED)
+        with ThreadPoolExecutor(len(schema.TABLES)) as pool:
+            found = dict(zip(changed, pool.map(lambda x: self._write(x[0], x[1], x[0] in BUCKETED), changed.items()), strict=True))
+        for name, written in found.items():
             if touched is not None and name in BUCKETED:
                 if "" in before[name]:  # a ledger that had no buckets gets them now
                     written = self._write(name, self.read(name).where(~self.bucket(F.col("rollout_id")).isin(list(touched))), True) | written
@@ -116,6 +124,8 @@ class Ledger:
                     written = {b: f for b, f in before[name].items() if int(b) not in set(touched)} | written
             before[name] = written
         for name, df in (appended or {}).items():
+            if df.isEmpty():
+                continue
             folders = before[name].get("", []) + self._write(name, df, False)[""]
             if len(folders) > MOST_FOLDERS:
                 whole = self.spark.read.schema(schema.struct(schema.TABLES[name])).parquet(*[f"{self.root}/{f}" for f in folders])

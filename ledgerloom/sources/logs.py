@@ -1,6 +1,7 @@
 """Log files in one reading: a distributed listing, then byte ranges that give records and facts of the same bytes.
 
-A listing goes down the folders level by level; the folders of a level are listed in parallel. A root that is not there
+A listing goes down the folders level by level; the folders of a level are listed in parallel, by tasks where they are
+many. A root that is not there
 has no files; a folder that cannot be read is reported and holds up nothing else; links are never followed.
 
 A scan splits each file, at the size that the listing saw, into ranges. A range owns the lines that begin in it and
@@ -17,6 +18,7 @@ import hashlib
 import os
 import stat
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,6 +34,8 @@ from .staging import cut
 PATTERN = "rollout-*.jsonl"
 #: Bytes of a file that one task reads; tasks that a scan is dealt to at most.
 RANGE_BYTES, MOST_TASKS = 64 << 20, 10_000
+#: Folders of a level that the driver lists itself; from a larger level on, tasks do.
+FEW_FOLDERS = 256
 #: Bytes read at a time.
 CHUNK = 1 << 20
 
@@ -105,7 +109,8 @@ def entries(folder: str, root: bool) -> Iterator[dict]:
 
 def listing(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
     """(file_path, size_bytes, modified_at_epoch_ms) of all log files below the roots, and (path, message) of folders that
-    could not be read. The folders of one level are listed side by side."""
+    could not be read. From a level with
+    many folders on, these are listed by tasks, level by level."""
     arrow = pa.schema([("kind", pa.string()), ("path", pa.string()), ("size_bytes", pa.int64()), ("modified_ns", pa.int64()), ("message", pa.string())])
 
     def level(folders: DataFrame, first: bool) -> DataFrame:
@@ -118,17 +123,20 @@ def listing(spark: SparkSession, *roots: str) -> tuple[DataFrame, DataFrame]:
 
         return cut(folders.mapInArrow(run, _LISTED), "listing")
 
-    found, folders = [], spark.createDataFrame([(r.rstrip("/") or "/",) for r in dict.fromkeys(roots)], "path string")
-    while True:
-        found.append(level(folders, not found))
-        deeper = found[-1].where("kind = 'folder'").select("path").distinct()
+    near, first = [r.rstrip("/") or "/" for r in dict.fromkeys(roots)], True
+    few: list[dict] = []
+    with ThreadPoolExecutor(16) as pool:
+        while near and len(near) <= FEW_FOLDERS and len(few) <= 100 * FEW_FOLDERS:  # small trees need no job
+            rows = [x for found in pool.map(lambda f: list(entries(f, first)), near) for x in found]  # noqa: B023
+            few += [x for x in rows if x["kind"] != "folder"]
+            near, first = [x["path"] for x in rows if x["kind"] == "folder"], False
+    rows = spark.createDataFrame([tuple(x.values()) for x in few], _LISTED)
+    while near is not None and (not isinstance(near, list) or near):
+        folders = spark.createDataFrame([(f,) for f in near], "path string") if isinstance(near, list) else near
+        found = level(folders, first)
+        rows, deeper, first = rows.unionByName(found), found.where("kind = 'folder'").select("path").distinct(), False
         n = deeper.count()
-        if not n:
-            break
-        folders = deeper.repartition(min(max(n // 16, 1), MOST_TASKS))
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
+        near = deeper.repartition(min(max(n // 16, 1), MOST_TASKS)) if n else None
     files = rows.where("kind = 'file'").select(F.col("path").alias("file_path"), "size_bytes", F.expr("modified_ns div 1000000").alias("modified_at_epoch_ms")).distinct()
     return files, rows.where("kind = 'failure'").select("path", "message")
 

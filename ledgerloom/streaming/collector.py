@@ -7,6 +7,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -72,13 +73,14 @@ def parsed(rows: DataFrame, facts: DataFrame) -> Parsed:
     """Attributes and events of the records of files; a file with one damaged record gives none."""
     harmless = F.col("class").isin("oversized_opaque", "null_padding")
     classes = rows.groupBy("path").agg(F.max(~F.col("class").isin(schema.OBJECT, *schema.HARMLESS)).alias("damaged"), F.count_if(harmless).alias("skipped"), F.count_if(F.col("class") == "oversized_opaque").alias("large"))
-    classes = cut(classes, "classes")
     found = attribution.parse(rows.join(classes.where("damaged"), "path", "left_anti"))
     # a file without a complete record still is a session, by its name
     blank = facts.join(rows.select("path").distinct(), "path", "left_anti").where("error is null").select("path", F.lit(False).alias("damaged"), F.lit(0).alias("skipped"), F.lit(0).alias("large"))
     partial = F.when(F.col("skipped") > 0, F.concat(F.lit("skipped "), F.col("large"), F.lit(" oversized and "), F.col("skipped") - F.col("large"), F.lit(" padding records")))
     files = facts.join(classes.unionByName(blank), "path", "left").withColumn("damaged", F.coalesce("damaged", F.lit(False))).withColumn("partial", partial).drop("skipped", "large")
-    return Parsed(cut(files.join(found["metadata"], "path", "left"), "files"), cut(found["events"], "events"), cut(found["drops"], "drops"))
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda x: cut(*x), [(files.join(found["metadata"], "path", "left"), "files"), (found["events"], "events")]))
+    return Parsed(*done, found["drops"])
 
 
 def read_files(files: DataFrame) -> Parsed:
@@ -240,11 +242,11 @@ def apply(ledger: Ledger, read: Parsed | None, gone: DataFrame, rebuild: bool, n
         return Outcome(touched, tables, none, True, False)
     tables, decided, waiting = decide(tables, read, rebuild, now)
     failed = read.files.where("damaged or error is not null").select(F.col("path").alias("file_path"), F.when(F.col("damaged"), "source-malformed").otherwise("source-unreadable").alias("reason"), F.when(F.col("damaged"), "damaged record").otherwise(F.col("error")).alias("message"))
-    failed = cut(failed.where("message <> 'gone'"), "failed")
+    failed = failed.where("message <> 'gone'").join(decided.select(F.col("path").alias("file_path")), "file_path", "left_anti").select("file_path", "reason", "message")
     late = waiting.select(F.col("path").alias("file_path"), F.lit("source-changing").alias("reason"), F.lit("the file changed between two readings").alias("message"))
     dropped = read.drops.groupBy("path").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("drop_reason", "count"))))).alias("message")).select(F.col("path").alias("file_path"), F.lit("records-dropped").alias("reason"), "message")
     told = decided.where("message is not null").select(F.col("path").alias("file_path"), "reason", "message")
-    flags = decided.agg(F.max("usage_changed").alias("usage"), F.count_if(F.col("decision").isin("reject", "broken", "moved")).alias("bad")).head()
+    flags = decided.agg(F.max("usage_changed").alias("usage"), F.count_if(F.col("decision").isin("reject", *(("broken", "moved") if rebuild else ()))).alias("bad")).head()
     complete = failed.isEmpty() and waiting.isEmpty() and not flags["bad"]
     return Outcome(touched, tables, told.unionByName(failed).unionByName(late).unionByName(dropped), complete, bool(flags["usage"]))
 
@@ -272,7 +274,7 @@ def _fold_rows(files: DataFrame, events: DataFrame, tables: dict[str, DataFrame]
     n_held = held.groupBy("rollout_id").agg(F.count("*").alias("n"))
     counted = files.where("kind in ('copy', 'seed')").join(events.groupBy("path").agg(F.count("*").alias("n")), "path", "left").select("path", "id", F.coalesce("n", F.lit(0)).alias("n"))
     counted = cut(counted, "counted")
-    lengths = cut(counted.select(F.col("id").alias("rollout_id"), "n").unionByName(n_held.select("rollout_id", "n")).where("n > 0").distinct(), "lengths")
+    lengths = counted.select(F.col("id").alias("rollout_id"), "n").unionByName(n_held.select("rollout_id", "n")).where("n > 0").distinct()
     of_files = copies.prints(events.join(counted.select("path"), "path", "left_semi"), "path", counted.select("path", F.col("id").alias("rollout_id")).join(lengths, "rollout_id").select("path", "n"))
     of_ledger = copies.prints(held, "rollout_id", lengths)
     attrs = F.struct(*canonical.ATTRIBUTES)
@@ -313,20 +315,22 @@ def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int,
     """
     spark = read.files.sparkSession
     again = again or (lambda paths: read_files(listed_now(spark, paths)))
-    files = cut(_known(read.files, tables).where("kind is not null").withColumn("sure", F.lit(False)), "known")
-    taken_ids = tables["rollouts"].select(F.col("rollout_id").alias("id")).unionByName(tables["source_files"].select(F.col("rollout_id").alias("id"))).where("id is not null").distinct()
-    single = files.groupBy("id").agg(F.count("*").alias("c"), F.max("kind").alias("k")).where("c = 1 and k = 'copy'").select("id").join(taken_ids, "id", "left_anti")
-    fresh = files.join(single, "id", "left_semi").where("stored_id is null")
-    alone = fresh.select(F.col("id").alias("rollout_id"), "path", F.lit("promote").alias("decision"), F.lit("canonical").alias("status"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("taken"), F.lit(False).alias("free"), F.lit(None).cast("string").alias("needs"), F.lit(True).alias("usage_changed"))
-    open_, events = cut(files.join(fresh.select("path"), "path", "left_anti"), "open"), read.events
-    done, waiting = [cut(alone, "alone")], None
+    known = _known(read.files, tables).where("kind is not null").withColumn("sure", F.lit(False))
+    there = tables["rollouts"].select(F.col("rollout_id").alias("id")).unionByName(tables["source_files"].select(F.col("rollout_id").alias("id"))).where("id is not null").distinct()
+    several = known.groupBy("id").agg(F.count("*").alias("_files")).join(there.withColumn("_there", F.lit(True)), "id", "left")
+    lone = (F.col("_files") == 1) & F.col("_there").isNull() & (F.col("kind") == "copy") & F.col("stored_id").isNull()
+    files = cut(known.join(several, "id").withColumn("lone", lone).drop("_files", "_there"), "known")
+    alone = files.where("lone").select(F.col("id").alias("rollout_id"), "path", F.lit("promote").alias("decision"), F.lit("canonical").alias("status"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("taken"), F.lit(False).alias("free"), F.lit(None).cast("string").alias("needs"), F.lit(True).alias("usage_changed"))
+    open_, events = files.where("not lone").drop("lone"), read.events
+    files = files.drop("lone")
+    done, waiting = [alone], None
     every = files
     for _ in range(REREADINGS):
         if open_.isEmpty():
             break
         got = cut(copies.fold(_fold_rows(open_, events, tables), rebuild), "decided")
         done.append(got.where("needs is null"))
-        asked = cut(got.where("needs is not null").select("path", "needs", F.col("rollout_id").alias("_id")), "asked")
+        asked = got.where("needs is not null").select("path", "needs", F.col("rollout_id").alias("_id"))
         waiting = asked.select("path")
         if asked.isEmpty():
             break
@@ -345,15 +349,15 @@ def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int,
         open_ = cut(open_.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*open_.columns)), "open")
         every = cut(every.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*every.columns)), "every")
         events = cut(events.join(asked.select("path"), "path", "left_anti").unionByName(second.events), "events")
-        waiting = cut(unsettled.select("path").unionByName(asked.select("path").join(second.files.select("path"), "path", "left_anti")), "waiting")
+        waiting = unsettled.select("path").unionByName(asked.select("path").join(second.files.select("path"), "path", "left_anti"))
     decided = done[0]
     for d in done[1:]:
         decided = decided.unionByName(d)
-    decided = cut(decided, "decided")
     waiting = waiting if waiting is not None else files.select("path").where("false")
     tables = written(tables, every, events, read, decided, now)
     later = every.join(decided.where("free or decision = 'rekey'").select("path"), "path", "left_semi")
     if not later.isEmpty():
+        tables = {n: cut(t, n) for n, t in tables.items()}
         renamed = not decided.where("decision = 'rekey'").isEmpty()
         columns = read.files.columns
         tables, more, wait = decide(tables, Parsed(later.select(*columns), events, read.drops), rebuild and renamed, now, again)
@@ -398,7 +402,7 @@ def written(tables: dict[str, DataFrame], files: DataFrame, events: DataFrame, r
     rollouts = rollouts.join(place, "rollout_id", "left").withColumn("canonical_source_path", F.coalesce("_path", "canonical_source_path")).select(*tables["rollouts"].columns)
     held = mutations.replace_events(held, events.join(taken.select("path"), "path", "left_semi").select(*schema.struct(schema.EVENTS).fieldNames()), taken)
     checkpoints = mutations.upsert_checkpoints(checkpoints.join(place.select("rollout_id"), "rollout_id", "left_anti").select(*checkpoints.columns), checkpoint_rows(taken))
-    return {n: cut(t, n) for n, t in zip(BUCKETED, (rollouts, held, sources, checkpoints), strict=True)}
+    return dict(zip(BUCKETED, (rollouts, held, cut(sources, "source_files"), checkpoints), strict=True))
 
 
 def checkpoint_rows(taken: DataFrame) -> DataFrame:
