@@ -66,6 +66,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _users_number() -> Column:
+    """The user's number in a rollout's id."""
+    return F.substring("rollout_id", 2, 20).cast("long")
+
+
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.with_costs(views.usage_events(spark, sf_dir))
 

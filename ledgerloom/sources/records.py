@@ -134,6 +134,17 @@ def _oversized(raw: bytes) -> str:
     return "oversized_opaque" if opaque else "oversized_unclassified"
 
 
+def oversize_classes(lines: DataFrame) -> DataFrame:
+    """(path, line, raw) with the class that each record has when it is too long to be taken in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_oversized(raw) for raw in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line"), pa.array(found, pa.string())], names=["path", "line", "class"])
+
+    return lines.select("path", F.col("line").cast("long").alias("line"), F.col("raw").cast("binary").alias("raw")).mapInArrow(run, "path string, line long, class string")
+
+
 def flat(path: str, line: int, raw: bytes) -> dict:
     """One record as a row of schema.RECORDS."""
     kind, root = classified(raw)
