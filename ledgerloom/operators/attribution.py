@@ -6,12 +6,16 @@ at which a gate opens. Windows are partitioned by file, so files are independent
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import timestamp_epoch_ms, uuid_v7_epoch_ms
 from ledgerloom.sources.records import metadata
 
+from . import resume
+
 EVENT_COLUMNS = (
     "path", "conversation_id", "rollout_id", "parent_thread_id", "thread_type", "agent_role", "agent_path", "agent_nickname", "timestamp", "timestamp_epoch_ms",
     "token_event_ordinal", "turn_id", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "cumulative_snapshot", "event_signature",
@@ -76,12 +80,16 @@ def with_turns(lines: DataFrame) -> DataFrame:
     flag = F.when(F.coalesce(setting, F.lit(False)) & (F.col("current_turn") != ""), True).when(F.col("_done") | F.coalesce(task, F.lit(False)) | (F.coalesce(context, F.lit(False)) & (F.col("turn_id") != before)), False)
     lines = lines.withColumn("_flag", flag)
     lines = lines.withColumn("overridden", F.coalesce(_last(F.col("_flag")), F.lit(False))).withColumn("current_model", F.coalesce(_last(F.when(setting, F.col("settings_model"))), F.lit("unknown")))
-    return lines.drop("_set", "_last_set", "_done", "_flag")
+    return lines.withColumnRenamed("_set", "last_set").drop("_last_set", "_done", "_flag")
+
+def _stated() -> tuple[Column, Column]:
+    """The turn and the model that a line states."""
+    context = F.col("open") & (F.col("kind") == "turn_context") & F.col("turn_id").isNotNull() & F.col("model").isNotNull()
+    return F.coalesce("confirmed_turn", F.when(context, F.col("turn_id"))), F.coalesce("confirmed_model", F.when(context, F.col("model")))
 
 def turn_models(lines: DataFrame) -> DataFrame:
     """path, turn_id, turn_model: the model last stated for each turn, over the whole file."""
-    context = F.col("open") & (F.col("kind") == "turn_context") & F.col("turn_id").isNotNull() & F.col("model").isNotNull()
-    turn, model = F.coalesce("confirmed_turn", F.when(context, F.col("turn_id"))), F.coalesce("confirmed_model", F.when(context, F.col("model")))
+    turn, model = _stated()
     stated = lines.select("path", "line", turn.alias("candidate_turn"), model.alias("model")).where("candidate_turn is not null and model is not null")
     return stated.groupBy("path", "candidate_turn").agg(F.max_by("model", "line").alias("turn_model"))
 
@@ -110,24 +118,30 @@ def attributed(counts: DataFrame, models: DataFrame) -> DataFrame:
     active = F.col("overridden") & (F.col("candidate_turn") == F.col("current_turn")) & known
     events = kept.join(models, ["path", "candidate_turn"], "left")
     events = events.withColumn("final_model", F.when(active, F.col("current_model")).otherwise(F.coalesce("turn_model", F.when(known, F.col("current_model")), F.lit("unknown"))))
-    events = events.withColumn("provisional", ~active & F.col("turn_model").isNull() & known & (F.col("candidate_turn") != ""))
+    events = events.withColumn("active", active).withColumn("provisional", ~active & F.col("turn_model").isNull() & known & (F.col("candidate_turn") != ""))
     u = F.col("usage")
     signature = F.to_json(F.array(*[x.cast("string") for x in (F.col("ts"), F.col("candidate_turn"), u["input"], u["cached"], u["output"], u["reasoning"], F.col("cumulative_snapshot"))]))
     columns = {
         "timestamp": F.col("ts"), "timestamp_epoch_ms": timestamp_epoch_ms(F.col("ts")), "token_event_ordinal": (F.row_number().over(_lines()) - 1).cast("long"), "turn_id": F.col("candidate_turn"),
         "model": F.col("final_model"), "input_tokens": u["input"], "cached_input_tokens": u["cached"], "output_tokens": u["output"], "reasoning_output_tokens": u["reasoning"], "event_signature": signature,
     }
-    return events.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in EVENT_COLUMNS], "provisional")
+    return events.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in EVENT_COLUMNS], "provisional", "active")
+
+def _with_statements(lines: DataFrame) -> DataFrame:
+    turn, model = _stated()
+    both = turn.isNotNull() & model.isNotNull()
+    return lines.withColumn("stated_turn", F.when(both, turn)).withColumn("stated_model", F.when(both, model))
 
-def parse(rows: DataFrame) -> dict[str, DataFrame]:
-    """events, metadata, drops (path, drop_reason, count) and turns (path, turn_id, unresolved, provisional) of records."""
+def parse(rows: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """events, metadata, drops (path, drop_reason, count), turns (path, turn_id, unresolved, provisional) of records, and
+    the state (path, state) that appended records go on from. keep: may write the lines, which all of these read."""
     meta = metadata(rows)
-    lines = with_turns(gated(rows, meta))
+    lines = keep(with_turns(gated(rows, meta)))
     counts = candidates(lines)
     events = attributed(counts, turn_models(lines))
     open_turns = events.where((F.col("model") == "unknown") | F.col("provisional")).groupBy("path", "turn_id")
     return {
-        "metadata": meta, "events": events.drop("provisional"),
+        "metadata": meta, "events": events.drop("provisional", "active"), "states": resume.states(_with_statements(lines), counts, events, meta),
         "drops": counts.where("drop_reason is not null").groupBy("path", "drop_reason").count(),
         "turns": open_turns.agg(F.max(F.col("model") == "unknown").alias("unresolved"), F.max("provisional").alias("provisional")),
     }

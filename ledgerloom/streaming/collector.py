@@ -13,12 +13,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ledgerloom import schema
 from ledgerloom.functions.text import fallback_rollout_id, is_uuid_v7, legacy_rollout_id
-from ledgerloom.operators import attribution, canonical, copies, mutations
+from ledgerloom.operators import attribution, canonical, copies, mutations, resume
 from ledgerloom.operators.threads import unknown_model_sources
 from ledgerloom.sources import logs, records
 from ledgerloom.sources.ledger import BUCKETED, Ledger
@@ -29,8 +28,6 @@ from .growing_files import FACTS, GrowingFiles
 
 #: A stored revision of the parsing rules; a ledger with another one is rebuilt from all files.
 PARSER_REVISION = 1
-#: Folders of the stream's store of records, by a hash of the path: a batch reads those of its files.
-STORE_BUCKETS = 64
 #: Times that files are read again before a session that keeps changing waits for the next inventory.
 REREADINGS = 4
 #: A report of the same file and message is not repeated within this time.
@@ -67,20 +64,21 @@ class Parsed:
     files: DataFrame
     events: DataFrame
     drops: DataFrame
+    states: DataFrame
 
 
 def parsed(rows: DataFrame, facts: DataFrame) -> Parsed:
     """Attributes and events of the records of files; a file with one damaged record gives none."""
     harmless = F.col("class").isin("oversized_opaque", "null_padding")
     classes = rows.groupBy("path").agg(F.max(~F.col("class").isin(schema.OBJECT, *schema.HARMLESS)).alias("damaged"), F.count_if(harmless).alias("skipped"), F.count_if(F.col("class") == "oversized_opaque").alias("large"))
-    found = attribution.parse(rows.join(classes.where("damaged"), "path", "left_anti"))
+    found = attribution.parse(rows.join(classes.where("damaged"), "path", "left_anti"), lambda lines: cut(lines, "lines"))
     # a file without a complete record still is a session, by its name
     blank = facts.join(rows.select("path").distinct(), "path", "left_anti").where("error is null").select("path", F.lit(False).alias("damaged"), F.lit(0).alias("skipped"), F.lit(0).alias("large"))
     partial = F.when(F.col("skipped") > 0, F.concat(F.lit("skipped "), F.col("large"), F.lit(" oversized and "), F.col("skipped") - F.col("large"), F.lit(" padding records")))
     files = facts.join(classes.unionByName(blank), "path", "left").withColumn("damaged", F.coalesce("damaged", F.lit(False))).withColumn("partial", partial).drop("skipped", "large")
     with ThreadPoolExecutor(2) as pool:
         done = list(pool.map(lambda x: cut(*x), [(files.join(found["metadata"], "path", "left"), "files"), (found["events"], "events")]))
-    return Parsed(*done, found["drops"])
+    return Parsed(*done, found["drops"], found["states"])
 
 
 def read_files(files: DataFrame) -> Parsed:
@@ -323,7 +321,7 @@ def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int,
     alone = files.where("lone").select(F.col("id").alias("rollout_id"), "path", F.lit("promote").alias("decision"), F.lit("canonical").alias("status"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("taken"), F.lit(False).alias("free"), F.lit(None).cast("string").alias("needs"), F.lit(True).alias("usage_changed"))
     open_, events = files.where("not lone").drop("lone"), read.events
     files = files.drop("lone")
-    done, waiting = [alone], None
+    done, waiting, states = [alone], None, read.states
     every = files
     for _ in range(REREADINGS):
         if open_.isEmpty():
@@ -346,6 +344,7 @@ def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int,
         kind = F.when((F.col("needs") == "seed") & F.col("_read").isNull(), "seed").otherwise(F.col("kind"))
         kept = kept.join(was_read, "path", "left").withColumn("kind", kind).withColumn("id", F.when(F.col("kind").isin("seed", "copy"), F.col("rollout_id")).otherwise(F.col("id"))).withColumn("sure", F.lit(True))
         unsettled = fresh_rows.select("path", "_id").join(kept.select("path"), "path", "left_anti")
+        states = states.join(asked.select("path"), "path", "left_anti").unionByName(second.states)
         open_ = cut(open_.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*open_.columns)), "open")
         every = cut(every.join(asked.select("path"), "path", "left_anti").unionByName(kept.select(*every.columns)), "every")
         events = cut(events.join(asked.select("path"), "path", "left_anti").unionByName(second.events), "events")
@@ -354,18 +353,18 @@ def decide(tables: dict[str, DataFrame], read: Parsed, rebuild: bool, now: int,
     for d in done[1:]:
         decided = decided.unionByName(d)
     waiting = waiting if waiting is not None else files.select("path").where("false")
-    tables = written(tables, every, events, read, decided, now)
+    tables = written(tables, every, events, states, read, decided, now)
     later = every.join(decided.where("free or decision = 'rekey'").select("path"), "path", "left_semi")
     if not later.isEmpty():
         tables = {n: cut(t, n) for n, t in tables.items()}
         renamed = not decided.where("decision = 'rekey'").isEmpty()
         columns = read.files.columns
-        tables, more, wait = decide(tables, Parsed(later.select(*columns), events, read.drops), rebuild and renamed, now, again)
+        tables, more, wait = decide(tables, Parsed(later.select(*columns), events, read.drops, states), rebuild and renamed, now, again)
         decided, waiting = decided.unionByName(more), waiting.unionByName(wait)
     return tables, decided, waiting
 
 
-def written(tables: dict[str, DataFrame], files: DataFrame, events: DataFrame, read: Parsed, decided: DataFrame, now: int) -> dict[str, DataFrame]:
+def written(tables: dict[str, DataFrame], files: DataFrame, events: DataFrame, states: DataFrame, read: Parsed, decided: DataFrame, now: int) -> dict[str, DataFrame]:
     """The tables after the decisions."""
     rollouts, held, sources, checkpoints = (tables[t] for t in BUCKETED)
     # legacy ids take their new names everywhere
@@ -401,13 +400,13 @@ def written(tables: dict[str, DataFrame], files: DataFrame, events: DataFrame, r
     place = taken.select("rollout_id", F.col("path").alias("_path"))
     rollouts = rollouts.join(place, "rollout_id", "left").withColumn("canonical_source_path", F.coalesce("_path", "canonical_source_path")).select(*tables["rollouts"].columns)
     held = mutations.replace_events(held, events.join(taken.select("path"), "path", "left_semi").select(*schema.struct(schema.EVENTS).fieldNames()), taken)
-    checkpoints = mutations.upsert_checkpoints(checkpoints.join(place.select("rollout_id"), "rollout_id", "left_anti").select(*checkpoints.columns), checkpoint_rows(taken))
+    checkpoints = mutations.upsert_checkpoints(checkpoints.join(place.select("rollout_id"), "rollout_id", "left_anti").select(*checkpoints.columns), checkpoint_rows(taken.join(states, "path", "left")))
     return dict(zip(BUCKETED, (rollouts, held, cut(sources, "source_files"), checkpoints), strict=True))
 
 
 def checkpoint_rows(taken: DataFrame) -> DataFrame:
-    """How far each canonical file was read."""
-    state = F.to_json(F.struct("conversation_id", "rollout_id", "thread_type", "last_activity_epoch_ms"))
+    """How far each canonical file was read, and the state that appended records go on from, if there is one."""
+    state = F.col("state")
     return taken.select(
         F.col("path").alias("file_path"), "rollout_id", F.lit(1).alias("format_revision"), F.lit(PARSER_REVISION).alias("parser_revision"), F.concat_ws("|", "path", "size_bytes", "modified_at_epoch_ms").alias("source_identity"), F.col("size_bytes").alias("observed_size"),
         F.col("modified_at_epoch_ms").alias("observed_modified_ms"), F.col("stable_length").alias("stable_offset"), "boundary_hash", state.alias("state_json"), F.sha2(state, 256).alias("state_hash"),
@@ -438,40 +437,66 @@ def typed(lines: DataFrame) -> DataFrame:
 class LiveLedger:
     """Takes micro-batches of appended lines into a ledger.
 
-    Only appended bytes are read from the logs. Their records, small next to the logs, are kept by batch and by a hash
-    of the path; sessions that a batch touches are attributed again from their records, so a model that is stated late
-    changes the earlier events it belongs to, and a rewritten file starts anew. Copies of a session, damaged and removed
-    files go through the same decisions as in an inventory, and what these want confirmed is read again. A batch writes
-    the buckets of its sessions alone; one that comes twice overwrites itself. changed: called with the ledger's revision
-    after a batch that queries can see.
+    Lines appended to a canonical file go on from the state in its checkpoint: neither the file nor its earlier events are
+    read. New, rewritten, copied and damaged files, and those where appended records change earlier events (a model that is
+    stated late), are read as a whole and go through the same decisions as in an inventory; what these want confirmed is
+    read again. Files that are gone are marked. A batch writes the buckets of its sessions alone; lines of one that comes
+    twice lie before the checkpoints and are left out. changed: called with the ledger's revision after a batch that
+    queries can see.
     """
 
-    def __init__(self, ledger: Ledger, store: str, changed: Callable[[int], None] | None = None):
-        assert_writable(store, *ledger.protected, spark=ledger.spark)
-        self.ledger, self.store, self.spark, self.changed, self.run = ledger, store.rstrip("/"), ledger.spark, changed, uuid.uuid4().hex
+    def __init__(self, ledger: Ledger, changed: Callable[[int], None] | None = None):
+        self.ledger, self.spark, self.changed, self.run = ledger, ledger.spark, changed, uuid.uuid4().hex
 
     def __call__(self, lines: DataFrame, batch: int) -> None:
-        lines, bucket = cut(lines, "tail"), F.pmod(F.hash("path"), F.lit(STORE_BUCKETS)).alias("bucket")
-        now = int(time.time() * 1000)
+        lines, now = cut(lines, "tail"), int(time.time() * 1000)
         gone = cut(lines.where("offset = -2").select(F.col("path").alias("file_path")), "gone")
-        typed(lines).select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.store}/records/batch={batch}")
-        touched = lines.where("offset <> -2").groupBy("path").agg(F.max("reset").alias("reset"))
-        touched.write.mode("overwrite").parquet(f"{self.store}/touched/batch={batch}")
-        history = self.spark.read.schema("path string, reset boolean, batch int").parquet(f"{self.store}/touched")
-        since = history.where("reset").groupBy("path").agg(F.max("batch").alias("since"))
-        mine = touched.select("path").join(since, "path", "left")
-        buckets = [r[0] for r in touched.select(bucket).distinct().collect()]  # STORE_BUCKETS at most
-        stored = self.spark.read.schema(T.StructType([*schema.RECORDS.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])).parquet(f"{self.store}/records")
-        kept = stored.where(F.col("bucket").isin(buckets)).join(mine, "path").where("since is null or batch >= since").drop("since", "batch", "bucket")
-        shots = lines.where("offset = -1").select("path", F.from_json(F.col("raw").cast("string"), FACTS).alias("f")).select("path", "f.*", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("error"))
-        outcome = apply(self.ledger, parsed(kept, shots) if buckets else None, gone, False, now)
+        appended = self._appended(lines)
+        rest = lines.where("offset <> -2").select("path").distinct().join(appended.where("whole is null and token_event_ordinal is null").select("path"), "path", "left_anti")
+        if not self.ledger.revision:
+            rest = lines.where("offset <> -2").select("path").distinct()
+        files = listed_now(self.spark, rest)
+        outcome = apply(self.ledger, None if files.isEmpty() else read_files(files), gone, False, now)
+        touched, tables, usage = self._append(lines, appended, outcome, now)
         state = self.spark.createDataFrame([("last_batch", str(batch), now)], schema.STATE)
-        changed = outcome.tables | {"collector_state": advanced(self.ledger.read("collector_state"), state, outcome.usage_changed, now), "collector_runs": self._runs(now)}
+        changed = tables | {"collector_state": advanced(self.ledger.read("collector_state"), state, usage, now), "collector_runs": self._runs(now)}
         told = reports(outcome.reports, self.ledger.read("collector_diagnostics"), now, self.run)
-        self.ledger.commit(touched=outcome.touched, appended={"collector_diagnostics": told}, **changed)
-        if outcome.usage_changed and self.changed:
+        self.ledger.commit(touched=touched, appended={"collector_diagnostics": told}, **changed)
+        if usage and self.changed:
             self.changed(self.ledger.revision)
 
+    def _appended(self, lines: DataFrame) -> DataFrame:
+        """resume.RESUMED of the files that can go on from their checkpoint's end."""
+        points = self.ledger.read("rollout_checkpoints").where(f"state_json is not null and parser_revision = {PARSER_REVISION}").select(F.col("file_path").alias("path"), "stable_offset", F.col("state_json").alias("state"))
+        batch = lines.groupBy("path").agg(F.max("reset").alias("reset"), F.min(F.when(F.col("offset") >= 0, F.col("offset"))).alias("first"))
+        held = cut(batch.where("not reset").join(points, "path").where("first <= stable_offset"), "held")
+        new = lines.join(held.select("path", "stable_offset"), "path").where("offset >= stable_offset").select(*lines.columns)
+        found = resume.resumed(typed(new), held)
+        return cut(found, "appended")
+
+    def _append(self, lines: DataFrame, appended: DataFrame, outcome: Outcome, now: int) -> tuple[list[int], dict[str, DataFrame], bool]:
+        """The outcome's tables with the appended events, and their files' facts, activity and checkpoints."""
+        ends = appended.where("token_event_ordinal is null and whole is null").select("path", "state", "activity")
+        if ends.isEmpty():
+            return outcome.touched, outcome.tables, outcome.usage_changed
+        sources = self.ledger.read("source_files")
+        ids = sources.select(F.col("file_path").alias("path"), "rollout_id").join(ends, "path")
+        shots = lines.where("offset = -1").select("path", F.from_json(F.col("raw").cast("string"), FACTS).alias("f")).select("path", "f.*")
+        ends = cut(ids.join(shots, "path"), "ends")
+        own = sorted(r[0] for r in ends.select(self.ledger.bucket(F.col("rollout_id"))).distinct().collect())  # one number a bucket
+        more = [b for b in own if b not in outcome.touched]
+        tables = {n: outcome.tables[n].unionByName(self.ledger.read(n, buckets=more)) for n in BUCKETED}
+        events = appended.where("token_event_ordinal is not null").join(ends.select("path", "rollout_id"), "path").select(*schema.struct(schema.EVENTS).fieldNames())
+        tables["usage_events"], counts = mutations.append_events(tables["usage_events"], events)
+        listed = ends.select(F.col("path").alias("file_path"), "size_bytes", "modified_at_epoch_ms", F.col("stable_length").alias("byte_offset"), F.col("boundary_hash").alias("prefix_hash"), F.lit(now).cast("long").alias("last_scanned_at_epoch_ms"))
+        s = tables["source_files"].join(listed.withColumnsRenamed({c: f"_{c}" for c in listed.columns if c != "file_path"}), "file_path", "left")
+        tables["source_files"] = s.select(*[F.coalesce(f"_{c}", c).alias(c) if c in listed.columns and c != "file_path" else F.col(c) for c in sources.columns])
+        r = tables["rollouts"].join(ends.select("rollout_id", "activity"), "rollout_id", "left")
+        columns = tables["rollouts"].columns
+        tables["rollouts"] = r.withColumn("last_activity_epoch_ms", F.greatest("last_activity_epoch_ms", F.coalesce("activity", F.lit(0)))).withColumn("updated_at_epoch_ms", F.when(F.col("activity").isNotNull(), F.lit(now)).otherwise(F.col("updated_at_epoch_ms"))).select(*columns)
+        tables["rollout_checkpoints"] = mutations.upsert_checkpoints(tables["rollout_checkpoints"], checkpoint_rows(ends))
+        return sorted([*outcome.touched, *more]), tables, outcome.usage_changed or counts.head()["inserted"] > 0
+
     def _runs(self, now: int) -> DataFrame:
         """The runs with a sign of life of this stream's."""
         runs = self.ledger.read("collector_runs")

@@ -187,7 +187,7 @@ def test_titles_come_with_an_inventory(spark, logs, book, tmp_path, monkeypatch)
 
 
 def test_copies_in_the_stream_are_decided(spark, logs, book, tmp_path):
-    live = collector.LiveLedger(book, f"file://{tmp_path}/store")
+    live = collector.LiveLedger(book)
     once = lambda: live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", once=True).awaitTermination(100)
     for d in ("a", "b"):
         write(logs / d / "rollout-x-1.jsonl", meta(id="r1"), count(1), count(2), count(3))
@@ -244,7 +244,7 @@ def run(live, logs, tmp_path):
 def test_stream_follows_growing_files(spark, logs, book, tmp_path):
     path = logs / "rollout-x-1.jsonl"
     write(path, meta(id="r1"), rec("event_msg", type="task_started", turn_id="t"), count(1), tail=count(2)[:20])
-    live = collector.LiveLedger(book, f"file://{tmp_path}/store")
+    live = collector.LiveLedger(book)
 
     def until(want):
         query = live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", every="0 seconds")
@@ -298,7 +298,7 @@ def test_reader_reads_only_what_was_appended(logs):
 def test_many_files_at_once_and_after_a_restart(spark, logs, book, tmp_path):
     for i in range(40):
         write(logs / f"rollout-y-{i:02d}.jsonl", meta(id=f"r{i:02d}"), count(1))
-    live, reader = collector.LiveLedger(book, f"file://{tmp_path}/store"), GrowingFilesReader([str(logs)], 16)
+    live, reader = collector.LiveLedger(book), GrowingFilesReader([str(logs)], 16)
     first = reader.latestOffset()
     assert len(reader.partitions(reader.initialOffset(), first)) == 40
     live.start(str(logs), checkpoint=f"file://{tmp_path}/checkpoint", once=True).awaitTermination(100)
