@@ -286,10 +286,10 @@ def _trained(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> tu
     rows = _narrow(docs).withColumn("has_text", F.col("_text_").isNotNull().cast("int"))
     sample = rows.where("has_text = 1").join(F.broadcast(some), "doc_id")  # at most MOST_LABELLED ids
     once = _feature_rows(sample, targets).groupBy("doc_id").agg(F.min(F.struct(*targets, "content", "page")).alias("x")).select("doc_id", "x.*")
-    found = once.toPandas()  # a row an id, however many rows have it
-    found = found.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in found["doc_id"]], kind="stable")]
-    views = [[np.asarray(x, np.int32) for x in found.pop(v)] for v in ("content", "page")]
-    trainings = {t: Training(views, found[t].to_numpy(float).astype(int)) for t in targets}
+    found = once.toArrow()  # a row an id, however many rows have it
+    order = np.argsort([zlib.crc32(str(i).encode()) for i in found.column("doc_id").to_pylist()], kind="stable")
+    views = [[x[i] for i in order.tolist()] for x in (_lists(found, v) for v in ("content", "page"))]
+    trainings = {t: Training(views, found.column(t).to_numpy()[order].astype(int)) for t in targets}
     del views, found
     teaching = [t for t in trainings.values() if t.two_classes]
     chosen = [np.unique(np.concatenate([np.zeros(0, np.int64), *(t.chosen[i] for t in teaching)])) for i in (0, 1)]
@@ -298,6 +298,15 @@ def _trained(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> tu
     return {t: training.classifier() for t, training in trainings.items()}, features
 
 
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    """The lists of a column as slices of one flat array."""
+    out = []
+    for chunk in table.column(name).chunks:
+        offsets, flat = np.asarray(chunk.offsets), chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return out
+
+
 def _feature_rows(rows: DataFrame, more: tuple[str, ...], chosen: list[np.ndarray] | None = None) -> DataFrame:
     """doc_id, the columns `more` (int), content and page (features) of _narrow's rows; of chosen features only, if given."""
     keep = None
@@ -347,8 +356,8 @@ def _teach(trainings: list[Training], features: DataFrame, known: DataFrame) ->
         if not ids:
             break
         wanted = pool.sparkSession.createDataFrame([(d,) for d in ids], "doc_id long")
-        got = pool.join(F.broadcast(wanted), "doc_id").toPandas()  # at most 4 * MOST_GIVEN ids a target
-        lists = {d: (np.asarray(c, np.int32), np.asarray(p, np.int32)) for d, c, p in zip(got["doc_id"].tolist(), got["content"], got["page"], strict=True)}
+        got = pool.join(F.broadcast(wanted), "doc_id").toArrow()  # at most 4 * MOST_GIVEN ids a target
+        lists = dict(zip(got.column("doc_id").to_pylist(), zip(_lists(got, "content"), _lists(got, "page"), strict=True), strict=True))
         for k, view, label, some in taken:
             for d in some:
                 trainings[k].given[view].setdefault(d, (label, lists[d][view]))
