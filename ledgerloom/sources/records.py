@@ -238,6 +238,32 @@ def metadata(rows: DataFrame) -> DataFrame:
 # --- the index of session titles --------------------------------------------------------------------------------------
 
 
+#: A larger index of titles is not read.
+MOST_INDEX_BYTES = 64 << 20
+
+
+class UnstableIndex(Exception):
+    """The index of titles is too large, or changed while it was read."""
+
+
+def stable_titles(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """session_titles of an index that is the same before and after the reading, and the number of invalid records."""
+    from .logs import facts_of_file
+    from .staging import cut
+
+    try:
+        before = facts_of_file(path)
+    except OSError:
+        before = None
+    if before is not None and before[0] > MOST_INDEX_BYTES:
+        raise UnstableIndex(f"the index of titles has more than {MOST_INDEX_BYTES} bytes")
+    titles, invalid = session_titles(spark, path)
+    titles, bad = cut(titles, "titles"), invalid.head()[0]
+    if before is not None and facts_of_file(path) != before:
+        raise UnstableIndex("the index of titles changed while it was read")
+    return titles, bad
+
+
 def session_titles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(conversation_id, title) with the latest title of each conversation, of ties the later line; and the number of
     invalid records. Records over 1 MiB, without a version-7 id, a title or a timestamp are invalid; a missing index

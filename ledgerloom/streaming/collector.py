@@ -153,18 +153,17 @@ def _inventory(ledger: Ledger, roots: tuple[str, ...], rebuild: bool, first: boo
         changed |= outcome.tables | {"touched": outcome.touched}
         lost = lost.unionByName(outcome.reports)
         complete, usage = complete and outcome.complete, outcome.usage_changed
-    changed["appended"] = {"collector_diagnostics": reports(lost, ledger.read("collector_diagnostics"), now, run)}
     if titles is not None:
-        index, invalid = records.session_titles(spark, titles)
-        base = changed.get("rollouts")
-        if base is not None:  # titles may belong to any session
-            base = base.unionByName(ledger.read("rollouts").where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])))
-        named, different = mutations.synchronise_titles(base if base is not None else rollouts, index, authoritative=invalid.head()[0] == 0)
-        if different:
-            changed["rollouts"] = named
-            for name in BUCKETED[1:] if "touched" in changed else ():  # then all buckets are written
-                changed[name] = changed[name].unionByName(ledger.read(name).where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])))
-            changed.pop("touched", None)
+        try:
+            index, invalid = records.stable_titles(spark, titles)
+        except (records.UnstableIndex, OSError) as error:
+            complete, told = False, ("session-index-failed", str(error)[:500])
+        else:
+            told = ("session-index-invalid-records", f"{invalid} invalid records of the index of titles were left out") if invalid else None
+            _titled(ledger, changed, rollouts, index, invalid == 0)
+        if told:
+            lost = lost.unionByName(spark.createDataFrame([(titles, *told)], "file_path string, reason string, message string"))
+    changed["appended"] = {"collector_diagnostics": reports(lost, ledger.read("collector_diagnostics"), now, run)}
     after = changed.get("source_files")
     rest = sources if after is None else sources.where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"])) if "touched" in changed else sources.where("false")
     status = (rest if after is None else after.unionByName(rest)).where("is_present").agg(F.count_if(F.col("canonical_status") == "conflict").alias("conflicts"), F.count_if(F.col("last_error").startswith("skipped ")).alias("partial")).head()
@@ -178,6 +177,19 @@ def _inventory(ledger: Ledger, roots: tuple[str, ...], rebuild: bool, first: boo
     return changed
 
 
+def _titled(ledger: Ledger, changed: dict, rollouts: DataFrame, index: DataFrame, authoritative: bool) -> None:
+    """Puts titles into the rollouts that are to be committed: they may belong to any session, so all buckets are written
+    if any title differs."""
+    others = lambda t: ledger.read(t).where(~ledger.bucket(F.col("rollout_id")).isin(changed["touched"]))
+    base = changed["rollouts"].unionByName(others("rollouts")) if "touched" in changed else rollouts
+    named, different = mutations.synchronise_titles(base, index, authoritative)
+    if different:
+        for name in BUCKETED[1:] if "touched" in changed else ():
+            changed[name] = changed[name].unionByName(others(name))
+        changed["rollouts"] = named
+        changed.pop("touched", None)
+
+
 def advanced(state: DataFrame, new: DataFrame, usage_changed: bool, now: int) -> DataFrame:
     """The state with new values; the usage revision counts the changes that queries can show."""
     state = mutations.put_state(state, new)
