@@ -121,7 +121,7 @@ def test_trie_of_the_table(spark):
     assert rows_of(prefix_trie.trie(table)) == brute_trie([(r.conv_id, r.turn, r.role, r.text) for r in table.collect()])
 
 
-@pytest.mark.parametrize(("block", "local"), [(4_096, 1 << 17), (4_096, 6), (3, 1 << 17), (2, 4)])
+@pytest.mark.parametrize(("block", "local"), [(4_096, 6), (3, 4)])
 def test_trie_of_odd_conversations(spark, block, local):
     rng = random.Random(block + local)
     rows = [(None, 0, "user", "lost"), (-3, 0, "user", "a"), (-5, None, "user", "a"), (-5, 1, None, None), (7, 0, "u", ""), (7, 0, "u", ""), (8, None, None, "é漢")]
