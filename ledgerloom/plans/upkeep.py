@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions import presentation, text
-from ledgerloom.operators import attribution, canonical, copies, mutations
+from ledgerloom.operators import attribution, canonical, copies, mutations, resume
 from ledgerloom.sources import logs, records
-from ledgerloom.sources.staging import drop_at_exit, shared_folder
+from ledgerloom.sources.staging import cut, drop_at_exit, shared_folder
 from ledgerloom.streaming import collector
 
 from . import views
-from .catalogue import _STORED, WITH, _event_lines, _full_rollouts, _iso, _logs, _record, _users_number, query
+from .catalogue import _PARSED, _STORED, WITH, _event_lines, _full_rollouts, _iso, _logs, _parsed_sql, _record, _users_number, query
 
 _U = "CAST(substr(rollout_id, 2) AS BIGINT)"
 
@@ -94,6 +94,20 @@ def late_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.parse(records.typed(_open_lines(spark, sf_dir)))["events"].groupBy("model").agg(F.count("*").alias("events"))
 
 
+@query(_parsed_sql("true"))
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of each log is read as a whole, the second goes on from the state that it left."""
+    first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"))
+    rows = cut(records.typed(_logs(spark, sf_dir, first, _event_lines())), "appended-logs")
+    half = rows.groupBy("path").agg((F.floor(F.max("line") / 6) * 3).alias("half"))
+    marked = rows.join(half, "path")
+    before = attribution.parse(marked.where("line <= half").select(*rows.columns), lambda lines: cut(lines, "lines"))
+    after = resume.resumed(marked.where("line > half").select(*rows.columns), before["states"]).where("token_event_ordinal is not null")
+    columns = _PARSED[1:]
+    events = before["events"].select("path", *columns).unionByName(after.select("path", *columns))
+    return events.select(_rollout_of(F.col("path")).alias("rollout_id"), *columns)
+
+
 @query(f"{WITH} SELECT rollout_id, max(timestamp_epoch_ms) AS last_activity_epoch_ms FROM usage_events GROUP BY rollout_id")
 def last_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"))
