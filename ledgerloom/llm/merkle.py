@@ -8,6 +8,8 @@ roots and trees, and differing branches tell which section, paragraph and passag
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ PASSAGE = 32
 #: Ranges of ids that are ordered by themselves; bounds the rows that are broadcast to link neighbouring ranges.
 RANGES_FOR, MOST_RANGES = 2_000, 10_000
 _SECTION, _PARAGRAPH = r"(?<=\n)(?=[ \t\r]*\n)", r"(?<=\n)"
+#: A section's or paragraph's children begin after its 16 hex digits and mark.
+_HEAD = 18
 _PIECE = rf"(?s)[^.!?]{{1,{PASSAGE}}}[.!?]*|[.!?]+"
 
 
@@ -41,30 +45,116 @@ def root(tree: Column) -> Column:
     return F.substring_index(tree, "/", 1)
 
 
-def passages(tree: Column) -> Column:
-    """The passages' nodes of a fingerprint."""
-    return F.regexp_extract_all(tree, F.lit(r"(?<=[, ])[0-9a-f]{12}(?=[ ;|]|$)"), F.lit(0))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: what a lambda does not take as its argument is computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def paragraphs(tree: Column) -> Column:
-    return F.regexp_extract_all(tree, F.lit("([0-9a-f]{16}),"), F.lit(1))
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def sections(tree: Column) -> Column:
-    return F.regexp_extract_all(tree, F.lit("([0-9a-f]{16}):"), F.lit(1))
+def _hash(node: Column) -> Column:
+    return node["v"]
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the share of common passages (Dice coefficient of the sets of passages)."""
-    x, y = F.array_distinct(passages(a)), F.array_distinct(passages(b))
-    shared, both = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
-    return F.when(root(a) == root(b), 1.0).when(both == 0, 0.0).otherwise(2.0 * shared / both)
+def _below(v: Column, between: str) -> Column:
+    """The parts of the fingerprint of the nodes below a section's or a paragraph's."""
+    return F.filter(F.split(F.substr(v, F.lit(_HEAD)), between), lambda x: x != "")
+
+
+def _place(node: Column) -> Column:
+    return F.concat_ws(".", node["above"], node["i"].cast("string"))
+
+
+def _placed(parts: Column, above: Column) -> Column:
+    """Nodes (above, i, v) of these parts; above is their parent's place."""
+    return F.transform(parts, lambda v, i: F.struct(above.alias("above"), i.alias("i"), v.alias("v")))
+
+
+def _between(a: Column, b: Column, key: Callable[[Column], Column]) -> Column:
+    """(a, b) without the equal nodes at the front and at the back of both: what places alone prune."""
+    unequal = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: key(v).eqNullSafe(key(w))), False)
+    front = lambda x, y: _let(unequal(x, y), lambda at: F.when(at == 0, F.size(x)).otherwise(at.cast("int") - 1))
+    rest = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+    cut = lambda x, y: _let(front(x, y), lambda n: F.struct(F.reverse(rest(x, n)).alias("a"), F.reverse(rest(y, n)).alias("b")))
+    once = F.struct(a.alias("a"), b.alias("b"))
+    return _let(once, lambda x: _let(cut(x["a"], x["b"]), lambda y: cut(y["a"], y["b"])))
+
+
+def _lacking(x: Column, y: Column, key: Callable[[Column], Column]) -> Column:
+    """The nodes of x whose hash y lacks, repeats included."""
+    v = F.transform(x, key)
+    some = lambda d: F.when(F.size(d) == F.size(F.array_distinct(v)), x).when(F.size(d) == 0, F.slice(x, 1, 0)).otherwise(F.filter(x, lambda n: F.array_contains(d, key(n))))
+    return _let(F.array_except(v, F.transform(y, key)), some)
+
+
+def _moved(x: Column, y: Column) -> Column:
+    """Places of the nodes of x that y has too, in another order."""
+    both = F.struct(F.transform(x, _hash).alias("v"), F.transform(y, _hash).alias("w"))
+    shared = _let(both, lambda z: F.zip_with(F.array_intersect(z["v"], z["w"]), F.array_intersect(z["w"], z["v"]), lambda p, q: F.when(p != q, p)))
+    return _let(F.filter(shared, lambda p: p.isNotNull()), lambda m: F.when(F.size(m) == 0, _none()).otherwise(F.transform(F.filter(x, lambda n: F.array_contains(m, _hash(n))), _place)))
+
+
+def _opened(a: Column, b: Column, key: Callable[[Column], Column], moves: bool) -> Column:
+    """a, b: nodes of one level below branches that differ. Gives (a, b: those whose hash the other side lacks, which are
+    opened next) and, if asked, (a_moved, b_moved)."""
+    lacking = lambda m: [_lacking(m["a"], m["b"], key).alias("a"), _lacking(m["b"], m["a"], key).alias("b")]
+    moved = lambda m: [_moved(m["a"], m["b"]).alias("a_moved"), _moved(m["b"], m["a"]).alias("b_moved")] if moves else []
+    return _let(_between(a, b, key), lambda m: F.struct(*lacking(m), *moved(m)))
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of a whose node does not occur in b: where an edit happened."""
-    marked = F.transform(paragraphs(a), lambda p, i: F.when(F.array_contains(paragraphs(b), p), None).otherwise(i))
-    return F.filter(marked, lambda i: i.isNotNull())
+def _sections_of(tree: Column) -> Column:
+    return F.split(F.substring_index(tree, "/", -1), r"\|")
+
+
+def _likeness(a: Column, b: Column, opened: Column) -> Column:
+    """Dice coefficient over passages and root of unequal trees, of which these passages are in one tree only."""
+    n = _count(a) + _count(b)
+    return (n - F.size(opened["a"]) - F.size(opened["b"])) / (n + 2.0)
+
+
+def _count(tree: Column) -> Column:
+    """Number of passages: a section or paragraph takes 17 characters, a passage 13 with its separator, the root 65."""
+    inner = F.length(tree) - F.length(F.translate(tree, ":,", ""))
+    return F.floor((F.length(tree) - 64 - 17 * inner) / 13).cast("int")
+
+
+def compared(a: Column, b: Column) -> Column:
+    """Two fingerprints, compared from the root down: struct (likeness, a_branches, b_branches).
+
+    Equal roots end it. Else sections that differ are opened, then paragraphs of those, then passages of those; equal nodes
+    at the front and back of a level are passed over by their places, others by their hashes, and what hangs below an equal
+    node is never looked at. Branches are places, numbered from 0: `section`, `section.paragraph` or
+    `section.paragraph.passage`: the passages that the other text lacks, nodes that both have in another order, and opened
+    nodes without such a node below (the other text has more there); `root` where that holds for all sections. Likeness is
+    1 for equal roots, else the Dice coefficient over passages and root, so below 1: passages that are not among the
+    opened ones count as common.
+    """
+    places = lambda level, side: F.transform(level[side], _place)
+    told = lambda level, side: F.concat(places(level, side), level[f"{side}_moved"])
+    start = lambda t: _placed(_sections_of(t), F.lit(None).cast("string"))
+    children = lambda level, side, between: F.flatten(F.transform(level[side], lambda x: _let(_place(x), lambda at: _placed(_below(x["v"], between), at))))
+
+    def branches(side: str, s: Column, p: Column, q: Column) -> Column:
+        above = lambda level, n: F.transform(told(level, side), lambda at: F.substring_index(at, ".", n))
+        quiet = F.concat(F.array_except(places(s, side), above(p, 1)), F.array_except(places(p, side), above(q, 2)))
+        lone = F.when(F.size(told(s, side)) == 0, F.array(F.lit("root"))).otherwise(_none())
+        return F.concat(lone, quiet, s[f"{side}_moved"], p[f"{side}_moved"], told(q, side))
+
+    result = lambda s, p, q: F.struct(_likeness(a, b, q).alias("likeness"), branches("a", s, p, q).alias("a_branches"), branches("b", s, p, q).alias("b_branches"))
+    below = lambda level, between: _opened(children(level, "a", between), children(level, "b", between), _hash, True)
+    descend = _let(_opened(start(a), start(b), _hash, True), lambda s: _let(below(s, ";"), lambda p: _let(below(p, " "), lambda q: result(s, p, q))))
+    return F.when(root(a) == root(b), F.struct(F.lit(1.0).alias("likeness"), _none().alias("a_branches"), _none().alias("b_branches"))).otherwise(descend)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """compared()'s likeness by the same descent, without places."""
+    own = lambda v: v
+    children = lambda level, side, between: F.flatten(F.transform(level[side], lambda v: _below(v, between)))
+    below = lambda level, between: _opened(children(level, "a", between), children(level, "b", between), own, False)
+    descend = _let(_opened(_sections_of(a), _sections_of(b), own, False), lambda s: _let(below(s, ";"), lambda p: _let(below(p, " "), lambda q: _likeness(a, b, q))))
+    return F.when(root(a) == root(b), 1.0).otherwise(descend)
 
 
 def _lower_bounds(docs: DataFrame) -> list[int]:
@@ -113,7 +203,8 @@ def with_next(docs: DataFrame, value: dict[str, Column], ahead: list[str]) -> Da
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs, and
+    branches and edited_branches: where the text and the edited text differ (see compared; none for equal texts).
 
     The edited text has its last floor(n_chars/3) code points replaced by the first as many (or all) of the next
     document in descending doc_id order. Null texts are empty: an empty text is not edited, both likenesses to an
@@ -126,7 +217,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.col("text").substr(F.lit(1), n - cut), F.col("next_text").substr(F.lit(1), cut))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = rows.withColumn("edit", compared(F.col("fingerprint"), F.col("edited_fingerprint")))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.col("edit.likeness").alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.col("edit.a_branches").alias("branches"), F.col("edit.b_branches").alias("edited_branches"),
     )

@@ -11,6 +11,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -52,12 +53,87 @@ def test_likeness_follows_the_edit(spark):
     assert 0.55 < np.median([r.near_edited for r in rows]) < 0.8
 
 
-def test_tree_locates_edits(spark):
+def _tree(text):
+    """The fingerprint in plain Python, and its nodes: hash of each section, paragraph and passage by place."""
+    short = lambda x: format(xxhash.xxh64(x.encode(), seed=42).intdigest(), "016x")
+    nodes, bodies = {}, []
+    for i, section in enumerate(re.split(r"(?<=\n)(?=[ \t\r]*\n)", text)):
+        parts = []
+        for j, paragraph in enumerate(p for p in re.split(r"(?<=\n)", section) if p):
+            leaves = [short(x)[4:] for x in re.findall(r"(?s)[^.!?]{1,32}[.!?]*|[.!?]+", paragraph)]
+            nodes |= {(i, j, k): x for k, x in enumerate(leaves)}
+            parts.append(short(" ".join(leaves)) + "," + " ".join(leaves))
+            nodes[i, j] = parts[-1]
+        bodies.append(short(";".join(parts)) + ":" + ";".join(parts))
+        nodes[(i,)] = bodies[-1]
+    body = "|".join(bodies)
+    return hashlib.sha256(body.encode()).hexdigest() + "/" + body, nodes
+
+
+def _differing(a, b):
+    """Branches of a, and the numbers of passages that only a, only b has, from the nodes of two trees."""
+    opened, moved = [{()}, {()}], set()
+    for depth in (1, 2, 3):
+        own = [{n: h for n, h in sorted(t.items()) if len(n) == depth and n[:-1] in o} for t, o in zip((a, b), opened, strict=True)]
+        v, w = ([*x.values()] for x in own)
+        front = next((k for k, (x, y) in enumerate(zip(v, w, strict=False)) if x != y), min(len(v), len(w)))
+        back = next((k for k, (x, y) in enumerate(zip(v[front:][::-1], w[front:][::-1], strict=False)) if x != y), min(len(v), len(w)) - front)
+        own = [dict([*x.items()][front : len(x) - back]) for x in own]
+        v, w = ([*x.values()] for x in own)
+        only = [{n for n, h in x.items() if h not in other} for x, other in zip(own, (w, v), strict=True)]
+        out_of_order = {x for x, y in zip(dict.fromkeys(h for h in v if h in w), dict.fromkeys(h for h in w if h in v), strict=True) if x != y}
+        moved |= {n for n, h in own[0].items() if h in out_of_order}
+        opened = [o | x for o, x in zip(opened, only, strict=True)]
+    told = (opened[0] - {()}) | moved
+    branches = {n for n in told if len(n) == 3 or n in moved or not any(m != n and m[: len(n)] == n for m in told)}
+    return {".".join(map(str, n)) for n in branches} or {"root"}, *[sum(len(n) == 3 for n in o) for o in opened]
+
+
+def test_descent_agrees_with_a_plain_tree(spark):
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choice(["one two. ", "A longer sentence of many words stands here! ", "Why? ", "x"]) for _ in range(rng.randint(1, 5)))
+    section = lambda: "\n".join(line() for _ in range(rng.randint(1, 4)))
+    pairs = []
+    for _ in range(150):
+        parts = [section() for _ in range(rng.randint(1, 5))]
+        other = list(parts)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(other)) if other else 0
+            match rng.randrange(5):
+                case 0:
+                    rng.shuffle(other)
+                case 1:
+                    other.insert(k, section())
+                case 2:
+                    del other[k : k + 1]
+                case 3 if other:
+                    other[k] = "\n".join(rng.sample(other[k].split("\n"), len(other[k].split("\n"))))
+                case 4 if other:
+                    other[k] = other[k].replace("two", "2", 1) + line()
+        pairs.append(("\n\n".join(parts), "\n\n".join(other)))
+    pairs += [("", ""), ("", "a"), ("a b c\n\n", ""), ("First.\nSecond.\n", "Second.\nFirst.\n"), ("x. x. y.", "x. y."), (pairs[0][0], pairs[1][0])]
+    trees = spark.createDataFrame(pairs, "a string, b string").select("a", "b", merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y")).repartition(4)
+    rows = trees.select("*", merkle.compared(F.col("x"), F.col("y")).alias("c"), merkle.likeness(F.col("x"), F.col("y")).alias("like")).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        (x, a), (y, b) = _tree(r.a), _tree(r.b)
+        assert (r.x, r.y) == (x, y) and r.like == r.c.likeness
+        if x == y:
+            assert (r.like, r.c.a_branches, r.c.b_branches) == (1, [], [])
+            continue
+        want, only_a, only_b = _differing(a, b)
+        n = sum(len(m) == 3 for t in (a, b) for m in t)
+        assert sorted(r.c.a_branches) == sorted(want) and sorted(r.c.b_branches) == sorted(_differing(b, a)[0])
+        assert r.like == pytest.approx((n - only_a - only_b) / (n + 2)) and r.like < 1
+
+
+def test_descent_locates_edits(spark):
     a = "Intro line.\nSecond line here.\n\nNew section. More text.\nLast line."
-    b = a.replace("Second line here", "Second line there")
-    df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
-    r = df.select(merkle.edits(F.col("a"), F.col("b")).alias("at"), merkle.sections(F.col("a")).alias("s"), merkle.paragraphs(F.col("a")).alias("p"), (merkle.root(F.col("a")) == merkle.root(F.col("b"))).alias("same")).head()
-    assert r.at == [1] and len(r.s) == 2 and len(r.p) == 5 and not r.same
+    others = [a.replace("Second line here", "Second line there"), "Second line here.\nIntro line.\n\nNew section. More text.\nLast line.", a.replace("More", "Much more"), a.replace("\nLast line.", ""), "Added.\n\n" + a]
+    df = spark.createDataFrame([(i, a, b) for i, b in enumerate(others)], "i int, a string, b string")
+    rows = df.select("i", merkle.compared(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("c")).orderBy("i").collect()
+    assert [r.c.a_branches for r in rows] == [["0.1.0"], ["0.0", "0.1"], ["1.1.1"], ["1.1.2", "1.2.0"], ["0"]]
+    assert all(0 < r.c.likeness < 1 for r in rows)
 
 
 def test_fingerprints_of_nothing(none, edge):
