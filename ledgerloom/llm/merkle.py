@@ -82,10 +82,22 @@ def _between(a: Column, b: Column, key: Callable[[Column], Column]) -> Column:
     return _let(once, lambda x: _let(cut(x["a"], x["b"]), lambda y: cut(y["a"], y["b"])))
 
 
+def _those_in(x: Column, hashes: Column, key: Callable[[Column], Column]) -> Column:
+    """The nodes of x whose hash is among hashes (some, distinct): by binary search, so long texts do not cost the square."""
+    steps = F.reverse(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(hashes) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int")))
+    table = F.struct(F.array_sort(hashes).alias("h"), steps.alias("steps"), F.size(hashes).alias("n"))
+
+    def found(t: Column, v: Column) -> Column:
+        at = F.aggregate(t["steps"], F.lit(0), lambda i, k: F.when(i + k > t["n"], i).when(F.get(t["h"], i + k - 1) <= v, i + k).otherwise(i))
+        return F.coalesce(F.get(t["h"], at - 1) == v, F.lit(False))
+
+    return _let(table, lambda t: F.filter(x, lambda node: found(t, key(node))))
+
+
 def _lacking(x: Column, y: Column, key: Callable[[Column], Column]) -> Column:
     """The nodes of x whose hash y lacks, repeats included."""
     v = F.transform(x, key)
-    some = lambda d: F.when(F.size(d) == F.size(F.array_distinct(v)), x).when(F.size(d) == 0, F.slice(x, 1, 0)).otherwise(F.filter(x, lambda n: F.array_contains(d, key(n))))
+    some = lambda d: F.when(F.size(d) == F.size(F.array_distinct(v)), x).when(F.size(d) == 0, F.slice(x, 1, 0)).otherwise(_those_in(x, d, key))
     return _let(F.array_except(v, F.transform(y, key)), some)
 
 
@@ -93,7 +105,7 @@ def _moved(x: Column, y: Column) -> Column:
     """Places of the nodes of x that y has too, in another order."""
     both = F.struct(F.transform(x, _hash).alias("v"), F.transform(y, _hash).alias("w"))
     shared = _let(both, lambda z: F.zip_with(F.array_intersect(z["v"], z["w"]), F.array_intersect(z["w"], z["v"]), lambda p, q: F.when(p != q, p)))
-    return _let(F.filter(shared, lambda p: p.isNotNull()), lambda m: F.when(F.size(m) == 0, _none()).otherwise(F.transform(F.filter(x, lambda n: F.array_contains(m, _hash(n))), _place)))
+    return _let(F.filter(shared, lambda p: p.isNotNull()), lambda m: F.when(F.size(m) == 0, _none()).otherwise(F.transform(_those_in(x, m, _hash), _place)))
 
 
 def _opened(a: Column, b: Column, key: Callable[[Column], Column], moves: bool) -> Column:
