@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import is_uuid_v7
 from ledgerloom.sources.staging import cut
 
 
-def parent_keys(rollouts: DataFrame) -> DataFrame:
-    """rollout_id, parent_key: the ids by which children name a rollout. Main threads also go by their conversation."""
-    own = rollouts.select("rollout_id", F.col("rollout_id").alias("parent_key"))
-    main = rollouts.where("thread_type = 'main'").select("rollout_id", F.col("conversation_id").alias("parent_key"))
-    return own.unionByName(main).distinct()
+def second_name() -> Column:
+    """The second name that children may give a rollout as their parent: main threads also go by their conversation."""
+    return F.when(F.col("thread_type") == "main", F.col("conversation_id"))
 
 
 #: Levels of the forest that one written table adds.
@@ -25,23 +23,30 @@ LEVELS = 8
 def closure(rollouts: DataFrame, roots: DataFrame) -> DataFrame:
     """root, rollout_id: everything below the rollouts of roots (root, rollout_id), themselves included.
 
-    Semi-naive: only pairs found last are extended, pairs known already are dropped, so cycles end. Some levels are
-    planned together and written at once; a pair that is found twice within them is dropped with the next ones.
+    What is followed are the names by which children call a parent, each once for a root: a conversation's children
+    are not met again by each of its main threads, so the work grows with the rows of the result. Semi-naive: only
+    names found last are extended, names known already are dropped, so cycles end. Some levels are planned together
+    and written at once; a name that is found twice within them is dropped with the next ones.
     """
-    children = parent_keys(rollouts).join(rollouts.select(F.col("rollout_id").alias("child"), F.col("parent_thread_id").alias("parent_key")), "parent_key").select("rollout_id", "child").distinct()
-    children = cut(children.where("rollout_id <> child"))
-    new = found = roots.select("root", "rollout_id").distinct()
+    own, conversations = F.struct(F.col("rollout_id").alias("name"), F.lit(True).alias("own")), F.collect_set(second_name()).over(Window.partitionBy("rollout_id"))
+    names = F.concat(F.array(own), F.transform(conversations, lambda c: F.struct(c.alias("name"), F.lit(False).alias("own"))))
+    named = cut(rollouts.where("rollout_id is not null").select("rollout_id", names.alias("names"), F.col("parent_thread_id").alias("name")))
+    children = named.where("name is not null").select("name", "names")
+    roots = cut(roots.select("root", "rollout_id").distinct())
+    new = found = roots.join(named.drop("name"), "rollout_id").select("root", F.inline("names")).distinct()
     while True:
         steps = [new]
         for _ in range(LEVELS):
-            steps.append(steps[-1].join(children, "rollout_id").select("root", F.col("child").alias("rollout_id")).distinct())
-        levels = [x.select("root", "rollout_id", F.lit(i).alias("level")) for i, x in enumerate(steps)]
-        more = reduce(DataFrame.unionByName, levels[1:] if found is not new else levels).groupBy("root", "rollout_id").agg(F.max("level").alias("level"))
-        more = cut(more if found is new else more.join(found, ["root", "rollout_id"], "left_anti"))
+            below = steps[-1].select("root", "name").distinct().join(children, "name")
+            steps.append(below.select("root", F.inline("names")).distinct())
+        levels = [x.select("root", "name", "own", F.lit(i).alias("level")) for i, x in enumerate(steps)]
+        more = reduce(DataFrame.unionByName, levels[1:] if found is not new else levels).groupBy("root", "name", "own").agg(F.max("level").alias("level"))
+        more = cut(more if found is new else more.join(found, ["root", "name", "own"], "left_anti"))
         found = more.drop("level") if found is new else found.unionByName(more.drop("level"))
         new = more.where(F.col("level") == LEVELS).drop("level")
         if new.isEmpty():
-            return found
+            unknown = roots.join(named, "rollout_id", "left_anti")
+            return found.where("own").select("root", F.col("name").alias("rollout_id")).unionByName(unknown.select("root", "rollout_id"))
 
 
 def main_roots(rollouts: DataFrame) -> DataFrame:
@@ -61,9 +66,9 @@ def events_of_thread(events: DataFrame, rollouts: DataFrame, conversation_id: st
 def recent_main_threads(rollouts: DataFrame, most: int) -> DataFrame:
     """conversation_id, project_name, thread_title, last_activity_epoch_ms of the most recently active main threads
     that are no voice sessions. Activity is that of the whole tree, voice rollouts of the conversation included."""
-    latest = Window.partitionBy("conversation_id").orderBy(F.desc("last_activity_epoch_ms"), F.desc("rollout_id"))
     shown = rollouts.where((F.col("thread_type") == "main") & ~F.col("is_realtime_voice") & is_uuid_v7(F.col("conversation_id")))
-    shown = shown.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select("conversation_id", "project_name", "thread_title")
+    latest = F.max_by(F.struct("project_name", "thread_title"), F.struct("last_activity_epoch_ms", "rollout_id"))
+    shown = shown.groupBy("conversation_id").agg(latest.alias("_shown")).select("conversation_id", "_shown.project_name", "_shown.thread_title")
     roots = main_roots(rollouts).join(shown.select(F.col("conversation_id").alias("root")), "root", "left_semi")
     activity = closure(rollouts, roots).join(rollouts.select("rollout_id", "last_activity_epoch_ms"), "rollout_id").groupBy(F.col("root").alias("conversation_id")).agg(F.max("last_activity_epoch_ms").alias("last_activity_epoch_ms"))
     return shown.join(activity, "conversation_id").orderBy(F.desc("last_activity_epoch_ms"), F.desc("conversation_id")).limit(most)

@@ -42,6 +42,27 @@ def test_closure_takes_the_whole_tree_and_ends_on_cycles(spark):
     assert [r.rollout_id for r in threads.events_of_thread(events, rows, A).collect()] == ["n"]
 
 
+def test_the_children_of_a_conversation_are_met_once_not_by_each_of_its_main_threads(spark):
+    """400 main threads of one conversation and 400 children of it: the jobs write a row or two a rollout, not one a pair."""
+    n = 400
+    child = {"thread_type": "subagent", "conversation_id": B, "parent_thread_id": A}
+    rows = rollout(spark, *[{"rollout_id": f"m{i}"} for i in range(n)], *[child | {"rollout_id": f"c{i}"} for i in range(n)])
+    written = []
+    real = threads.cut
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(threads, "cut", lambda df: written.append(real(df)) or written[-1])
+        found = threads.closure(rows, threads.main_roots(rows))
+    assert {tuple(r) for r in found.collect()} == {(A, f"{kind}{i}") for kind in "mc" for i in range(n)} and found.count() == 2 * n
+    assert max(x.count() for x in written) <= 3 * n
+
+
+def test_a_root_that_is_no_rollout_is_alone_and_names_of_both_kinds_keep_apart(spark):
+    sub = {"thread_type": "subagent", "conversation_id": C}
+    rows = rollout(spark, {"rollout_id": "m"}, sub | {"rollout_id": "c", "parent_thread_id": A}, sub | {"rollout_id": A, "parent_thread_id": "elsewhere"}, sub | {"rollout_id": "g", "parent_thread_id": "gone"})
+    roots = spark.createDataFrame([("1", "m"), ("2", "gone"), ("3", A)], "root string, rollout_id string")
+    assert {tuple(r) for r in threads.closure(rows, roots).collect()} == {("1", "m"), ("1", "c"), ("2", "gone"), ("3", A), ("3", "c")}
+
+
 def test_recent_threads(spark):
     rows = rollout(
         spark, {"rollout_id": "a", "last_activity_epoch_ms": 1}, {"rollout_id": "b", "conversation_id": B, "last_activity_epoch_ms": 2}, {"rollout_id": "v", "conversation_id": C, "is_realtime_voice": True, "last_activity_epoch_ms": 99},
