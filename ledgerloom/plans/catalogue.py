@@ -11,6 +11,7 @@ from ledgerloom.functions import presentation, pricing, text
 from ledgerloom.operators import attribution, canonical, mutations, ordering, threads, usage
 from ledgerloom.operators.filters import LedgerFilter, SelectionFilter
 from ledgerloom.sources import records
+from ledgerloom.sources.staging import cut
 
 from . import views
 
@@ -465,8 +466,9 @@ def _logs(spark: SparkSession, sf_dir: str, first: Column, lines: list[Column])
     session_meta record, `lines` the records of an event; both are structs over the columns of the event view, `lo`
     and `hi` (the rollout's first and last time). No log is gathered in one value."""
     span = Window.partitionBy("rollout_id")
-    place = F.row_number().over(span.orderBy("timestamp_epoch_ms", "token_event_ordinal")) - 1
-    events = views.usage_events(spark, sf_dir).withColumns({"lo": F.min("timestamp_epoch_ms").over(span), "hi": F.max("timestamp_epoch_ms").over(span), "place": place})
+    order = span.orderBy("timestamp_epoch_ms", "token_event_ordinal")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in the order of the places: one sort
+    events = views.usage_events(spark, sf_dir).withColumns({"lo": F.min("timestamp_epoch_ms").over(whole), "hi": F.max("timestamp_epoch_ms").over(whole), "place": F.row_number().over(order) - 1})
     # the first event's row also brings the first line of its log
     shown = F.when(F.col("place") == 0, F.array(F.to_json(first))).otherwise(F.array().cast("array<string>"))
     rows = events.select("rollout_id", "place", F.posexplode(F.concat(shown, F.array(*[F.to_json(x) for x in lines]))).alias("at", "raw"))
@@ -493,6 +495,12 @@ def _event_lines() -> list[Column]:
     ]
 
 
+def _parse(lines: DataFrame) -> dict[str, DataFrame]:
+    """The logs' lines (path, line, raw), read once and attributed."""
+    rows = cut(records.typed(lines), "records")
+    return attribution.parse(rows, tasks=attribution.spread(rows))
+
+
 _PARSED = ("rollout_id", "token_event_ordinal", "timestamp_epoch_ms", "model", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
 
 
@@ -508,14 +516,14 @@ def _parsed_sql(where: str) -> str:
 def parse_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs made of the events, split, read and attributed again: every event with tokens comes back."""
     first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"), session_id=F.lit("s"), cwd=F.lit("/w/p"))
-    return attribution.parse(records.typed(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+    return _parse(_logs(spark, sf_dir, first, _event_lines()))["events"].select(*_PARSED)
 
 
 @query(_parsed_sql("timestamp_epoch_ms // 1000 > ((lo + hi) // 2) // 1000"))
 def fork_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of forks at the middle of their time: only what started later counts."""
     first = _record("session_meta", _iso(F.expr("(lo + hi) DIV 2")), id=F.col("rollout_id"), forked_from_id=F.lit("parent"))
-    return attribution.parse(records.typed(_logs(spark, sf_dir, first, _event_lines())))["events"].select(*_PARSED)
+    return _parse(_logs(spark, sf_dir, first, _event_lines()))["events"].select(*_PARSED)
 
 
 _KINDS = ("", "\0\0", "{", "[1]", '{"type": "note"}')

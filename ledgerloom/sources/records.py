@@ -99,7 +99,7 @@ def classified(raw: bytes) -> tuple[str, dict]:
         value = json.loads(raw.decode("utf-8"), parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return "malformed", {}
-    if _too_deep(value):
+    if raw.count(b"{") + raw.count(b"[") > MOST_DEPTH and _too_deep(value):
         return "malformed", {}
     return ("object", value) if isinstance(value, dict) else ("non_object", {})
 
@@ -219,8 +219,8 @@ def metadata(rows: DataFrame) -> DataFrame:
     first = Window.partitionBy("path").orderBy("line")
     is_meta = (F.col("type") == "session_meta") & F.col("has_payload")
     metas = rows.where(is_meta).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("path", F.col("line").alias("meta_line"), "meta", F.col("ts").alias("meta_ts"))
-    activity = rows.where(F.col("class") == schema.OBJECT).groupBy("path").agg(F.greatest(F.coalesce(F.max(timestamp_epoch_ms(F.col("ts"))), F.lit(0)), F.lit(0)).alias("last_activity_epoch_ms"))
-    files = rows.select("path").distinct().join(activity, "path", "left").join(metas, "path", "left")
+    ms = F.max(F.when(F.col("class") == schema.OBJECT, timestamp_epoch_ms(F.col("ts"))))
+    files = rows.groupBy("path").agg(F.greatest(F.coalesce(ms, F.lit(0)), F.lit(0)).alias("last_activity_epoch_ms")).join(metas, "path", "left")
     m = lambda n: F.col(f"meta.{n}")
     spawned = F.coalesce(m("has_spawn"), F.lit(False))
     kind = F.when((m("thread_source") == "subagent") | spawned, "subagent").when(m("thread_source").isNull() | m("thread_source").isin("user", "realtime_voice"), "main").otherwise("unknown")
@@ -231,7 +231,7 @@ def metadata(rows: DataFrame) -> DataFrame:
         "path", "meta_line", "meta_ts", F.coalesce(m("session_id"), rollout).alias("conversation_id"), rollout.alias("rollout_id"), F.coalesce(m("parent_thread_id"), F.lit("")).alias("parent_thread_id"), "thread_type",
         F.when(main, "main").otherwise(F.coalesce(m("agent_role"), F.lit("unknown"))).alias("agent_role"), F.when(main, "/root").otherwise(F.coalesce(m("agent_path"), F.lit("/root"))).alias("agent_path"),
         F.coalesce(m("agent_nickname"), F.lit("")).alias("agent_nickname"), F.coalesce(m("thread_source") == "realtime_voice", F.lit(False)).alias("is_realtime_voice"),
-        project_name(m("cwd")).alias("project_name"), F.lit("").alias("thread_title"), F.coalesce("last_activity_epoch_ms", F.lit(0)).alias("last_activity_epoch_ms"), m("forked_from_id").isNotNull().alias("forked"),
+        project_name(m("cwd")).alias("project_name"), F.lit("").alias("thread_title"), "last_activity_epoch_ms", m("forked_from_id").isNotNull().alias("forked"),
     )
 
 
