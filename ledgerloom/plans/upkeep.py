@@ -15,7 +15,7 @@ from ledgerloom.sources.staging import cut, drop_at_exit, shared_folder
 from ledgerloom.streaming import collector
 
 from . import views
-from .catalogue import _PARSED, _STORED, WITH, _event_lines, _full_rollouts, _iso, _logs, _parsed_sql, _record, _users_number, query
+from .catalogue import _PARSED, _STORED, WITH, _event_lines, _full_rollouts, _iso, _logs, _parse, _parsed_sql, _record, _users_number, query
 
 _U = "CAST(substr(rollout_id, 2) AS BIGINT)"
 
@@ -70,28 +70,23 @@ def _open_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     event; the others stay open."""
     task, context, counted = _event_lines()
     late = F.col("token_event_ordinal") % 3 == 0
-    note = _record("note", _iso(F.col("timestamp_epoch_ms")), note=F.lit("x"))
     first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"))
-    chosen = F.when(late, F.to_json(context)).otherwise(F.to_json(note))
-    rows = _logs(spark, sf_dir, first, [task, counted, note])
-    span = Window.partitionBy("rollout_id")
-    events = views.usage_events(spark, sf_dir).withColumn("place", F.row_number().over(span.orderBy("timestamp_epoch_ms", "token_event_ordinal")) - 1)
-    path = F.concat(F.lit("/logs/rollout-2026-x-"), F.col("rollout_id"), F.lit(".jsonl"))
-    last = events.select(path.alias("path"), (F.col("place") * 3 + 3).alias("line"), chosen.alias("raw"))
-    return rows.join(last.select("path", "line"), ["path", "line"], "left_anti").unionByName(last)
+    # both records have the fields of a context: those of a note are null, and to_json leaves them out
+    either = F.when(late, context).otherwise(F.struct(context["timestamp"].alias("timestamp"), F.lit("note").alias("type"), F.lit(None).cast("struct<turn_id:string,model:string>").alias("payload")))
+    return _logs(spark, sf_dir, first, [task, counted, either])
 
 
 @query(f"{WITH} SELECT rollout_id, count(*) AS open_turns FROM usage_events WHERE (input_tokens > 0 OR output_tokens > 0) AND (token_event_ordinal % 3 <> 0 OR model = 'unknown') GROUP BY rollout_id")
 def open_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose model no record has stated, of each log."""
-    turns = attribution.parse(records.typed(_open_lines(spark, sf_dir)))["turns"].where("unresolved")
+    turns = _parse(_open_lines(spark, sf_dir))["turns"].where("unresolved")
     return turns.groupBy(_rollout_of(F.col("path")).alias("rollout_id")).agg(F.count("*").alias("open_turns"))
 
 
 @query(f"{WITH} SELECT model, count(*) AS events FROM (SELECT CASE WHEN token_event_ordinal % 3 = 0 THEN model ELSE 'unknown' END AS model FROM usage_events WHERE input_tokens > 0 OR output_tokens > 0) GROUP BY model")
 def late_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models that are stated after the counts of their turn reach these."""
-    return attribution.parse(records.typed(_open_lines(spark, sf_dir)))["events"].groupBy("model").agg(F.count("*").alias("events"))
+    return _parse(_open_lines(spark, sf_dir))["events"].groupBy("model").agg(F.count("*").alias("events"))
 
 
 @query(_parsed_sql("true"))

@@ -219,3 +219,11 @@ def test_rules_for_texts(spark):
     assert one(text.normalized_id(F.lit(f" {v7} "))) == v7.lower() and one(text.normalized_id(F.lit("x"))) is None
     assert one(text.uuid_v7_epoch_ms(F.lit(v7))) == int("0190abcd0000", 16)
     assert [one(text.project_name(F.lit(p).cast("string"))) for p in (None, " ", "/", "/a/b//", "c:\\x\\y", " solo ")] == ["Codex", "Codex", "Codex", "b", "y", "solo"]
+
+
+@pytest.mark.parametrize("name", ["parse_rollout", "open_turns"])
+def test_logs_are_read_once_and_dealt_out_by_file_once(spark, name):
+    from ledgerloom.plans import catalogue, upkeep  # noqa: F401
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("REPARTITION_BY_NUM") == 1 and "Window" in plan
