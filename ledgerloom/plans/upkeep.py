@@ -31,7 +31,8 @@ def _log_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     lines.select("path", "line", F.col("raw").alias("value")).repartition("path").sortWithinPartitions("path", "line").select("path", "value").write.partitionBy("path").text(folder)
     drop_at_exit(spark, folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_at_epoch_ms"))
+    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file_path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_at_epoch_ms"))
+    return cut(files, "files")  # each reading of the list goes over all files
 
 
 def _rollout_of(path: Column) -> Column:
@@ -93,10 +94,10 @@ def late_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of each log is read as a whole, the second goes on from the state that it left."""
     first = _record("session_meta", _iso(F.col("lo")), id=F.col("rollout_id"))
-    rows = cut(records.typed(_logs(spark, sf_dir, first, _event_lines())), "appended-logs")
+    rows = cut(records.typed(_logs(spark, sf_dir, first, _event_lines())), "records")
     half = rows.groupBy("path").agg((F.floor(F.max("line") / 6) * 3).alias("half"))
-    marked = rows.join(half, "path")
-    before = attribution.parse(marked.where("line <= half").select(*rows.columns), lambda lines: cut(lines, "lines"))
+    marked = cut(rows.join(half, "path"), "appended-logs")
+    before = attribution.parse(marked.where("line <= half").select(*rows.columns), lambda lines: cut(lines, "lines"), attribution.spread(marked))
     after = resume.resumed(marked.where("line > half").select(*rows.columns), before["states"]).where("token_event_ordinal is not null")
     columns = _PARSED[1:]
     events = before["events"].select("path", *columns).unionByName(after.select("path", *columns))

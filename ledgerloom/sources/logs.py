@@ -34,6 +34,8 @@ from .staging import cut
 PATTERN = "rollout-*.jsonl"
 #: Bytes of a file that one task reads; tasks that a scan is dealt to at most.
 RANGE_BYTES, MOST_TASKS = 64 << 20, 10_000
+#: What a task reads on average: bytes, and ranges where these are small.
+TASK_BYTES, TASK_RANGES = 4 * RANGE_BYTES, 512
 #: Folders of a level that the driver lists itself; from a larger level on, tasks do.
 FEW_FOLDERS = 256
 #: Bytes read at a time.
@@ -204,7 +206,8 @@ def scan(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark = files.sparkSession
     count = F.greatest(F.ceil(F.col("size_bytes") / range_bytes), F.lit(1))
     ranges = files.select("file_path", "size_bytes", "modified_at_epoch_ms", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("part"))
-    tasks = min(max(ranges.count() // 4, spark.sparkContext.defaultParallelism), MOST_TASKS)
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.least(F.col("size_bytes"), F.lit(range_bytes))), F.lit(0))).head()
+    tasks = min(max(size // TASK_BYTES, n // TASK_RANGES, spark.sparkContext.defaultParallelism), MOST_TASKS)
     wide = T.StructType([*schema.RECORDS.fields, *_FACTS.fields])
     arrow = _arrow_schema()
     for f, t in zip(_FACTS.fieldNames(), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True):

@@ -181,7 +181,7 @@ def records(files: DataFrame) -> DataFrame:
                 lines = content.as_py().split(b"\n")[:-1]
                 for at in range(0, len(lines), 4_096):
                     rows = [flat(path, at + i, raw.removesuffix(b"\r")) for i, raw in enumerate(lines[at : at + 4_096])]
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    yield _batch(rows, arrow)
 
     return files.select("path", "content").mapInArrow(run, schema.RECORDS)
 
@@ -193,11 +193,25 @@ def typed(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("path", "line", "raw"))
-            yield pa.RecordBatch.from_pylist([flat(path, line, raw) for path, line, raw in zip(*columns, strict=True)], schema=arrow)
+            yield _batch([flat(path, line, raw) for path, line, raw in zip(*columns, strict=True)], arrow)
 
     return lines.select("path", F.col("line").cast("long").alias("line"), F.col("raw").cast("binary").alias("raw")).mapInArrow(run, schema.RECORDS)
 
 
+def _batch(rows: list[dict], arrow: pa.Schema) -> pa.RecordBatch:
+    """What RecordBatch.from_pylist gives; structs are built by their fields, which takes half the time."""
+
+    def column(values: list, kind: pa.DataType) -> pa.Array:
+        if values.count(None) == len(values):
+            return pa.nulls(len(values), kind)
+        if not pa.types.is_struct(kind):
+            return pa.array(values, kind)
+        parts = [column([None if v is None else v.get(f.name) for v in values], f.type) for f in kind]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([v is None for v in values]))
+
+    return pa.RecordBatch.from_arrays([column([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
+
 def _arrow_schema() -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

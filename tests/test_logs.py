@@ -92,3 +92,13 @@ def test_files_that_change_are_reported(spark, logs):
     fact = {os.path.basename(r.path)[10]: r for r in source.facts(scanned, files).collect()}
     assert fact["0"].error is None and fact["1"].error and fact["2"].error and fact["3"].error == "gone"
     assert {r.path for r in source.records_of(scanned).collect()} == {str(grown)} and source.records_of(scanned).count() == 2
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    rows = []
+    for i in range(40):
+        path = tmp_path / f"rollout-x-{i}.jsonl"
+        path.write_bytes(b"{}\n")
+        rows.append((str(path), 3, path.stat().st_mtime_ns // 1_000_000))
+    scanned = source.scan(spark.createDataFrame(rows, source.FILES))
+    assert scanned.where("class is not null").count() == 40 and len(scanned.inputFiles()) <= spark.sparkContext.defaultParallelism
