@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema
 from ledgerloom.functions.text import timestamp_epoch_ms
+from ledgerloom.sources.staging import cut
 
 #: An event of a file, or (without an ordinal) its new state or why it must be read as a whole.
 RESUMED = "path string, whole string, state string, activity long, timestamp string, timestamp_epoch_ms long, token_event_ordinal long, turn_id string, model string, input_tokens long, cached_input_tokens long, output_tokens long, reasoning_output_tokens long, event_signature string"
@@ -112,22 +113,30 @@ class Reader:
         }
 
 
+#: What the rules read of a record.
+_READ = ("path", "line", "class", "type", "ts", "has_payload", "payload_type", "turn_id", "model", "settings_model", "usage", "total")
+
+
 def resumed(rows: DataFrame, held: DataFrame) -> DataFrame:
     """RESUMED: events of appended records (schema.RECORDS) of files with a state (path, state), and a row for each file with its
-    new state, or why it must be read as a whole."""
+    new state, or why it must be read as a whole. A state goes ahead of its file's records, once, not with each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, path, why, out = None, None, None, []
+        reader, path, why, read, out = None, None, None, False, []
 
         def close() -> None:
-            out.append({"path": path, "whole": why} if why else {"path": path, "state": reader.state(), "activity": reader.activity})
+            if read:
+                out.append({"path": path, "whole": why} if why else {"path": path, "state": reader.state(), "activity": reader.activity})
 
         for batch in batches:
             for r in batch.to_pylist():
+                if r["state"] is not None:
+                    close()
+                    reader, path, why, read = Reader(r["state"]), r["path"], None, False
+                    continue
                 if r["path"] != path:
-                    if path is not None:
-                        close()
-                    reader, path, why = Reader(r["state"]), r["path"], None
+                    continue  # a file without a state
+                read = True
                 if why:
                     continue
                 try:
@@ -139,10 +148,9 @@ def resumed(rows: DataFrame, held: DataFrame) -> DataFrame:
                     out.append({"path": path} | event)
             yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
             out = []
-        if path is not None:
-            close()
+        close()
         yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
-    timed = rows.join(held.select("path", "state"), "path").withColumn("ts_ms", timestamp_epoch_ms(F.col("ts")))
-    return timed.repartition("path").sortWithinPartitions("path", "line").mapInArrow(run, RESUMED)
-
+    timed = rows.select(*_READ).withColumn("ts_ms", timestamp_epoch_ms(F.col("ts")))
+    first = cut(held.where("state is not null").select("path", F.lit(-1).cast("long").alias("line"), "state"), "states")
+    return timed.unionByName(first, allowMissingColumns=True).repartition("path").sortWithinPartitions("path", "line").mapInArrow(run, RESUMED)

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import attribution, resume
+from ledgerloom.sources import records
 from ledgerloom.sources.ledger import Ledger
 from ledgerloom.streaming import collector
 
@@ -94,3 +95,12 @@ def test_an_appended_line_reads_no_file_and_writes_one_bucket(spark, tmp_path, m
     live.finish()
     run = book.read("collector_runs").head()
     assert (run.trigger, run.status) == ("stream", "completed") and book.read("rollout_checkpoints").where(F.col("state_json").isNotNull()).count() == 28
+
+
+def test_a_state_goes_ahead_of_its_records_once(spark):
+    state = '{"turn":"","overridden":false,"model":"unknown","ordinal":0,"voice":false,"turns":[]}'
+    held = spark.createDataFrame([("a", state), ("idle", state)], "path string, state string")
+    rows = records.typed(spark.createDataFrame([("a", 3, "{}"), ("stateless", 0, "{}")], "path string, line long, raw string"))
+    got = resume.resumed(rows, held)
+    assert [r.path for r in got.collect() if r.state is not None] == ["a"]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
