@@ -434,20 +434,19 @@ def _open_edges(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> Data
         cells = min(map(len, raw))  # sketches of one band differ by a factor of two or four; the longer are folded
         counts = np.stack([x.reshape(-1, cells).sum(0, dtype=np.int16) for x in raw])
         a, b = [], []
-        largest = -1
-        for i in range(len(node)):
-            if i % 64 == 0:
-                largest = np.bincount(root).argmax()
-            if root[i] == largest:
-                continue  # the others look at it
-            other = np.flatnonzero((root != root[i]) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])))
-            bound = np.abs(counts[other] - counts[i]).sum(1, dtype=np.int64)
-            near = other[(DEN + NUM) * bound <= (DEN - NUM) * (n[other] + n[i])]
-            found, one = np.unique(root[near], return_index=True)
-            for r, k in zip(found.tolist(), near[one].tolist(), strict=True):
-                a.append(node[i])
-                b.append(node[k])
-                root[root == r] = root[i]
+        asked = np.zeros(len(node), bool)
+        # a row looks at all rows of other labels, in rounds; those that never do have one label in the end
+        while len(some := np.flatnonzero(~asked & (root != np.bincount(root).argmax()))[:64]):
+            asked[some] = True
+            for i in some.tolist():
+                other = np.flatnonzero((root != root[i]) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i])))
+                bound = np.abs(counts[other] - counts[i]).sum(1, dtype=np.int64)
+                near = other[(DEN + NUM) * bound <= (DEN - NUM) * (n[other] + n[i])]
+                found, one = np.unique(root[near], return_index=True)
+                for r, k in zip(found.tolist(), near[one].tolist(), strict=True):
+                    a.append(node[i])
+                    b.append(node[k])
+                    root[root == r] = root[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("unit").applyInArrow(lambda t: run(t), "a long, b long")
@@ -492,7 +491,7 @@ def _compared(docs: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFra
     texts = _narrow(docs).join(F.broadcast(members) if few else members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("unit", "label", "node", "part", "lo", "hi", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        clusters: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
+        clusters: dict[int, dict[int, tuple[bool, np.ndarray]]] = {}
         across: dict[int, bool] = {}
         for batch in table.to_batches():
             for part in common.slices(batch):
@@ -500,7 +499,7 @@ def _compared(docs: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFra
                 keys, ends = set_keys(flat, n).tolist(), np.cumsum(n).tolist()
                 for label, node, own, lo, hi, key, end, size in zip(*(part.column(c).to_pylist() for c in ("label", "node", "part", "lo", "hi")), keys, ends, n.tolist(), strict=True):
                     if size and key == node:  # an id may have other texts
-                        clusters.setdefault(label, {})[node] = (own - lo, flat[end - size : end].copy())
+                        clusters.setdefault(label, {})[node] = (own != lo, flat[end - size : end].copy())
                         across[label] = lo != hi
         out = [np.zeros((3, 0), np.int64)]
         for label, found in clusters.items():
@@ -510,7 +509,7 @@ def _compared(docs: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFra
             if across[label]:  # pairs within a part are counted where it meets itself
                 side = np.array([found[k][0] for k in node.tolist()])
                 near = np.zeros((len(sets), len(sets)), bool)
-                i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+                i, j = np.flatnonzero(~side), np.flatnonzero(side)
                 both = shared([sets[k] for k in i], [sets[k] for k in j])
                 near[np.ix_(i, j)] = DEN * both >= NUM * (n[i][:, None] + n[j][None, :] - both)
                 near |= near.T

@@ -221,6 +221,33 @@ def test_every_path_of_large_groups_is_exact(spark, monkeypatch, small, sketched
     assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _classes(rows)
 
 
+def test_every_link_of_a_group_of_many_parts_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "COMPARED", 5)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(i, " ".join(f"x{i}" if k == at else w for k, w in enumerate(base))) for i in range(60) for at in [rng.randrange(90)]]
+    rows += [(100 + i, " ".join([*base[:70], *(f"y{i}.{k}" for k in range(20))])) for i in range(20)]  # like the group in part
+    want = _classes(rows)
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert min(links for i, _, _, links in want if i < 100) >= 59
+
+
+def test_open_groups_are_joined_wherever_sketches_permit(spark):
+    """Each of 30 groups: two large labels, which one pair of rows joins alone; lone rows make the lesser one the larger."""
+    sketch = lambda x: bytes([x, *([1] * 63)])
+    each = [(0, 0)] * 79 + [(0, 100)] + [(1, 120)] + [(1, 200)] * 63 + [(None, 220)] * 48
+    rows = [(g, 1_000 * g + i, 1_000 * g + (i if label is None else 500 + label), x) for g in range(30) for i, (label, x) in enumerate(each)]
+    nodes = spark.createDataFrame([(i, 100, sketch(x)) for _, i, _, x in rows], "node long, n long, sketch binary")
+    labels = spark.createDataFrame([(i, label) for _, i, label, _ in rows], "node long, label long")
+    members = spark.createDataFrame([(g, i) for g, i, _, _ in rows], "group long, node long")
+    found, root = [(r.a, r.b) for r in partenum._open_edges(members, labels, nodes).collect()], {i: label for _, i, label, _ in rows}
+    assert len(found) == 30 * 49
+    for a, b in found:
+        old, new = root[b], root[a]
+        root = {i: new if label == old else label for i, label in root.items()}
+    assert len(set(root.values())) == 30
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(7)
     rarity, tried = rng.integers(0, 255, 1 << 12).astype(np.uint8), 0
