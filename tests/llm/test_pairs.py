@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -338,6 +339,39 @@ def test_search_equals_brute_force(which, request, monkeypatch):
         assert [i for i, _ in got[q]] == [i for i, _ in rows]
 
 
+def test_a_task_holds_one_shard_at_a_time(spark, docs, monkeypatch):
+    monkeypatch.setattr(wand, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(wand, "TERMS_HELD", 1_000)
+    groups, plain, written = [], type(docs).mapInArrow, common.materialise
+
+    def watched(df, f, schema, *args):
+        def run(batches):
+            def each():
+                for batch in batches:
+                    assert batch.num_rows == 1 or "df" not in batch.schema.names
+                    yield batch
+
+            return f(each())
+
+        return plain(df, run, schema, *args)
+
+    def noted(df, name, *args):
+        table = written(df, name, *args)
+        if name == "search-index":
+            files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in table.inputFiles()]
+            groups.append([m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)])
+        return table
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    monkeypatch.setattr(common, "materialise", noted)
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    with common.arrow_rows(spark, 20):
+        got = [(r.query_id, r.rank, r.doc_id, round(r.score, 7)) for r in wand.search(docs.coalesce(1), asked, k=5).collect()]
+    assert len(groups) == 1 and len(groups[0]) > 5 and set(groups[0]) == {1}
+    want = _search([(r.doc_id, r.text) for r in docs.collect()], [(r.query_id, r.text) for r in asked.collect()], 5)
+    assert sorted(got) == sorted((q, n, i, round(x, 7)) for q, rows in want.items() for n, (i, x) in enumerate(rows, 1))
+
+
 def _shard(texts: list[str]) -> wand.Shard:
     held = wand.Postings()
     for i, t in enumerate(texts):
